@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from loomery.llm.mixing import op4_mixing
+from loomery.llm.quality_rules import op8_quality_rules
 from loomery.llm.simhash import op2_simhash_dedup
+from loomery.llm.url_filters import OP9_SQL, op9_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op4_mixing, op8_quality_rules, op9_url_filters)}
+ORACLE: dict[str, str] = {"op9_url_filters": OP9_SQL}
