@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from loomery.llm.embedding_dedup import op3_embedding_dedup
 from loomery.llm.language_id import op5_language_id
+from loomery.llm.lm_scoring import op1_lm_scoring
 from loomery.llm.mixing import op4_mixing
 from loomery.llm.packing import op7_packing
 from loomery.llm.pii import op6_pii
@@ -11,5 +13,5 @@ from loomery.llm.quality_rules import op8_quality_rules
 from loomery.llm.simhash import op2_simhash_dedup
 from loomery.llm.url_filters import OP9_SQL, op9_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op4_mixing, op5_language_id, op6_pii, op7_packing, op8_quality_rules, op9_url_filters, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op3_embedding_dedup, op4_mixing, op5_language_id, op6_pii, op7_packing, op8_quality_rules, op9_url_filters, op10_quality_classifier)}
 ORACLE: dict[str, str] = {"op9_url_filters": OP9_SQL}
