@@ -13,7 +13,7 @@ SPACE, WINDOW, MIN_WORDS, REPEAT_PERCENT = r"[\x20\x09-\x0D]+", 8, 20, 30
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 #: metric: slack below the lower and above the upper fence; None: no such fence
-SLACK = {"symbol_ratio": (None, 0.1), "dup_line_ratio": (None, 0.3), "repeat_ratio": (None, 0.1), "mean_word_chars": (2.0, 4.0)}
+SLACK = {"symbol_ratio": (None, 0.05), "dup_line_ratio": (None, 0.5), "repeat_ratio": (None, 0.25), "stutter_ratio": (None, 0.2), "mean_word_chars": (2.0, 4.0)}
 
 
 def _let(value: Column, body) -> Column:
@@ -42,13 +42,15 @@ def repeat_words(words: Column) -> Column:
 def metrics(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Counts of each text (null: empty) and whether it fails the fixed rules.
 
-    n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words (long), base_failed.
+    n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_stutters (words equal to the one
+    before) (long), base_failed.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.select(F.col(key).alias("doc_id"), *[F.col(c).cast("string").alias(f"by_{i}") for i, c in enumerate(groups)], body.alias("body"))
     split = own.withColumn("words", F.filter(F.split("body", SPACE), lambda w: w != ""))
     lines = F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    found = _let(F.col("words"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    same = lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))).cast("long")
+    found = _let(F.col("words"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), same(w).alias("n_stutters")))
     dup = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     counted = split.select(
         "doc_id", *[f"by_{i}" for i in range(len(groups))], found.alias("w"), dup.alias("l"),
@@ -61,7 +63,7 @@ def metrics(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tu
 
 def _ratios(rows: DataFrame) -> DataFrame:
     part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return rows.withColumns({"symbol_ratio": part("n_symbols", "word_chars"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "repeat_ratio": part("n_repeat_words", "n_words"), "mean_word_chars": part("word_chars", "n_words")})
+    return rows.withColumns({"symbol_ratio": part("n_symbols", "word_chars"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "repeat_ratio": part("n_repeat_words", "n_words"), "stutter_ratio": part("n_stutters", "n_words"), "mean_word_chars": part("word_chars", "n_words")})
 
 
 def fences(rows: DataFrame, depth: int, slack: dict = SLACK, whiskers: float = 3.0, k: int = 400) -> DataFrame:
@@ -99,10 +101,12 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
     names = [f"{side}_{m}" for m in slack for side in ("low", "high")]
     pick = lambda sketched, i: sketched.select(*[F.col(f"by_{j}").alias(f"on_{i}_{j}") for j in range(depth - i)], F.when(F.col("n") >= least if i < depth else F.lit(True), F.struct(*names)).alias(f"own_{i}"))
     bound = fine.select(*[f"by_{j}" for j in range(depth)])
-    for i, sketched in enumerate([fine, *coarse]):
+    for i, sketched in enumerate([fine, *coarse[:-1]]):
         other = pick(sketched, i)
         on = [F.col(f"by_{j}").eqNullSafe(F.col(f"on_{i}_{j}")) for j in range(depth - i)]
-        bound = (bound.join(other, reduce(Column.__and__, on), "left") if on else bound.crossJoin(other)).drop(*[f"on_{i}_{j}" for j in range(depth - i)])
+        bound = bound.join(other, reduce(Column.__and__, on), "left").drop(*[f"on_{i}_{j}" for j in range(depth - i)])
+    whole = coarse[-1].select(*names).first()  # one row: the bounds of all groups together
+    bound = bound.withColumn(f"own_{depth}", F.struct(*[F.lit(whole[n]).cast("double").alias(n) for n in names]))
     bound = bound.select(*[F.col(f"by_{j}").alias(f"to_{j}") for j in range(depth)], F.coalesce(*[f"own_{i}" for i in range(depth + 1)]).alias("bound"))
     judged = rows.join(bound, reduce(Column.__and__, [F.col(f"by_{j}").eqNullSafe(F.col(f"to_{j}")) for j in range(depth)]), "left")
     fits = reduce(Column.__and__, [F.col(m).between(F.col(f"bound.low_{m}"), F.col(f"bound.high_{m}")) for m in slack])
