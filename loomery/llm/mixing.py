@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomery.llm.common import word_count
 from loomery.session import materialize, table
 
-SEED, SLICE, EXACT = 17, 4096, 8192
+SEED, SLICE, EXACT = 17, 512, 8192
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 
 
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     A source's documents are counted by exact length; the group of a source holds one row a length, not a document. Every
     document gets target // total copies; the rest of the target is a subset sum over the lengths, and of each length the
     documents that come first by seeded hash are chosen. Where one length has many documents (a hot source, thousands of
-    copies) they are split by hash into slices of about 4096, whole slices are taken, and only the last one is ranked.
+    copies) they are split by hash into slices of about 512, whole slices are taken, and only the last one is ranked.
     Null texts have size 0; null sources are a source; documents of size 0 are taken as often as all of their source; repeated
     rows count as documents of their own, and which of them is chosen makes no difference; an empty table returns no rows.
     """
