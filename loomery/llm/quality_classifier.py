@@ -138,7 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS,
             found.append(((g * g / (h + 5)).sum(), a, b, shape, cell))
     for _, a, b, shape, cell in sorted(found, key=lambda z: -z[0])[:pairs]:
         own = np.zeros(shape)
-        for _ in range(max(1, rounds // 10)):
+        for _ in range(max(1, rounds // 2)):
             grad, weight = left()
             g, h = (np.bincount(cell, v, shape[0] * shape[1]).reshape(shape) for v in (grad, weight))
             # one cut in each direction: the tree over a whose leaves are trees over b

@@ -74,7 +74,7 @@ def fences(rows: DataFrame, depth: int, slack: dict = SLACK, whiskers: float = 3
     """
     keys = [f"by_{i}" for i in range(depth)]
     fine = rows.filter("not base_failed").groupBy(*keys).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in slack])
-    q = lambda m, r: F.kll_sketch_get_quantile_double(F.col(m), F.lit(r))
+    q = lambda m, r: F.when(F.coalesce("n", F.lit(0)) > 0, F.kll_sketch_get_quantile_double(F.col(m), F.lit(r)))
 
     def bounds(sketched: DataFrame) -> DataFrame:
         out = {}
@@ -106,7 +106,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
         on = [F.col(f"by_{j}").eqNullSafe(F.col(f"on_{i}_{j}")) for j in range(depth - i)]
         bound = bound.join(other, reduce(Column.__and__, on), "left").drop(*[f"on_{i}_{j}" for j in range(depth - i)])
     whole = coarse[-1].select(*names).first()  # one row: the bounds of all groups together
-    bound = bound.withColumn(f"own_{depth}", F.struct(*[F.lit(whole[n]).cast("double").alias(n) for n in names]))
+    bound = bound.withColumn(f"own_{depth}", F.struct(*[F.lit(whole[n] if whole else None).cast("double").alias(n) for n in names]))
     bound = bound.select(*[F.col(f"by_{j}").alias(f"to_{j}") for j in range(depth)], F.coalesce(*[f"own_{i}" for i in range(depth + 1)]).alias("bound"))
     judged = rows.join(bound, reduce(Column.__and__, [F.col(f"by_{j}").eqNullSafe(F.col(f"to_{j}")) for j in range(depth)]), "left")
     fits = reduce(Column.__and__, [F.col(m).between(F.col(f"bound.low_{m}"), F.col(f"bound.high_{m}")) for m in slack])

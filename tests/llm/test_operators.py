@@ -1,0 +1,387 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, repeats, empty tables, extra columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from loomery.llm import embedding_dedup, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, url_filters
+from loomery.llm.common import held_out
+from loomery.llm.tokens import Encoder
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, n long, score string, held_out string"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(1)
+    syllables = ["the", "an", "re", "on", "éa", "ti", "ou", "st"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    base = line(300)
+    texts = [None, "", " \n\t ", "One", "one TWO", base, base, base.upper(), base + " tail", line(60) + "\n" + line(9) + "\n" + line(9), "x" * 100_000, ("go " * 400), line(30_000)]
+    texts += [line(rng.randint(1, 120)) for _ in range(60)]
+    texts += [f"{line(20)} joan.{i}@mail.example.com {line(5)} +1 (555) 010-2{i:03d} 10.0.{i}.7 4111 1111 1111 1111" for i in range(12)]
+    out = [(i, t, ("en", "fr", None)[i % 3], ("a", "b", None, "c")[i % 4], len(t or ""), 1, 2, "x", "y") for i, t in enumerate(texts)]
+    return out + [out[5], out[3], (None, "no id here", "en", "a", 10, 1, 2, "x", "y")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def crc(doc_id, modulus):
+    return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % modulus
+
+
+def test_lm_scores(docs, nothing, rows):
+    got = lm_scoring.lm_scores(docs, held_out(F.col("doc_id"), 7, 2), chunk_bytes=200_000).collect()
+    assert len(got) == len(rows)
+    tokens = lambda t: [w.encode() for w in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [b""]
+    counts = Counter(w for r in rows if crc(r[0], 7) != 2 for w in tokens(r[1]))
+    n, v, text = sum(counts.values()), len(counts), {r[0]: r[1] for r in rows}
+    for r in got:
+        t = tokens(text[r.doc_id])
+        assert r.held_out == (crc(r.doc_id, 7) == 2) and r.n_tokens == len(t) and r.train_tokens == n and r.n_known == sum(counts[w] > 0 for w in t)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
+        assert r.score < 0
+    assert lm_scoring.lm_scores(nothing, F.lit(False)).collect() == []
+    assert lm_scoring.lm_scores(docs.limit(2), F.lit(True)).agg(F.count("score")).first()[0] == 2
+
+
+def test_ppm_is_a_distribution_and_equals_a_plain_one():
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.choice(np.frombuffer(b"abcde", np.uint8), 50).tobytes()) for _ in range(20)]
+    found, counts = np.unique(np.concatenate([lm_scoring.grams([t])[0] for t in texts]), return_counts=True)
+    pairs = np.zeros((256, 256), np.int64)
+    np.add.at(pairs, ((found >> np.uint64(8) & np.uint64(255)).astype(int), (found & np.uint64(255)).astype(int)), counts)
+    seen = defaultdict(Counter)
+    for t in texts:
+        padded = b"\xff" * 4 + t + b"\xff"
+        for i in range(4, len(padded)):
+            for m in range(5):
+                seen[padded[i - m : i]][padded[i]] += 1
+
+    def plain(context, symbol):
+        out, excluded = 0.0, set()
+        for m in range(4, -1, -1):
+            own = {s: c for s, c in seen[context[4 - m :]].items() if s not in excluded}
+            if own:
+                total = sum(own.values()) + len(own)
+                if symbol in own:
+                    return out + math.log(own[symbol] / total)
+                out += math.log(len(own) / total)
+            excluded |= set(own)
+        return out - math.log(256 - len(excluded))
+
+    for context in (b"abca", b"\xff\xff\xffa", b"zzza", b"zzzz", b"\xff\xff\xff\xff"):
+        every = np.array([int.from_bytes(context + bytes([s])) for s in range(256)], np.uint64)
+        held = dict(zip(found.tolist(), counts.tolist(), strict=True))
+        both = np.unique(np.concatenate([every, found]))
+        logs = dict(zip(both.tolist(), lm_scoring.log_probabilities(both, np.array([held.get(g, 0) for g in both.tolist()]), pairs).tolist(), strict=True))
+        mine = [logs[g] for g in every.tolist()]
+        assert mine == pytest.approx([plain(context, s) for s in range(256)])
+        assert sum(map(math.exp, mine)) == pytest.approx(1)
+
+
+def test_simhash(docs, nothing, rows, spark):
+    def plain(text):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        w = words(w)
+        s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    got = simhash.simhash_components(docs).collect()
+    prints = {r[0]: plain(r[1]) for r in rows}
+    assert len(got) == len(rows) and all(r.fp & (2**64 - 1) == prints[r.doc_id] for r in got)
+    ids, group = [i for i in prints if i is not None], {i: i for i in prints}
+    for _ in ids:
+        for a in ids:
+            for b in ids:
+                if (prints[a] ^ prints[b]).bit_count() <= 2:
+                    group[a] = group[b] = min(group[a], group[b])
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {i: group[i] for i in ids}
+    assert simhash.simhash_components(nothing).collect() == []
+    kept = simhash.dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in ids if group[i] == i)
+
+
+def test_gray_index_finds_all_pairs():
+    rng = np.random.default_rng(3)
+    codes = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 80, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 80, dtype=np.uint64)) for base in rng.integers(0, 2**63, 4, dtype=np.uint64)]))
+    groups = rng.integers(0, 3, len(codes))
+    order = np.lexsort((simhash.gray_rank(codes), groups))
+    groups, codes = groups[order], codes[order]
+    got = {(int(a), int(b)) for x, y in simhash.GrayIndex(groups, codes).pairs(2) for a, b in zip(x, y, strict=True)}
+    assert got == {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if groups[i] == groups[j] and (int(codes[i]) ^ int(codes[j])).bit_count() <= 2}
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal((12, 16))
+    near = [(i, [float(x) for x in centre[i % 12] + rng.standard_normal(16) * 0.12], i % 3, "extra") for i in range(240)]
+    odd = [(1000, None, 1, "e"), (1001, [0.0] * 16, 1, "e"), (1002, [1.0, None] * 8, 1, "e"), (1003, [float("nan")] * 16, 1, "e"), (1004, near[0][1], None, "e"), (1005, [], 1, "e"), (1006, [1.0, 2.0], 0, "e")]
+    copies = [(2000 + i, near[0][1], 0, "e") for i in range(50)] + [(3000 + i, [x * 1e200 for x in near[1][1]], 1, "e") for i in range(3)]
+    all_ = near + odd + copies
+    df = spark.createDataFrame(all_, "vec_id long, embedding array<double>, label int, n_links string")
+    got = {r.vec_id: r for r in embedding_dedup.embedding_components(df).collect()}
+    assert len(got) == len(all_)
+    valid = [r for r in near + copies] + [odd[6]]
+    unit = {r[0]: np.array(r[1]) / np.abs(r[1]).max() for r in valid}
+    unit = {k: v / np.linalg.norm(v) for k, v in unit.items()}
+    links = [(a[0], b[0]) for i, a in enumerate(valid) for b in valid[:i] if a[2] == b[2] and len(a[1]) == len(b[1]) and unit[a[0]] @ unit[b[0]] >= 0.93]
+    want = Counter(x for p in links for x in p)
+    found = sum(got[i].n_links for i in got)
+    assert all(got[i].n_links <= want[i] for i in got) and found >= 0.97 * sum(want.values())
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1007))
+    assert got[2049].component_id == got[0].component_id and not got[2049].kept
+    plan = embedding_dedup.Plan.of(1000, 0.93)
+    assert embedding_dedup.Plan.of(10**9, 0.93).depth > plan.depth
+    assert embedding_dedup.embedding_components(df.limit(0)).collect() == []
+
+
+def test_crowded_cells_are_cut_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows_ = [(i, [float(x) for x in np.ones(8) + rng.standard_normal(8) * 0.05], 0) for i in range(150)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int")
+    whole = {r.vec_id: r.n_links for r in embedding_dedup.embedding_components(df).collect()}
+    monkeypatch.setattr(embedding_dedup, "CROWD", 20)
+    assert {r.vec_id: r.n_links for r in embedding_dedup.embedding_components(df).collect()} == whole == {i: 149 for i in range(150)}
+
+
+def test_mixing(docs, nothing, rows):
+    # one text longer than its source's target can only be taken or left
+    docs, rows = docs.filter("doc_id is null or doc_id <> 12"), [r for r in rows if r[0] != 12]
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    names = sorted(x for x in sizes if x is not None) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, capped = {}, set()
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in capped)
+        free = [s for s in names if s not in capped]
+        target = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if target[s] > 2 * sizes[s]]
+        if not over:
+            break
+        capped |= set(over)
+    target |= {s: 2.0 * sizes[s] for s in capped}
+    taken = defaultdict(int)
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) and r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= max(2, 0.01 * target[s]) for s in names)
+    key = lambda found: sorted((r.doc_id is None, r.doc_id or 0, r.taken) for r in found)
+    assert key(got) == key(mixing.mix(docs.repartition(7)).collect())
+    assert mixing.mix(nothing).collect() == []
+
+
+def test_subset_sum_is_exact():
+    rng = random.Random(0)
+    for _ in range(40):
+        lengths = np.array(rng.sample(range(1, 40), 5))
+        counts = np.array([rng.randint(0, 3) for _ in lengths])
+        budget = rng.randint(0, 120)
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + k * n for s in sums for k in range(c + 1)}
+        taken = mixing.subset_sum(lengths, counts, budget)
+        assert (taken <= counts).all() and int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
+def test_mixing_slices_agree_with_one(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 1)
+    got = mixing.mix(docs.select("doc_id", F.lit("a b c").alias("text"), F.lit("s").alias("source"))).collect()
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 3
+
+
+def test_language_id(docs, nothing, spark):
+    model = language_id.train(docs.filter("lang is not null"))
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert got[0].lang_pred == got[1].lang_pred == "und" and all(0 <= r.score <= 1 for r in got.values())
+    assert got[5].lang_pred in ("en", "fr")
+    assert language_id.identify(nothing, model).collect() == []
+    assert {r.lang_pred for r in language_id.identify(docs, language_id.train(nothing)).collect()} == {"und"}
+    sides = spark.createDataFrame([(i, ("abc abd " if i % 2 else "xyz xzy ") * 5, "p" if i % 2 else "q") for i in range(20)], "doc_id long, text string, lang string")
+    assert all((r.lang_pred == "p") == (r.doc_id % 2 == 1) for r in language_id.identify(sides, language_id.train(sides)).collect())
+
+
+def test_pii(docs, nothing, rows, spark):
+    model = pii.train(docs)
+    got = {r.doc_id: r for r in pii.personal_data(docs, model).collect()}
+    for r in rows:
+        base = plain_spans(r[1] or "")
+        g = got[r[0]]
+        assert g.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(g.spans.split(",")) | {""}
+    assert pii.personal_data(nothing, pii.train(nothing)).collect() == []
+    assert got[75].n_email == 1 and "joan" not in {r.doc_id: r.text for r in pii.pii_stage(spark, docs, "").collect()}[75]
+
+
+def plain_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)] if len(text) < 50_000 else []
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m)) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_pii_patterns_on_random_text():
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choices("ab1239.@@-+ ()\n", k=rng.randint(0, 40)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_skip_links_carry_a_label():
+    texts = [f"call +1 (212) 555-0{i:03d} now and then" for i in range(200)] + [f"item {i} of 17 at 3.5" for i in range(200)]
+    model = pii.fit(texts)
+    (base, every), = pii.find(["call +1 (212) 555-0123 or 212-555-0123 today"], model, sure=0.5)
+    assert base == [("phone", 5, 22)] and set(base) <= set(every)
+    g = pii.graph(["call +1 (212) 555-0123 or 212-555-0123 today"])
+    assert len(g.skip) == 1
+
+
+def test_packing(docs, nothing, rows):
+    path = packing.tokenizer_path()
+    got = packing.pack(docs, path).collect()
+    plain = Encoder(path).tokenizer
+    pieces, text = defaultdict(list), {r[0]: r[1] or "" for r in rows}
+    for r in got:
+        pieces[r.doc_id].append(r)
+    repeats = Counter(r[0] for r in rows)
+    for doc, own in pieces.items():
+        ids = np.array([*plain.encode(text[doc], add_special_tokens=False).ids, 1], "<u4")
+        assert sum(r.length for r in own) == repeats[doc] * len(ids) and all(r.doc_tokens == len(ids) for r in own)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048 and len(own) <= 64
+    assert packing.pack(nothing, path).collect() == []
+
+
+def test_encoder_equals_the_tokenizer():
+    encoder = Encoder(packing.tokenizer_path())
+    rng = random.Random(6)
+    odd = ["a", "B", "'s", "'LL", " ", "\n", "é", "É", "İ", "ß", "ſ", "1", "²", ",", "!?", "\x1c", "\x85", "\xa0", "日本", "e\u0301", "<|endoftext|>", "µ", "ª", "_", "\x00"]
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 12))) for _ in range(1500)]
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_dot_product_bins_keep_every_limit():
+    rng = np.random.default_rng(1)
+    sizes = np.stack([rng.integers(1, 900, 300), np.ones(300), rng.integers(0, 400, 300)], axis=1).astype(float)
+    limits = packing.Limits(2048, 8, 700).vector()
+    bins = packing.dot_product_bins(sizes, limits)
+    assert sorted(i for b in bins for i in b) == list(range(300)) and all((sizes[b].sum(axis=0) <= limits).all() for b in bins)
+    lower = max(math.ceil(sizes[:, k].sum() / limits[k]) for k in range(3))
+    assert len(bins) <= 1.15 * lower + 1
+
+
+def test_pack_examples(spark):
+    df = spark.createDataFrame([(i, 100 + i, 10, "x") for i in range(50)] + [(99, None, None, "x"), (100, 9999, 1, "x")], "id long, tokens long, loss_tokens long, sequence_id string")
+    got = packing.pack_examples(df, packing.Limits(), "id").collect()
+    assert sorted(r.id for r in got) == [*range(50), 99, 100]
+
+
+def test_quality_rules(docs, nothing, rows):
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    for r in rows:
+        w, g = words(r[1]), got[r[0]]
+        windows = defaultdict(list)
+        for i in range(len(w) - 7):
+            windows[tuple(w[i : i + 8])].append(i)
+        covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(8)}
+        lines = [x for x in (r[1] or "").split("\n") if words(x)]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r[1] or ""), len(lines) - len(set(lines)), len(covered))
+        assert g.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (g.base_failed and g.kept)
+    assert quality_rules.quality_rules(nothing).collect() == []
+    assert not any(r.kept for r in quality_rules.quality_rules(docs.filter("doc_id < 4")).collect())
+
+
+def test_url_filters(spark):
+    urls = [None, "", "nothing", "http://a.Example.ORG/es/x?q", "http://example.org/en/12", "https://m.example.org/en/2#f", "ftp://x.com/fr/1", "http://com/de/", "http://notorg/es/", "http://org", "http://b.net/de/", "x://?a", "http://a.com/fr/://b"]
+    df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)] + [(3, urls[3], "r")], "page_id long, url string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(df, url_filters.RULES).collect()}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = re.match(r"[^/?#]*", rest)[0].lower(), re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fit = [(r, v) for r, v in url_filters.RULES for h, p in [(r.split("/")[0], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fit, key=lambda x: len(x[0]), default=(None, "allow"))
+        assert got[i] == (host, path, rule, verdict), u
+    assert url_filters.judge_urls(df.limit(0), url_filters.RULES).collect() == []
+
+
+def test_cascade_is_exact(spark):
+    listed = spark.range(3000).selectExpr("concat('k', id * 7) as key")
+    universe = spark.range(20000).selectExpr("concat('k', id) as key")
+    cascade = url_filters.build_cascade(listed, universe, bits_per_key=3)
+    a, b = url_filters.hashes(F.col("key"))
+    found = universe.select("key", a.alias("a"), b.alias("b")).toPandas()
+    is_in = cascade.has(found["a"].to_numpy().view(np.uint64), found["b"].to_numpy().view(np.uint64))
+    assert len(cascade.levels) > 2 and set(found["key"][is_in]) == {f"k{7 * i}" for i in range(3000) if 7 * i < 20000}
+
+
+def test_quality_classifier(docs, nothing, spark):
+    rng = random.Random(8)
+    good = lambda: " ".join("".join(rng.choices(["the", "an", "re", "on"], k=2)) for _ in range(60)) + "."
+    rows_ = [(i, good() if i % 2 else "BUY!!! " * 40, "e", "x") for i in range(400)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, score string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1), (5, None), (1, 0), (1, 1)], "doc_id long, quality int")
+    model = quality_classifier.train(df, labels)
+    got = quality_classifier.score(df, model).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got) >= 0.95 * len(got)
+    assert all(0 <= r.score <= 1 for r in quality_classifier.score(docs, model).collect())
+    assert quality_classifier.score(nothing, model).collect() == []
+    assert quality_classifier.train(nothing, labels).score(np.zeros((1, len(quality_classifier.FEATURES))))[0] == 0.5
+
+
+def test_pairs_explain_what_single_features_cannot():
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, len(quality_classifier.FEATURES)))
+    y = ((x[:, 0] > 0.5) != (x[:, 1] > 0.5)).astype(float)
+    model = quality_classifier.fit(x, y, rounds=40, pairs=3)
+    assert ((model.score(x) >= 0.5) == y).mean() > 0.9
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "dedup", "pii", "mixing", "packing"]
+    part = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, part, "")
+        assert out.columns == part.columns, name
+        part = out.cache()
+    twice = part.groupBy("doc_id").count().agg(F.max("count")).first()[0]
+    assert twice <= 2 and corpus_pipeline.STAGES[4][1](spark, part, "").count() > 0
