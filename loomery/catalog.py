@@ -20,13 +20,25 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def _load() -> None:
+    import importlib
+    import pkgutil
+
+    from loomery import plans
+
+    for module in pkgutil.iter_modules(plans.__path__, "loomery.plans."):
+        importlib.import_module(module.name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    return queries()["a01_dashboard"](spark, sf_dir)
