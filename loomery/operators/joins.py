@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def co_members(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -36,18 +41,37 @@ def contains_part(labels: DataFrame, label: str, names: DataFrame, name: str, se
     return labels.select(label, F.explode(F.array_distinct(F.split(label, separator))).alias(name)).join(names.select(name), name).select(label, name)
 
 
-def contains_text(long: DataFrame, text: str, short: DataFrame, needle: str, width: int = 12) -> DataFrame:
-    """Rows of long with the needles their text contains.
+def _matcher(needles: list[str], at: int, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for needle in needles:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        for x in batches:
+            found = [sorted({n for _, n in automaton.iter(t)}) if t else [] for t in x.column(at).to_pylist()]
+            rows = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in x.columns), pa.array([n for own in found for n in own], pa.string())], [*x.schema.names, name])
+
+    return run
+
+
+def contains_text(long: DataFrame, text: str, short: DataFrame, needle: str, block: int = 50_000) -> DataFrame:
+    """Rows of long, with the rows of short whose needle their text contains.
 
-    A containing text holds the needle's first `width` characters at some place, so both sides meet on that prefix (one row for
-    each place of the text) and the containment is checked on what meets; needles shorter than the prefix meet by length.
+    short is a query set: its distinct needles go to the executors in blocks of stated size, each an automaton that reads a
+    text once whatever the number of needles, so no pair is tried. Null and empty needles match nothing.
     """
-    sizes = [r[0] for r in short.select(F.least(F.length(needle), F.lit(width)).alias("n")).filter("n > 0").distinct().collect()]  # at most `width` numbers
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substring(F.col(text), i, F.lit(n)))
-    places = F.array_distinct(F.flatten(F.array(*[grams(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
-    left = long.withColumn("_at", F.explode(places))
-    right = short.withColumn("_at", F.substring(needle, 1, width))
-    return left.join(right, "_at").filter(F.contains(F.col(text), F.col(needle))).drop("_at").distinct()
+    distinct = short.select(needle).filter(F.length(needle) > 0).distinct()
+    blocks: list[list[str]] = [[]]
+    for row in distinct.toLocalIterator():
+        if len(blocks[-1]) >= block:
+            blocks.append([])
+        blocks[-1].append(row[0])
+    at = long.columns.index(text)
+    parts = [long.mapInArrow(_matcher(b, at, "_needle"), T.StructType([*long.schema.fields, T.StructField("_needle", T.StringType())])) for b in blocks]
+    return reduce(DataFrame.unionByName, parts).join(short.withColumnRenamed(needle, "_needle"), "_needle").withColumn(needle, F.col("_needle")).drop("_needle")
 
 
 def bridge(tables: DataFrame, apis: DataFrame, domain: str, name: str, body: str, cap: int = 5) -> DataFrame:
