@@ -18,7 +18,7 @@ from loomery.session import materialize, table
 
 ORDER = 4  # bytes of context; a gram is a context and the byte after it
 END = 0xFF  # no byte of UTF-8; stands before and after a text
-CHUNK, PART = 64 << 20, 1_500_000
+CHUNK, PART = 16 << 20, 1_500_000
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
