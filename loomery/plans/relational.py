@@ -11,7 +11,10 @@ from loomery.operators import ranking as K
 from loomery.plans.views import ASOF, edges, nodes, view, with_graph, with_views
 from loomery.session import table
 
-TOKENS = F.expr("array_distinct(filter(regexp_extract_all(lower(text), '[a-z0-9_]+', 0), x -> length(x) > 2))")
+def tokens():
+    return F.expr("array_distinct(filter(regexp_extract_all(lower(text), '[a-z0-9_]+', 0), x -> length(x) > 2))")
+
+
 SQL_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2))"
 
 
@@ -86,8 +89,8 @@ def f12_fallback(spark, d):
 
 @query("f13_negative_overlap", f"WITH q AS (SELECT item_id, {SQL_TOKENS} AS w FROM benchmark), k AS (SELECT doc_id, {SQL_TOKENS} AS w FROM documents WHERE lang = 'en' AND doc_id < 200) SELECT item_id, doc_id FROM q, k WHERE len(q.w) > 0 AND len(list_intersect(k.w, q.w)) / len(q.w)::DOUBLE > 0.3")
 def f13_negative_overlap(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", TOKENS.alias("w"))
-    k = table(spark, d, "documents").filter("lang = 'en' AND doc_id < 200").select("doc_id", TOKENS.alias("w"))
+    q = table(spark, d, "benchmark").select("item_id", tokens().alias("w"))
+    k = table(spark, d, "documents").filter("lang = 'en' AND doc_id < 200").select("doc_id", tokens().alias("w"))
     met = q.select("item_id", F.size("w").alias("n"), F.explode("w").alias("t")).join(k.select("doc_id", F.explode("w").alias("t")), "t")
     return met.groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("share")).filter("share > 0.3").select("item_id", "doc_id")
 
@@ -327,14 +330,14 @@ def k04_token_cosine(spark, d):
 def k06_mmr(spark, d):
     e = table(spark, d, "embeddings")
     near = J.similar(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 20)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), TOKENS.alias("tokens"), F.col("lang").alias("kind"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), tokens().alias("tokens"), F.col("lang").alias("kind"))
     return K.mmr(near.join(docs, "vec_id"), "query_id", "vec_id", "similarity", "tokens", "kind")
 
 
 @query("k07_keyword_rerank", f"WITH q AS (SELECT item_id, {SQL_TOKENS} AS w FROM benchmark), k AS (SELECT doc_id, lang, {SQL_TOKENS} AS w FROM documents WHERE doc_id < 100) SELECT item_id, doc_id, round(0.35 * 0.5 + 0.25 * len(list_intersect(k.w, q.w)) / len(q.w)::DOUBLE + 0.2 * (lang = 'en')::INT + 0.1 * 0.5 + 0.1 * 0.9, 6)::DOUBLE AS score FROM q, k WHERE len(list_intersect(k.w, q.w)) > 0")
 def k07_keyword_rerank(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", TOKENS.alias("q"))
-    k = table(spark, d, "documents").filter("doc_id < 100").select("doc_id", "lang", TOKENS.alias("w"))
+    q = table(spark, d, "benchmark").select("item_id", tokens().alias("q"))
+    k = table(spark, d, "documents").filter("doc_id < 100").select("doc_id", "lang", tokens().alias("w"))
     met = q.select("item_id", F.size("q").alias("n"), F.explode("q").alias("t")).join(k.select("doc_id", "lang", F.explode("w").alias("t")), "t").groupBy("item_id", "doc_id", "lang").agg((F.count("*") / F.first("n")).alias("overlap"))
     return met.select("item_id", "doc_id", F.round(K.keyword_score(F.lit(0.5), F.col("overlap"), F.col("lang") == "en", F.lit(0.5), F.lit(0.9)), 6).alias("score"))
 
