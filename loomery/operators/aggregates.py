@@ -49,7 +49,7 @@ def usage(df: DataFrame, *keys: str) -> DataFrame:
     """Count, mean confidence and latency, escalation rate, total and mean cost, by keys."""
     return df.groupBy(*keys).agg(
         F.count("*").alias("queries"), F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.round(F.avg("latency_ms"), 4).alias("avg_latency_ms"),
-        F.round(rate(F.col("escalated")), 4).alias("escalation_rate"), F.round(F.sum("cost_usd"), 4).alias("total_cost"), F.round(F.avg("cost_usd"), 6).alias("avg_cost"),
+        F.round(rate(F.col("escalated")), 4).alias("escalation_rate"), F.round(F.sum("cost_usd"), 8).alias("total_cost"), F.round(F.avg("cost_usd"), 6).alias("avg_cost"),
     )
 
 
@@ -78,8 +78,8 @@ def histogram(df: DataFrame, value: str, bounds: list[float], *keys: str) -> Dat
 def cost_report(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """dim, key, queries, cost for each dimension; totals are sums of the rounded parts."""
     sets = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c.cast("string").alias("key")) for d, c in dims.items()])).alias("x")
-    parts = df.select("cost_usd", sets).groupBy("x.dim", "x.key").agg(F.count("*").alias("queries"), F.round(F.sum("cost_usd"), 4).alias("cost"))
-    return parts.withColumn("dim_total", F.round(F.sum("cost").over(Window.partitionBy("dim")), 4))
+    parts = df.select("cost_usd", sets).groupBy("x.dim", "x.key").agg(F.count("*").alias("queries"), F.round(F.sum("cost_usd"), 8).alias("cost"))
+    return parts.withColumn("dim_total", F.round(F.sum("cost").over(Window.partitionBy("dim")), 8))
 
 
 def coverage_gaps(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
@@ -130,7 +130,7 @@ def failure_report(df: DataFrame, domain: str, failed: Column, flag: float = 0.2
 
 
 def run_metrics(df: DataFrame, key: str = "run_id") -> DataFrame:
-    return df.groupBy(key).agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 4).alias("avg_score"), F.round(F.min("latency_ms"), 4).alias("min_latency"), F.round(F.max("latency_ms"), 4).alias("max_latency"), F.round(F.sum("cost_usd"), 4).alias("cost"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens"), F.round(rate(F.col("passed")), 4).alias("accuracy"))
+    return df.groupBy(key).agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 4).alias("avg_score"), F.round(F.min("latency_ms"), 4).alias("min_latency"), F.round(F.max("latency_ms"), 4).alias("max_latency"), F.round(F.sum("cost_usd"), 8).alias("cost"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens"), F.round(rate(F.col("passed")), 4).alias("accuracy"))
 
 
 def tool_weights(stats: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from loomery.operators import aggregates as A
 from loomery.plans.views import ASOF, view, with_views
 from loomery.session import table
 
-USAGE = "count(*) AS queries, round(avg(confidence), 4) AS avg_confidence, round(avg(latency_ms), 4) AS avg_latency_ms, round(coalesce(avg(escalated::INT), 0), 4) AS escalation_rate, round(sum(cost_usd), 4) AS total_cost, round(avg(cost_usd), 6) AS avg_cost"
+USAGE = "count(*) AS queries, round(avg(confidence), 4) AS avg_confidence, round(avg(latency_ms), 4) AS avg_latency_ms, round(coalesce(avg(escalated::INT), 0), 4) AS escalation_rate, round(sum(cost_usd), 8) AS total_cost, round(avg(cost_usd), 6) AS avg_cost"
 AGE = f"date_diff('day', created_at::DATE, ({ASOF})::DATE)"
 DECAY = f"CASE WHEN {AGE} <= 7 THEN 1.0 WHEN {AGE} <= 30 THEN 0.9 WHEN {AGE} <= 90 THEN 0.8 ELSE 0.7 END"
 
@@ -45,7 +45,7 @@ def a04_intent_deep_dive(spark, d):
     return A.usage(view(spark, d, "analytics").filter("intent = 'purchase'"), "entity", "model")
 
 
-@query("a05_cost_report", with_views("WITH p AS (SELECT 'model' AS dim, model AS key, cost_usd FROM analytics UNION ALL SELECT 'intent', intent, cost_usd FROM analytics UNION ALL SELECT 'day', CAST(created_at::DATE AS VARCHAR), cost_usd FROM analytics), g AS (SELECT dim, key, count(*) AS queries, round(sum(cost_usd), 4) AS cost FROM p GROUP BY ALL) SELECT *, round(sum(cost) OVER (PARTITION BY dim), 4) AS dim_total FROM g", "analytics"))
+@query("a05_cost_report", with_views("WITH p AS (SELECT 'model' AS dim, model AS key, cost_usd FROM analytics UNION ALL SELECT 'intent', intent, cost_usd FROM analytics UNION ALL SELECT 'day', CAST(created_at::DATE AS VARCHAR), cost_usd FROM analytics), g AS (SELECT dim, key, count(*) AS queries, round(sum(cost_usd), 8) AS cost FROM p GROUP BY ALL) SELECT *, round(sum(cost) OVER (PARTITION BY dim), 8) AS dim_total FROM g", "analytics"))
 def a05_cost_report(spark, d):
     return A.cost_report(view(spark, d, "analytics"), {"model": F.col("model"), "intent": F.col("intent"), "day": F.to_date("created_at")})
 
@@ -55,9 +55,9 @@ def a06_hourly_traffic(spark, d):
     return view(spark, d, "analytics").groupBy(F.hour("created_at").alias("hour")).agg(F.count("*").alias("n"))
 
 
-@query("a07_session_cost", with_views("SELECT session_id, CAST(created_at::DATE AS VARCHAR) AS day, count(*) AS events, round(sum(cost_usd), 4) AS cost, count(DISTINCT intent) AS intents FROM analytics GROUP BY ALL", "analytics"))
+@query("a07_session_cost", with_views("SELECT session_id, CAST(created_at::DATE AS VARCHAR) AS day, count(*) AS events, round(sum(cost_usd), 8) AS cost, count(DISTINCT intent) AS intents FROM analytics GROUP BY ALL", "analytics"))
 def a07_session_cost(spark, d):
-    return view(spark, d, "analytics").groupBy("session_id", F.to_date("created_at").cast("string").alias("day")).agg(F.count("*").alias("events"), F.round(F.sum("cost_usd"), 4).alias("cost"), F.countDistinct("intent").alias("intents"))
+    return view(spark, d, "analytics").groupBy("session_id", F.to_date("created_at").cast("string").alias("day")).agg(F.count("*").alias("events"), F.round(F.sum("cost_usd"), 8).alias("cost"), F.countDistinct("intent").alias("intents"))
 
 
 @query("a08_feedback_summary", with_views("SELECT CAST(created_at::DATE AS VARCHAR) AS day, count(*) AS n, round(avg(rating), 4) AS avg_rating, count_if(rating = 1) AS r1, count_if(rating = 2) AS r2, count_if(rating = 3) AS r3, count_if(rating = 4) AS r4, count_if(rating = 5) AS r5 FROM feedback GROUP BY 1", "feedback"))
@@ -70,9 +70,9 @@ def a08_low_scores(spark, d):
     return view(spark, d, "feedback").filter("rating <= 2").orderBy(F.desc("created_at"), "feedback_id").limit(20).select("feedback_id", "session_id", "rating")
 
 
-@query("a09_learning_section", with_views(f"SELECT count(*) AS records, count(DISTINCT session_id) AS sessions, count(DISTINCT model) AS models, round(sum(cost_usd), 4) AS cost, round(avg(feedback_score), 4) AS avg_feedback FROM analytics WHERE created_at >= {ASOF} - INTERVAL 7 DAYS AND created_at < {ASOF}", "analytics"))
+@query("a09_learning_section", with_views(f"SELECT count(*) AS records, count(DISTINCT session_id) AS sessions, count(DISTINCT model) AS models, round(sum(cost_usd), 8) AS cost, round(avg(feedback_score), 4) AS avg_feedback FROM analytics WHERE created_at >= {ASOF} - INTERVAL 7 DAYS AND created_at < {ASOF}", "analytics"))
 def a09_learning_section(spark, d):
-    return A.since(view(spark, d, "analytics"), ASOF, 7).agg(F.count("*").alias("records"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("model").alias("models"), F.round(F.sum("cost_usd"), 4).alias("cost"), F.round(F.avg("feedback_score"), 4).alias("avg_feedback"))
+    return A.since(view(spark, d, "analytics"), ASOF, 7).agg(F.count("*").alias("records"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("model").alias("models"), F.round(F.sum("cost_usd"), 8).alias("cost"), F.round(F.avg("feedback_score"), 4).alias("avg_feedback"))
 
 
 @query("a09_top_intents", with_views("SELECT intent, entity, count(*) AS n FROM analytics GROUP BY ALL ORDER BY n DESC, intent, entity LIMIT 10", "analytics"))
@@ -91,10 +91,10 @@ def a11_tool_usage(spark, d):
     return view(spark, d, "executions").groupBy("tool_name").agg(F.count("*").alias("calls"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.round(A.rate(ok), 4).alias("success_rate"), F.round(F.avg("duration_ms"), 4).alias("avg_ms")).orderBy(F.desc("calls"), "tool_name").limit(15)
 
 
-@query("a12_cost_by_model_day", with_views("SELECT model, CAST(created_at::DATE AS VARCHAR) AS day, round(sum(cost_usd), 4) AS cost, grouping(day) AS is_total FROM (SELECT model, created_at, created_at::DATE AS day, cost_usd FROM analytics) GROUP BY GROUPING SETS ((model, created_at::DATE, day), (model)) HAVING false UNION ALL SELECT model, CAST(created_at::DATE AS VARCHAR), round(sum(cost_usd), 4), 0 FROM analytics GROUP BY 1, 2 UNION ALL SELECT model, NULL, round(sum(cost_usd), 4), 1 FROM analytics GROUP BY 1 UNION ALL SELECT NULL, NULL, round(sum(cost_usd), 4), 1 FROM analytics", "analytics"))
+@query("a12_cost_by_model_day", with_views("SELECT model, CAST(created_at::DATE AS VARCHAR) AS day, round(sum(cost_usd), 8) AS cost, grouping(day) AS is_total FROM (SELECT model, created_at, created_at::DATE AS day, cost_usd FROM analytics) GROUP BY GROUPING SETS ((model, created_at::DATE, day), (model)) HAVING false UNION ALL SELECT model, CAST(created_at::DATE AS VARCHAR), round(sum(cost_usd), 8), 0 FROM analytics GROUP BY 1, 2 UNION ALL SELECT model, NULL, round(sum(cost_usd), 8), 1 FROM analytics GROUP BY 1 UNION ALL SELECT NULL, NULL, round(sum(cost_usd), 8), 1 FROM analytics", "analytics"))
 def a12_cost_by_model_day(spark, d):
     x = view(spark, d, "analytics").withColumn("day", F.to_date("created_at").cast("string"))
-    return x.rollup("model", "day").agg(F.round(F.sum("cost_usd"), 4).alias("cost"), F.grouping("day").cast("long").alias("is_total"))
+    return x.rollup("model", "day").agg(F.round(F.sum("cost_usd"), 8).alias("cost"), F.grouping("day").cast("long").alias("is_total"))
 
 
 @query("a13_accuracy_section", with_views("SELECT intent, count_if(confidence >= 0.9) AS high, count_if(confidence >= 0.7 AND confidence < 0.9) AS middle, count_if(confidence < 0.7) AS low, round(100.0 * count_if(escalated) / count(*), 4) AS escalated_percent FROM analytics GROUP BY intent", "analytics"))
@@ -145,7 +145,7 @@ def a19_failure_report(spark, d):
     return A.failure_report(view(spark, d, "preferences"), "dimension", F.col("preference") == "both_bad")
 
 
-@query("a20_run_metrics", with_views("SELECT run_id, count(*) AS cases, count_if(passed) AS passed, round(avg(score), 4) AS avg_score, round(min(latency_ms), 4) AS min_latency, round(max(latency_ms), 4) AS max_latency, round(sum(cost_usd), 4) AS cost, sum(tokens_used)::BIGINT AS tokens, round(avg(passed::INT), 4) AS accuracy FROM runs GROUP BY 1", "runs"))
+@query("a20_run_metrics", with_views("SELECT run_id, count(*) AS cases, count_if(passed) AS passed, round(avg(score), 4) AS avg_score, round(min(latency_ms), 4) AS min_latency, round(max(latency_ms), 4) AS max_latency, round(sum(cost_usd), 8) AS cost, sum(tokens_used)::BIGINT AS tokens, round(avg(passed::INT), 4) AS accuracy FROM runs GROUP BY 1", "runs"))
 def a20_run_metrics(spark, d):
     return A.run_metrics(view(spark, d, "runs"))
 

@@ -35,9 +35,31 @@ def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([x.column("path"), pa.array(docs, pa.string())], ["path", "doc"])
 
 
+def _underscored(spark: SparkSession, root: str, block: int = 5000) -> DataFrame:
+    """path, content of the small _*.yaml files (one a table), which Spark's own listing passes over as hidden. The driver reads
+    them through Hadoop's file system, so any store works, and hands them on in blocks."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, blocks, rows = fs.listFiles(at, True), [], []
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().startswith("_") and path.getName().endswith(".yaml"):
+            stream = fs.open(path)
+            try:
+                rows.append((path.toString(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            finally:
+                stream.close()
+        if len(rows) >= block:
+            blocks.append(spark.createDataFrame(rows, "path string, content binary"))
+            rows = []
+    return reduce(DataFrame.unionByName, [*blocks, spark.createDataFrame(rows, "path string, content binary")])
+
+
 def yaml_tree(spark: SparkSession, root: str, glob: str = "*.yaml") -> DataFrame:
     """path, repo, pillar, folder, file, doc (JSON) for every document under root/{repo}/pillar_*/..."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "content")
+    files = files.unionByName(_underscored(spark, root))
     docs = files.mapInArrow(_loaded, "path string, doc string")
     part = lambda p: F.regexp_extract("path", p, 1)
     return docs.select("path", part(r"([^/]+)/pillar_[^/]+/").alias("repo"), part(r"/(pillar_[^/]+)/").alias("pillar"), part(r"([^/]+)/[^/]+$").alias("folder"), part(r"([^/]+)\.ya?ml$").alias("file"), "doc")
