@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm.common import held_out, raw, slices, whole
-from loomery.session import materialize, table
+from loomery.session import table, written
 
 ORDER = 4  # bytes of context; a gram is a context and the byte after it
 END = 0xFF  # no byte of UTF-8; stands before and after a text
-CHUNK, PART = 16 << 20, 1_500_000
+CHUNK, PART = 32 << 20, 1_500_000
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -235,11 +235,11 @@ def lm_scores(docs: DataFrame, out, order: int = ORDER, chunk_bytes: int = CHUNK
     parts = max(1, math.ceil((seen[0] or 0) / max(1, seen[1] or 1) / chunk_bytes))
     chunk = F.xxhash64("file", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     own = own.select(chunk.alias("chunk"), "doc_id", "held_out", "text")
-    kept = materialize(own.mapInArrow(_gather(order), "chunk long, word binary, gram long, n long"))
+    kept = written(own.mapInArrow(_gather(order), "chunk long, word binary, gram long, n long"))
     words, codes = kept.filter("word is not null"), kept.filter("gram is not null")
-    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("n")))
+    counts = written(words.groupBy("word").agg(F.sum("n").alias("n")))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    trie = materialize(codes.groupBy("gram").agg(F.sum("n").alias("n")))
+    trie = written(codes.groupBy("gram").agg(F.sum("n").alias("n")))
     low = trie.groupBy(F.col("gram").bitwiseAND(65535).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(65536, np.int64)
     pairs[low.column("pair").to_numpy()] = low.column("n").to_numpy()
