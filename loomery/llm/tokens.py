@@ -8,7 +8,8 @@ import unicodedata
 
 import numpy as np
 
-KEPT = 400_000  # pre-tokens held at most; more only cost another encode()
+KEPT = 300_000  # pre-tokens held at most; more only cost another encode()
+GROUP = 64  # pre-tokens of one encode()
 
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
 #: lower-casing these is one character to one, and composing them changes nothing
@@ -30,20 +31,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closing[i] = token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.ends = [np.zeros(0, np.uint32)], [0]
         self.flat = np.zeros(0, np.uint32)
         self.bounds = np.zeros(1, np.int64)
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has. Words go in groups with blanks between, which the tokenizer drops: each
+        ends with the one token that closes a word."""
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        ids, sizes = [], []
+        for group, x in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            own = np.array(x.ids, np.uint32)
+            last = np.flatnonzero(self.closing[own])
+            if len(last) != len(group) or (len(own) and last[-1] != len(own) - 1):
+                each = [y.ids for y in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                own = np.array([i for y in each for i in y], np.uint32)
+                last = np.cumsum(list(map(len, each))) - 1
+            ids.append(own)
+            sizes.append(np.diff(last, prepend=-1))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids, sizes = self._ids(words)
         at = len(self.place)
         self.place.update(zip(words, range(at, at + len(words)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, ids])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
