@@ -169,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     voted = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("y")).dropna().groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     bounded = voted.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)  # a sample of stated size: small enough to broadcast
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows_ = own.join(F.broadcast(bounded), "doc_id").select("doc_id", "y", "text").limit(2 * rows)
-    got = rows_.mapInArrow(_featured, "doc_id long, y double, x array<double>").toArrow().sort_by("doc_id")
+    figures = own.join(F.broadcast(bounded), "doc_id").select("doc_id", "y", "text").mapInArrow(_featured, "doc_id long, y double, x array<double>")
+    got = figures.limit(2 * rows).toArrow().sort_by("doc_id")
     x = np.asarray(got.column("x").combine_chunks().flatten(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, got.column("y").to_numpy())
 
