@@ -41,4 +41,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["a01_dashboard"](spark, sf_dir)
+    return queries()["h01_hybrid_retrieval"](spark, sf_dir)
