@@ -26,6 +26,12 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def each(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """UTF-8 of each text, null as empty, some rows at a time: a batch of long texts never stands in Python as a whole."""
+    for lo in range(0, len(column), rows):
+        yield from raw(column.slice(lo, rows))
+
+
 def whole(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
     """All rows of one partition, or None if it has none."""
     rows = [x for x in batches if x.num_rows]

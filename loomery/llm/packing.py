@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,11 +107,12 @@ def _pack(path: str, limits: Limits, least: int):
 
         schema = None
         for x in batches:
-            docs, texts = x.column(0).to_pylist(), ["" if t is None else t for t in x.column(1).to_pylist()]
             schema = pa.schema([("doc_id", x.schema.types[0]), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
             rows: list[tuple] = []
-            for lo, hi in slices(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)), CHARS):
-                for doc, ids in zip(docs[lo:hi], tokenizer.encode(texts[lo:hi]), strict=True):
+            sizes = pc.fill_null(pc.binary_length(x.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            for lo, hi in slices(sizes, CHARS):
+                docs, texts = (x.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
+                for doc, ids in zip(docs, tokenizer.encode(["" if t is None else t for t in texts]), strict=True):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
                     whole = len(ids) // size * size
                     for start in range(0, whole, size):

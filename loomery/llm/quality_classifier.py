@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import held_out, raw
+from loomery.llm.common import each, held_out
 from loomery.session import table
 
 ROWS, BINS, PAIR_BINS, ROUNDS, PAIRS, RATE, LEAVES, SEED = 20_000, 64, 16, 200, 6, 0.1, 4, 23
@@ -50,7 +50,7 @@ def features(text: bytes) -> list[float]:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        found = np.array([features(t) for t in raw(x.column(x.num_columns - 1))], np.float64).reshape(-1, len(FEATURES))
+        found = np.array([features(t) for t in each(x.column(x.num_columns - 1))], np.float64).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], [*x.schema.names[:-1], "x"])
 
 
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 def _scored(model: Additive):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            found = np.array([features(t) for t in raw(x.column(x.num_columns - 1))], np.float64).reshape(-1, len(FEATURES))
+            found = np.array([features(t) for t in each(x.column(x.num_columns - 1))], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.array(model.score(found))], [*x.schema.names[:-1], "score"])
 
     return run
@@ -205,7 +205,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def _filtered(model: Additive, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            found = np.array([features(t) for t in raw(x.column(at))], np.float64).reshape(-1, len(FEATURES))
+            found = np.array([features(t) for t in each(x.column(at))], np.float64).reshape(-1, len(FEATURES))
             yield x.filter(pa.array(model.score(found) >= 0.5))
 
     return run

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import raw, slices, whole
+from loomery.llm.common import each, slices, whole
 from loomery.operators.components import connected_components, local_roots
 from loomery.session import materialize, table
 
@@ -40,7 +40,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            found = np.array([fingerprint(t, shingle) for t in raw(x.column(1))], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, shingle) for t in each(x.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(found)], ["doc_id", "fp"])
 
     return run
