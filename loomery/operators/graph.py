@@ -124,8 +124,10 @@ def reconcile(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def as_text(nodes: DataFrame, edges: DataFrame, most: int = 400) -> DataFrame:
-    """id, text: label, type and outgoing edges in order, cut at `most` characters."""
-    lines = edges.groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "edge_type", "target_id"))), "; ").alias("out"))
+    """id, text: label, type and outgoing edges in order, cut at `most` characters; no node gathers more edges than could show."""
+    line = F.concat_ws(" ", "edge_type", "target_id")
+    shown = edges.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy(line))).filter(F.col("_n") <= most)
+    lines = shown.groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("out"))
     return nodes.join(lines, "id", "left").select("id", F.substring(F.concat(F.col("label"), F.lit(" ("), "node_type", F.lit(")"), F.coalesce(F.concat(F.lit(": "), "out"), F.lit(""))), 1, most).alias("text"))
 
 
