@@ -157,7 +157,7 @@ def a21_tool_weights(spark, d):
     return A.tool_weights(x.join(tools.select("tool", "confidence"), "tool", "left"), tools.select("tool", "rating"))
 
 
-@query("a22_leaderboard", with_views("SELECT *, row_number() OVER (PARTITION BY intent ORDER BY confidence DESC, cost, model) AS rank FROM (SELECT intent, model, count(*) AS runs, round(avg(confidence), 6) AS confidence, round(avg(cost_usd), 8) AS cost, round(avg(latency_ms), 6) AS latency FROM analytics GROUP BY ALL)", "analytics"))
+@query("a22_leaderboard", with_views("SELECT *, row_number() OVER (PARTITION BY intent ORDER BY confidence DESC, cost, model) AS rank FROM (SELECT intent, model, count(*) AS runs, round(avg(confidence), 6) AS confidence, round(avg(cost_usd), 8) AS cost, round(avg(latency_ms), 6) AS latency FROM analytics GROUP BY ALL)", "analytics"), ints=("rank",))
 def a22_leaderboard(spark, d):
     return A.leaderboard(view(spark, d, "analytics"), "intent", "model")
 

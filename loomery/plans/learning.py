@@ -151,7 +151,7 @@ def w03_strengthen(spark, d):
     return edges(spark, d)
 
 
-@query("k05_category_top", "WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), t AS (SELECT * FROM r WHERE r <= 3) SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM t ORDER BY 2 LIMIT 5")
+@query("k05_category_top", "WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), t AS (SELECT * FROM r WHERE r <= 3) SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM t ORDER BY 2 LIMIT 5", ints=("position",))
 def k05_category_top(spark, d):
     top = K.top_per(table(spark, d, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 3)
     return K.top_per(top.withColumn("one", F.lit(1)), ["one"], [F.desc("n_chars"), F.col("doc_id")], 5).select("doc_id", "position")
@@ -166,7 +166,7 @@ def k10_routing(spark, d):
     return best.select("user_id", "event_id", F.when(F.col("p") == 1, 0.9).when(F.col("p") == 2, 0.8).otherwise(0.3).alias("confidence"))
 
 
-@query("k13_hop_order", with_graph("SELECT id, row_number() OVER (ORDER BY CASE WHEN id IN ('order:1', 'nation:3') THEN 0 ELSE 1 END, CASE node_type WHEN 'order' THEN 1 WHEN 'customer' THEN 2 WHEN 'nation' THEN 3 ELSE 9 END, id) AS position FROM nodes WHERE node_type IN ('order', 'nation', 'region') ORDER BY 2 LIMIT 40"))
+@query("k13_hop_order", with_graph("SELECT id, row_number() OVER (ORDER BY CASE WHEN id IN ('order:1', 'nation:3') THEN 0 ELSE 1 END, CASE node_type WHEN 'order' THEN 1 WHEN 'customer' THEN 2 WHEN 'nation' THEN 3 ELSE 9 END, id) AS position FROM nodes WHERE node_type IN ('order', 'nation', 'region') ORDER BY 2 LIMIT 40"), ints=("position",))
 def k13_hop_order(spark, d):
     n = nodes(spark, d).filter("node_type IN ('order', 'nation', 'region')").withColumn("one", F.lit(1))
     rank = F.when(F.col("node_type") == "order", 1).when(F.col("node_type") == "customer", 2).when(F.col("node_type") == "nation", 3).otherwise(9)
@@ -200,7 +200,7 @@ def l04_eval_seeds(spark, d):
     return table(spark, d, "conversations").filter((F.col("role") == "user") & (F.length("text") >= 10) & (F.col("conv_id") % 3 == 0)).select("conv_id", "turn", "text")
 
 
-@query("l05_weakest", with_views("SELECT entity, event_id, position FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY confidence, event_id) AS position FROM analytics WHERE confidence < 0.4) WHERE position <= 3", "analytics"))
+@query("l05_weakest", with_views("SELECT entity, event_id, position FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY confidence, event_id) AS position FROM analytics WHERE confidence < 0.4) WHERE position <= 3", "analytics"), ints=("position",))
 def l05_weakest(spark, d):
     return L.weakest(view(spark, d, "analytics"), ["entity"], "confidence", 0.4, 3, "event_id").select("entity", "event_id", "position")
 

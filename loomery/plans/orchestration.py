@@ -37,17 +37,17 @@ def h02_context_budget(spark, d):
 Q = f"q AS (SELECT item_id AS query_id, {SQL_TOKENS} AS w FROM benchmark), d AS (SELECT 'doc:' || doc_id AS node_id, {SQL_TOKENS} AS w FROM documents), qt AS (SELECT query_id, len(w) AS n, unnest(w) AS t FROM q), dt AS (SELECT node_id, unnest(w) AS t FROM d), s AS (SELECT query_id, node_id, count(*) / any_value(n)::DOUBLE AS score FROM qt JOIN dt USING (t) GROUP BY query_id, node_id), r AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s)"
 
 
-@query("h03_lexical_leg", f"WITH {Q} SELECT * FROM r WHERE rank <= 10")
+@query("h03_lexical_leg", f"WITH {Q} SELECT * FROM r WHERE rank <= 10", ints=("rank",))
 def h03_lexical_leg(spark, d):
     return H.lexical(*corpus(spark, d), 10)
 
 
-@query("h04_exact_leg", "WITH s AS (SELECT item_id AS query_id, 'doc:' || doc_id AS node_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT * FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY node_id) AS rank FROM s) WHERE rank <= 10")
+@query("h04_exact_leg", "WITH s AS (SELECT item_id AS query_id, 'doc:' || doc_id AS node_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT * FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY node_id) AS rank FROM s) WHERE rank <= 10", ints=("rank",))
 def h04_exact_leg(spark, d):
     return H.exact(*corpus(spark, d), 10)
 
 
-@query("h05_neighbourhood_leg", f"WITH {Q}, st AS (SELECT query_id, node_id FROM r WHERE rank <= 3), g AS (SELECT 'doc:' || doc_id AS node_id, source || '/' || lang AS grp FROM documents), o AS (SELECT DISTINCT query_id, grp FROM st JOIN g USING (node_id)), t AS (SELECT query_id, node_id, count(*) AS score FROM o JOIN g USING (grp) GROUP BY query_id, node_id), u AS (SELECT t.* FROM t ANTI JOIN st ON st.query_id = t.query_id AND st.node_id = t.node_id) SELECT * FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM u) WHERE rank <= 10")
+@query("h05_neighbourhood_leg", f"WITH {Q}, st AS (SELECT query_id, node_id FROM r WHERE rank <= 3), g AS (SELECT 'doc:' || doc_id AS node_id, source || '/' || lang AS grp FROM documents), o AS (SELECT DISTINCT query_id, grp FROM st JOIN g USING (node_id)), t AS (SELECT query_id, node_id, count(*) AS score FROM o JOIN g USING (grp) GROUP BY query_id, node_id), u AS (SELECT t.* FROM t ANTI JOIN st ON st.query_id = t.query_id AND st.node_id = t.node_id) SELECT * FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM u) WHERE rank <= 10", ints=("rank",))
 def h05_neighbourhood_leg(spark, d):
     return H.neighbourhood(*corpus(spark, d), 10)
 
@@ -60,7 +60,7 @@ def h06_recall(spark, d):
     return right.agg(F.countDistinct("query_id").alias("answerable")).withColumn("found", F.lit(hit.select("query_id").distinct().count()))
 
 
-@query("o01_scoped", with_views("WITH h AS (SELECT user_id, event_id % 40 AS item, confidence, (intent = 'error') AS s FROM analytics WHERE event_id < 4000), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY s DESC, confidence DESC) AS n FROM h) WHERE n = 1), c AS (SELECT *, count_if(s) OVER (PARTITION BY user_id) AS have FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, item) AS position FROM c WHERE s OR have < 3) SELECT user_id, item, position FROM r WHERE position <= 3", "analytics"))
+@query("o01_scoped", with_views("WITH h AS (SELECT user_id, event_id % 40 AS item, confidence, (intent = 'error') AS s FROM analytics WHERE event_id < 4000), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY s DESC, confidence DESC) AS n FROM h) WHERE n = 1), c AS (SELECT *, count_if(s) OVER (PARTITION BY user_id) AS have FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, item) AS position FROM c WHERE s OR have < 3) SELECT user_id, item, position FROM r WHERE position <= 3", "analytics"), ints=("position",))
 def o01_scoped(spark, d):
     h = view(spark, d, "analytics").filter("event_id < 4000").select("user_id", (F.col("event_id") % 40).alias("item"), "confidence", "intent")
     return O.scoped(h, "user_id", "item", "confidence", F.col("intent") == "error", 3).select("user_id", "item", "position")

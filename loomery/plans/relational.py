@@ -79,7 +79,7 @@ def f11_similarity_threshold(spark, d):
     return J.similar(q, e, 100_000, at_least=0.25).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("f12_fallback", with_views("WITH h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, intent = 'error' AND confidence > 0.9 AS own FROM analytics WHERE event_id < 2000), n AS (SELECT *, count_if(own) OVER (PARTITION BY user_id) AS n FROM h) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY own DESC, r, event_id) AS position, own AS filtered FROM n WHERE own OR n < 3", "analytics"))
+@query("f12_fallback", with_views("WITH h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, intent = 'error' AND confidence > 0.9 AS own FROM analytics WHERE event_id < 2000), n AS (SELECT *, count_if(own) OVER (PARTITION BY user_id) AS n FROM h) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY own DESC, r, event_id) AS position, own AS filtered FROM n WHERE own OR n < 3", "analytics"), ints=("position",))
 def f12_fallback(spark, d):
     from pyspark.sql import Window
 
@@ -203,7 +203,7 @@ def j12_bridge(spark, d):
     return J.bridge(t, a, "domain", "name", "body")
 
 
-@query("j13_pairing", with_views("WITH g AS (SELECT intent, entity, event_id, row_number() OVER (PARTITION BY intent, entity ORDER BY feedback_score DESC, confidence DESC, event_id) AS k FROM analytics WHERE feedback_score >= 4), b AS (SELECT intent, entity, event_id, row_number() OVER (PARTITION BY intent, entity ORDER BY coalesce(feedback_score, 0), confidence, event_id) AS k FROM analytics WHERE feedback_score <= 2 OR (confidence <= 0.4 AND feedback_score IS NULL)) SELECT g.intent, g.entity, g.k, g.event_id AS chosen, b.event_id AS rejected FROM g JOIN b USING (intent, entity, k)", "analytics"))
+@query("j13_pairing", with_views("WITH g AS (SELECT intent, entity, event_id, row_number() OVER (PARTITION BY intent, entity ORDER BY feedback_score DESC, confidence DESC, event_id) AS k FROM analytics WHERE feedback_score >= 4), b AS (SELECT intent, entity, event_id, row_number() OVER (PARTITION BY intent, entity ORDER BY coalesce(feedback_score, 0), confidence, event_id) AS k FROM analytics WHERE feedback_score <= 2 OR (confidence <= 0.4 AND feedback_score IS NULL)) SELECT g.intent, g.entity, g.k, g.event_id AS chosen, b.event_id AS rejected FROM g JOIN b USING (intent, entity, k)", "analytics"), ints=("k",))
 def j13_pairing(spark, d):
     x = view(spark, d, "analytics")
     bad = x.filter(P.rejected(F.col("feedback_score"), F.col("confidence")))
@@ -229,7 +229,7 @@ def j16_neighbours(spark, d):
     return J.neighbours(hits, c, "conv_id", "turn", "text")
 
 
-@query("j17_parents", "WITH h AS (SELECT vec_id % 7 AS q, vec_id AS item, row_number() OVER (PARTITION BY vec_id % 7 ORDER BY vec_id) AS r FROM embeddings WHERE vec_id < 200), p AS (SELECT q, floor(item / 5.0)::BIGINT AS parent, min(r) AS r FROM h GROUP BY ALL), s AS (SELECT q, parent, row_number() OVER (PARTITION BY q ORDER BY r, parent) AS position FROM p WHERE (q, parent) NOT IN (SELECT q, item FROM h)) SELECT * FROM s WHERE position <= 3")
+@query("j17_parents", "WITH h AS (SELECT vec_id % 7 AS q, vec_id AS item, row_number() OVER (PARTITION BY vec_id % 7 ORDER BY vec_id) AS r FROM embeddings WHERE vec_id < 200), p AS (SELECT q, floor(item / 5.0)::BIGINT AS parent, min(r) AS r FROM h GROUP BY ALL), s AS (SELECT q, parent, row_number() OVER (PARTITION BY q ORDER BY r, parent) AS position FROM p WHERE (q, parent) NOT IN (SELECT q, item FROM h)) SELECT * FROM s WHERE position <= 3", ints=("position",))
 def j17_parents(spark, d):
     from pyspark.sql import Window
 
@@ -243,7 +243,7 @@ def j18_chains(spark, d):
     return J.chains(edges(spark, d), nodes(spark, d).filter("node_type IN ('order', 'nation')").select("id"))
 
 
-@query("j19_similarity_top_k", f"SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query_id, c.vec_id, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0) WHERE rank <= 5")
+@query("j19_similarity_top_k", f"SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query_id, c.vec_id, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0) WHERE rank <= 5", ints=("rank",))
 def j19_similarity_top_k(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -299,7 +299,7 @@ FUSED = "fused AS (SELECT query_id, node_id, round(sum({w} / (60 + rank)) * CASE
 W = "CASE leg WHEN 'exact' THEN 2.0::DOUBLE WHEN 'pagerank' THEN 1.8 WHEN 'neighbourhood' THEN 1.5 WHEN 'vector' THEN 1.0 ELSE 0.8 END"
 
 
-@query("k01_weighted_fusion", f"WITH {LEGS}, {FUSED.format(w=W, p='0.3::DOUBLE')} SELECT * FROM top WHERE position <= 10")
+@query("k01_weighted_fusion", f"WITH {LEGS}, {FUSED.format(w=W, p='0.3::DOUBLE')} SELECT * FROM top WHERE position <= 10", ints=("position",))
 def k01_weighted_fusion(spark, d):
     return K.fuse(legs(spark, d), 10, penalised=F.col("node_id") % 11 == 0)
 
@@ -309,14 +309,14 @@ def k02_plain_fusion(spark, d):
     return K.fusion_confidence(K.fuse(legs(spark, d), 10, None), 5)
 
 
-@query("k03_relevance", f"SELECT query_id, vec_id, rank, round(s * (0.5 + (vec_id % 5) / 10.0) * CASE WHEN vec_id % 120 <= 7 THEN 1.0 WHEN vec_id % 120 <= 30 THEN 0.9 WHEN vec_id % 120 <= 90 THEN 0.8 ELSE 0.7 END, 6)::DOUBLE AS relevance FROM (SELECT q.vec_id AS query_id, c.vec_id, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 10) WHERE rank <= 5")
+@query("k03_relevance", f"SELECT query_id, vec_id, rank, round(s * (0.5 + (vec_id % 5) / 10.0) * CASE WHEN vec_id % 120 <= 7 THEN 1.0 WHEN vec_id % 120 <= 30 THEN 0.9 WHEN vec_id % 120 <= 90 THEN 0.8 ELSE 0.7 END, 6)::DOUBLE AS relevance FROM (SELECT q.vec_id AS query_id, c.vec_id, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 10) WHERE rank <= 5", ints=("rank",))
 def k03_relevance(spark, d):
     e = table(spark, d, "embeddings")
     x = J.similar(e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), e, 5)
     return x.select("query_id", "vec_id", "rank", F.round(F.col("similarity") * (0.5 + F.col("vec_id") % 5 / 10.0) * K.freshness(F.col("vec_id") % 120), 6).alias("relevance"))
 
 
-@query("k04_token_cosine", "WITH td AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS token FROM documents), tq AS (SELECT item_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS token FROM benchmark), idf AS (SELECT token, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT id) + 1)::DOUBLE) + 1, 6) AS idf FROM td GROUP BY 1), fd AS (SELECT id, token, count(*) AS tf FROM td GROUP BY ALL), fq AS (SELECT id, token, count(*) AS tf FROM tq GROUP BY ALL), wd AS (SELECT id, token, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY id)) * idf AS w FROM fd JOIN idf USING (token)), wq AS (SELECT id, token, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY id)) * idf AS w FROM (SELECT fq.*, idf FROM fq JOIN idf USING (token))), nd AS (SELECT id, sqrt(sum(w * w)) AS n FROM wd GROUP BY 1), nq AS (SELECT id, sqrt(sum(w * w)) AS n FROM wq GROUP BY 1), s AS (SELECT wq.id AS item_id, wd.id AS doc_id, round(sum(wq.w * wd.w) / (any_value(nq.n) * any_value(nd.n)), 6) AS score FROM wq JOIN wd USING (token) JOIN nd ON nd.id = wd.id JOIN nq ON nq.id = wq.id GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5")
+@query("k04_token_cosine", "WITH td AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS token FROM documents), tq AS (SELECT item_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS token FROM benchmark), idf AS (SELECT token, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT id) + 1)::DOUBLE) + 1, 6) AS idf FROM td GROUP BY 1), fd AS (SELECT id, token, count(*) AS tf FROM td GROUP BY ALL), fq AS (SELECT id, token, count(*) AS tf FROM tq GROUP BY ALL), wd AS (SELECT id, token, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY id)) * idf AS w FROM fd JOIN idf USING (token)), wq AS (SELECT id, token, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY id)) * idf AS w FROM (SELECT fq.*, idf FROM fq JOIN idf USING (token))), nd AS (SELECT id, sqrt(sum(w * w)) AS n FROM wd GROUP BY 1), nq AS (SELECT id, sqrt(sum(w * w)) AS n FROM wq GROUP BY 1), s AS (SELECT wq.id AS item_id, wd.id AS doc_id, round(sum(wq.w * wd.w) / (any_value(nq.n) * any_value(nd.n)), 6) AS score FROM wq JOIN wd USING (token) JOIN nd ON nd.id = wd.id JOIN nq ON nq.id = wq.id GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5", ints=("rank",))
 def k04_token_cosine(spark, d):
     from loomery.operators.aggregates import idf
 
@@ -421,7 +421,7 @@ def u01_union(spark, d):
     return a.unionByName(table(spark, d, "conversations").select(F.lit("conversations").alias("origin"), F.col("conv_id").alias("id"))).groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@query("u02_ordered_union", "WITH a AS (SELECT doc_id % 10 AS q, doc_id AS id, doc_id AS r, 0 AS s FROM documents WHERE doc_id < 60), b AS (SELECT doc_id % 10 AS q, doc_id AS id, 1000 - doc_id AS r, 1 AS s FROM documents WHERE doc_id BETWEEN 40 AND 99), k AS (SELECT *, row_number() OVER (PARTITION BY q, id ORDER BY s, r) AS n FROM (FROM a UNION ALL FROM b)) SELECT q, id, r, row_number() OVER (PARTITION BY q ORDER BY s, r, id) AS position FROM k WHERE n = 1")
+@query("u02_ordered_union", "WITH a AS (SELECT doc_id % 10 AS q, doc_id AS id, doc_id AS r, 0 AS s FROM documents WHERE doc_id < 60), b AS (SELECT doc_id % 10 AS q, doc_id AS id, 1000 - doc_id AS r, 1 AS s FROM documents WHERE doc_id BETWEEN 40 AND 99), k AS (SELECT *, row_number() OVER (PARTITION BY q, id ORDER BY s, r) AS n FROM (FROM a UNION ALL FROM b)) SELECT q, id, r, row_number() OVER (PARTITION BY q ORDER BY s, r, id) AS position FROM k WHERE n = 1", ints=("position",))
 def u02_ordered_union(spark, d):
     docs = table(spark, d, "documents").select((F.col("doc_id") % 10).alias("q"), F.col("doc_id").alias("id"))
     return K.ordered_union(docs.filter("id < 60").withColumn("r", F.col("id")), docs.filter("id BETWEEN 40 AND 99").withColumn("r", 1000 - F.col("id")), ["q", "id"], "r")
