@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,13 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many rows in a batch between the JVM and Python: whole texts make batches of thousands of rows heavy."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def each(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
     """UTF-8 of each text, null as empty, some rows at a time: a batch of long texts never stands in Python as a whole."""
     for lo in range(0, len(column), rows):

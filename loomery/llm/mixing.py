@@ -124,6 +124,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that share an id share its copies evenly."""
+    """Each document as often as the mix takes it; rows that share an id share its copies evenly. Texts meet a hash of the
+    plan and are not sorted."""
     plan = mix(docs).groupBy("doc_id").agg(F.floor(F.sum("copies") / F.count("*")).alias("copies")).filter("copies > 0").withColumnRenamed("doc_id", "of")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["of"])).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    return docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(plan["of"])).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)

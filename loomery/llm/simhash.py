@@ -164,8 +164,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of each component whose id is the component's own; of repeated rows with that id, one."""
-    keep = simhash_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(keep, "doc_id", "left_semi")
-    lone = docs.filter("doc_id is null")
-    return once.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(lone)
+    """The row of each component whose id is the component's own; of repeated rows with that id, one.
+
+    Only rows whose id repeats are aggregated; for the others a hash of the kept ids is enough, so texts are never sorted.
+    """
+    keep = simhash_components(docs).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    known = docs.join(keep.hint("shuffle_hash"), docs["doc_id"] == keep["_kept"])
+    once = known.filter("_n = 1").select(docs.columns)
+    return once.unionByName(known.filter("_n > 1").select(docs.columns).dropDuplicates(["doc_id"])).unionByName(docs.filter("doc_id is null"))
