@@ -52,7 +52,7 @@ def h05_neighbourhood_leg(spark, d):
     return H.neighbourhood(*corpus(spark, d), 10)
 
 
-@query("h06_recall", "WITH s AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS answerable, count(*) AS found FROM s")
+@query("h06_recall", "WITH s AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS answerable, count(*)::INTEGER AS found FROM s")
 def h06_recall(spark, d):
     q, docs, e = corpus(spark, d)
     right = H.exact(q, docs, e, 1000).select("query_id", "node_id")
