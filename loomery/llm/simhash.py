@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm.common import each, slices, whole
+from loomery.llm.near_copies import near_copies
 from loomery.operators.components import connected_components, local_roots
 from loomery.session import materialize, table
 
@@ -164,11 +165,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of each component whose id is the component's own; of repeated rows with that id, one.
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest id; of repeated rows
+    with that id, one.
 
     Only rows whose id repeats are aggregated; for the others a hash of the kept ids is enough, so texts are never sorted.
     """
-    keep = simhash_components(docs).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    found = near_copies(docs)
+    first = found.groupBy("component").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
+    keep = found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")).join(first, "_kept")
     known = docs.join(keep.hint("shuffle_hash"), docs["doc_id"] == keep["_kept"])
     once = known.filter("_n = 1").select(docs.columns)
     return once.unionByName(known.filter("_n > 1").select(docs.columns).dropDuplicates(["doc_id"])).unionByName(docs.filter("doc_id is null"))

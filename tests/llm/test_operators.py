@@ -124,6 +124,42 @@ def test_simhash(docs, nothing, rows, spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in ids if group[i] == i)
 
 
+def test_dedup_stage_links_all_pairs_of_similarity_08(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    line = lambda n: rng.choices(vocabulary, k=n)
+    texts, common = [], line(12)
+    for n in (30, 100, 300):  # copies around the limit, and a crowded group that only its base links
+        for _ in range(4):
+            base = line(n)
+            texts.append(base)
+            for changed in range(1, 1 + n // 15):
+                copy = list(base)
+                for at in rng.sample(range(n), changed):
+                    copy[at] = "new" + str(rng.random())
+                texts.append(copy)
+    base = line(200)
+    texts += [base[:at] + ["x" + str(at)] + base[at + 1 :] for at in range(10, 190, 5)] + [base[:at] + ["y"] + base[at + 1 : at + 80] + ["z", str(at)] + base[at + 82 :] for at in range(10, 100, 3)]
+    texts += [common + line(40) for _ in range(30)] + [["four", "words", "only", "here"], [], ["go"] * 50]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    shingles = [sets(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(shingles[i] & shingles[j])
+            if 5 * both >= 4 * (len(shingles[i]) + len(shingles[j]) - both) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    assert sorted(r.doc_id for r in simhash.dedup_stage(spark, x, "").collect()) == sorted(set(group))
+
+
 def test_gray_index_finds_all_pairs():
     rng = np.random.default_rng(3)
     codes = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 80, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 80, dtype=np.uint64)) for base in rng.integers(0, 2**63, 4, dtype=np.uint64)]))
