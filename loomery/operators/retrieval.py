@@ -69,9 +69,9 @@ def _links(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "weight").unionByName(edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), "weight"))
 
 
-def spread(start: DataFrame, edges: DataFrame, rounds: int, damping: float, keep: int) -> DataFrame:
-    """query_id, node_id, score: personalised walks of all queries at once. After each round a query keeps its `keep` heaviest
-    nodes, so the table grows with the queries and not with queries x nodes."""
+def spread(start: DataFrame, edges: DataFrame, rounds: int, damping: float, keep: int | None = None) -> DataFrame:
+    """query_id, node_id, score: personalised walks of all queries at once, one row a query and node reached. Only where a
+    caller states `keep`, a query keeps its heaviest nodes after each round, and the scores are no longer those of the walk."""
     links = _links(edges)
     links = materialize(links.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("a"))).select("a", "b", "share"))
     jump = start.withColumn("jump", 1.0 / F.count("*").over(Window.partitionBy("query_id")))
@@ -79,15 +79,17 @@ def spread(start: DataFrame, edges: DataFrame, rounds: int, damping: float, keep
     for _ in range(rounds):
         flow = rank.join(links, F.col("node_id") == F.col("a")).groupBy("query_id", F.col("b").alias("node_id")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
         new = flow.join(jump, ["query_id", "node_id"], "full").select("query_id", "node_id", (damping * F.coalesce("in", F.lit(0.0)) + (1 - damping) * F.coalesce("jump", F.lit(0.0))).alias("score"))
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
-        rank = materialize(new.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= keep).drop("_n"))
+        if keep is not None:
+            best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+            new = new.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= keep).drop("_n")
+        rank = materialize(new)
     return rank
 
 
 @leg("pagerank")
 def pagerank(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, rounds: int = 4, damping: float = 0.15) -> DataFrame:
     start = materialize(seeds(queries, documents))
-    walked = spread(start, edges, rounds, damping, 50 * k).join(start, ["query_id", "node_id"], "left_anti")
+    walked = spread(start, edges, rounds, damping).join(start, ["query_id", "node_id"], "left_anti")
     return ranked(walked.join(documents.select(F.col("id").alias("node_id")), "node_id", "left_semi"), k)
 
 

@@ -80,3 +80,11 @@ def test_walks_of_many_queries_are_walks_of_each(spark):
             rank = new
         for n, s in rank.items():
             assert got[q, n] == pytest.approx(s)
+
+
+def test_pagerank_leg_keeps_what_a_large_group_reaches(spark):
+    leaves = [f"d{i:03d}" for i in range(80)]
+    edges = spark.createDataFrame([("s", "g", 1.0)] + [(d, "g", 1.0) for d in leaves] + [(d, "t", 1.0) for d in leaves[50:]], "source_id string, target_id string, weight double")
+    documents = spark.createDataFrame([("s", "apple pear plum"), ("t", "unrelated")] + [(d, "unrelated") for d in leaves], "id string, text string")
+    queries = spark.createDataFrame([("q", "apple pear plum")], "query_id string, query string")
+    assert [(r.node_id, r.rank) for r in retrieval.pagerank(queries, documents, edges, 1).collect()] == [("t", 1)]
