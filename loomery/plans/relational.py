@@ -76,7 +76,7 @@ COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 def f11_similarity_threshold(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
-    return J.similar(q, e, 100_000, at_least=0.25).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+    return J.similar(q, e, None, at_least=0.25).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("f12_fallback", with_views("WITH h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, intent = 'error' AND confidence > 0.9 AS own FROM analytics WHERE event_id < 2000), n AS (SELECT *, count_if(own) OVER (PARTITION BY user_id) AS n FROM h) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY own DESC, r, event_id) AS position, own AS filtered FROM n WHERE own OR n < 3", "analytics"), ints=("position",))

@@ -150,3 +150,10 @@ def test_state_machine(spark):
 def test_fusion_orders_ties_by_id(spark):
     df = spark.createDataFrame([("q", "exact", "b", 1), ("q", "exact", "a", 1), ("q", "vector", "a", 5)], "query_id string, leg string, node_id string, rank int")
     assert [r.node_id for r in ranking.fuse(df).orderBy("position").collect()] == ["a", "b"]
+
+
+def test_threshold_search_has_no_rank_cap(spark):
+    e = spark.createDataFrame([(i, [1.0, i / 40]) for i in range(80)], "vec_id long, embedding array<float>")
+    q = e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = joins.similar(q, e, None, at_least=0.8)
+    assert sorted(r.vec_id for r in got.collect()) == [i for i in range(80) if 1 / (1 + (i / 40) ** 2) ** 0.5 >= 0.8] and "rank" not in got.columns
