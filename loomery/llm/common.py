@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,11 +27,36 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """At most so many rows in a batch between the JVM and Python: whole texts make batches of thousands of rows heavy."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def set_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on at most so many rows in a batch between the JVM and Python: whole texts make batches of thousands of rows
+    heavy."""
+    before = int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, str(rows if before <= 0 else min(rows, before)))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """The same for what runs within it; the session's own setting returns afterwards."""
+    before = spark.conf.get(BATCH)
+    set_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from every column of df."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def each(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
@@ -45,6 +71,25 @@ def whole(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(rows) if rows else None
 
 
+def by_key(batches: Iterable[pa.RecordBatch], column: int, least: int) -> Iterator[pa.Table]:
+    """Rows sorted by a column, as tables that hold every row of each of their keys and about `least` rows."""
+    held, rows = [], 0
+    for x in batches:
+        if not x.num_rows:
+            continue
+        if rows >= least:
+            key = x.column(column).to_numpy(zero_copy_only=False)
+            other = np.flatnonzero(key != held[-1].column(column)[held[-1].num_rows - 1].as_py())
+            if len(other):
+                cut = int(other[0])
+                yield pa.Table.from_batches([*held, x.slice(0, cut)])
+                held, rows, x = [], 0, x.slice(cut)
+        held.append(x)
+        rows += x.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def slices(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges whose weights add up to about most."""
     if len(weights):

@@ -13,12 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import held_out, raw, slices, whole
+from loomery.llm.common import by_key, held_out, raw, slices, small_batches
 from loomery.session import table, written
 
-ORDER = 4  # bytes of context; a gram is a context and the byte after it
+ORDER = 4  # bytes of context, 2 to 7; a gram is a context and the byte after it
 END = 0xFF  # no byte of UTF-8; stands before and after a text
-CHUNK, PART = 32 << 20, 1_500_000
+CHUNK, PART, WAIT, HOLD, ROWS, GROUP = 32 << 20, 1_000_000, 500_000, 160 << 20, 100_000, 1_000_000
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -42,47 +42,65 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), b""]
 
 
-def _gather(order: int):
+class _Counts:
+    """Words and grams of one chunk; equal grams are put together before many wait."""
+
+    def __init__(self):
+        self.words: Counter = Counter()
+        self.grams = [np.zeros(0, np.uint64)]
+        self.n = [np.zeros(0, np.int64)]
+
+    def add(self, found: np.ndarray, n: np.ndarray) -> None:
+        self.grams.append(found)
+        self.n.append(n)
+        if sum(map(len, self.grams[1:])) > max(WAIT, len(self.grams[0])):
+            self.settle()
+
+    def settle(self) -> None:
+        found, at = np.unique(np.concatenate(self.grams), return_inverse=True)
+        self.grams, self.n = [found], [np.bincount(at, np.concatenate(self.n), len(found)).astype(np.int64)]
+
+    def weight(self) -> int:
+        """Bytes, about."""
+        return 200 * len(self.words) + 16 * sum(map(len, self.grams))
+
+
+def _gather(order: int, hold: int):
     """chunk, word or gram, n (how often training texts of the chunk have it; 0 where only held-out ones do)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, Counter] = {}
-        codes: dict[int, list[pa.Table]] = {}
-
-        def flush(chunk: int) -> pa.RecordBatch:
-            own, n = words.pop(chunk), 0
-            g = pa.concat_tables(codes.pop(chunk)).group_by("gram").aggregate([("n", "sum")]).combine_chunks()
-            n = len(own) + g.num_rows
-            word = pa.array([*own.keys(), *[None] * g.num_rows], pa.binary())
-            gram = pa.concat_arrays([pa.nulls(len(own), pa.int64()), *g.column("gram").chunks])
-            count = pa.concat_arrays([pa.array(list(own.values()), pa.int64()), *g.column("n_sum").chunks])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), word, gram, count], ["chunk", "word", "gram", "n"])
+        held: dict[int, _Counts] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk in list(held):
+                own = held.pop(chunk)
+                own.settle()
+                n, m = len(own.words), len(own.grams[0])
+                word = pa.array([*own.words.keys(), *[None] * m], pa.binary())
+                gram = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(own.grams[0].view(np.int64))])
+                count = pa.concat_arrays([pa.array(list(own.words.values()), pa.int64()), pa.array(own.n[0])])
+                rows = pa.RecordBatch.from_arrays([pa.array(np.full(n + m, chunk)), word, gram, count], ["chunk", "word", "gram", "n"])
+                del own, word, gram, count
+                for lo in range(0, n + m, ROWS):
+                    yield rows.slice(lo, ROWS)
 
         for x in batches:
-            chunks, held = x.column(0).to_numpy(), x.column(2).to_numpy(zero_copy_only=False)
-            texts = raw(x.column(3))
-            order_ = np.lexsort((held, chunks))
-            for lo, hi in _runs(chunks[order_], held[order_], np.fromiter((len(texts[i]) + order + 1 for i in order_), np.int64, len(order_))):
-                rows = order_[lo:hi]
-                chunk, out = int(chunks[rows[0]]), bool(held[rows[0]])
-                part = [texts[i] for i in rows]
-                own = words.setdefault(chunk, Counter())
+            chunks, out = x.column(0).to_numpy(), x.column(2).to_numpy(zero_copy_only=False)
+            size = pc.fill_null(pc.binary_length(x.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + order + 1
+            rank = np.lexsort((out, chunks))
+            for lo, hi in _runs(chunks[rank], out[rank], size[rank]):
+                rows = rank[lo:hi]
+                chunk, aside = int(chunks[rows[0]]), bool(out[rows[0]])
+                part = raw(x.column(3).take(pa.array(rows)))
+                own = held.setdefault(chunk, _Counts())
                 for t in part:
-                    if out:
-                        own.update(dict.fromkeys(tokens(t), 0))
-                    else:
-                        own.update(tokens(t))
-                counted = pc.value_counts(pa.array(grams(part, order)[0].view(np.int64)))
-                codes.setdefault(chunk, []).append(pa.table({"gram": counted.field(0), "n": pa.nulls(len(counted), pa.int64()).fill_null(0) if out else counted.field(1)}))
-                if len(codes[chunk]) >= 16:
-                    codes[chunk] = [pa.concat_tables(codes[chunk]).group_by("gram").aggregate([("n", "sum")]).rename_columns(["gram", "n"])]
-                if len(own) > 1_000_000:  # a task's memory is bounded; the same key may come more than once
-                    yield flush(chunk)
-            if len(words) > 64:
-                for chunk in list(words):
-                    yield flush(chunk)
-        for chunk in list(words):
-            yield flush(chunk)
+                    own.words.update(dict.fromkeys(tokens(t), 0) if aside else tokens(t))
+                found, n = np.unique(grams(part, order)[0], return_counts=True)
+                own.add(found, n * (not aside))
+                # what a task holds is bounded, over all of its chunks; the same key may come more than once
+                if sum(c.weight() for c in held.values()) > hold:
+                    yield from flush()
+        yield from flush()
 
     return run
 
@@ -130,22 +148,23 @@ def _mask(n: int) -> np.uint64:
 
 
 def log_probabilities(found: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Natural log-probability of the last byte of each gram after the others, escape method C with symbol exclusion.
+    """Natural log-probability of the last byte of each gram after the others: escape method D, symbol and update exclusion.
 
     found: grams (distinct); counts: how often training has them (0: not); of any two-byte context the caller gives all grams
-    or none. pairs: 256 x 256 training counts of a byte after a byte. At each length, from `order` down, a context that was
-    seen gives a symbol count/(total + distinct) and the escape distinct/(total + distinct), both without the symbols of the
-    longer context; below length 0 the bytes never seen are equal.
+    or none. pairs: 256 x 256, after how many different bytes training has a byte after a byte. A symbol counts in the
+    longest context as often as it was seen and in a shorter one once for each longer context that has it. At each length,
+    from `order` down, a context that was seen gives a symbol (count - 1/2)/total and the escape distinct/(2 total), all
+    without the symbols of the longer context; below length 0 the bytes never seen are equal.
     """
     seen = counts > 0
     levels: dict[int, Level] = {}
     keys, sums = found[seen], counts[seen].astype(np.float64)
     for m in range(order, 1, -1):
         own, at = np.unique(keys & _mask(m + 1), return_inverse=True)
-        keys, sums = own, _sums(at, sums, len(own))
+        keys, sums = own, _sums(at, sums if m == order else np.ones(len(at)), len(own))
         levels[m] = Level(keys, sums)
     one = pairs.astype(np.float64)
-    zero = one.sum(axis=0)
+    zero = (one > 0).sum(axis=0).astype(np.float64)
     for m in range(order, 1, -1):
         x = levels[m]
         shorter = x.keys & _mask(m)
@@ -159,11 +178,9 @@ def log_probabilities(found: np.ndarray, counts: np.ndarray, pairs: np.ndarray,
         nonlocal done
         t, d = total - gone_total, distinct - gone_distinct
         here = ~done & (distinct > 0) & (d > 0)
-        hit = here & (count > 0)
-        with np.errstate(divide="ignore"):
-            out[hit] += np.log(count[hit] / (t + d)[hit])
-            miss = here & ~hit
-            out[miss] += np.log(d[miss] / (t + d)[miss])
+        hit, miss = here & (count > 0), here & (count == 0)
+        out[hit] += np.log((count[hit] - 0.5) / t[hit])
+        out[miss] += np.log(d[miss] / (2 * t[miss]))
         done = done | hit
 
     for m in range(order, 1, -1):
@@ -183,10 +200,10 @@ def log_probabilities(found: np.ndarray, counts: np.ndarray, pairs: np.ndarray,
 
 def _trie(pairs: np.ndarray, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = whole(batches)
-        if rows is not None:
+        for rows in by_key(batches, 2, GROUP):
             found = rows.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(log_probabilities(found, rows.column(1).to_numpy(), pairs, order))], ["gram", "value"])
+            logs = log_probabilities(found, rows.column(1).to_numpy(), pairs, order)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(logs)], ["gram", "value"])
 
     return run
 
@@ -198,8 +215,9 @@ def _score(n: int, v: int, order: int):
         words = model.filter(pc.is_valid(model.column("word")))
         counts = dict(zip(words.column("word").to_pylist(), words.column("value").to_pylist(), strict=True))
         trie = model.filter(pc.is_valid(model.column("gram")))
-        index = pd.DataFrame({"gram": trie.column("gram").to_numpy(), "value": trie.column("value").to_numpy()}).drop_duplicates("gram")
-        values, index = index["value"].to_numpy(), pd.Index(index["gram"].to_numpy())
+        index, first = np.unique(trie.column("gram").to_numpy(), return_index=True)
+        values, index = trie.column("value").to_numpy()[first], pd.Index(index)
+        del words, trie
         size, base, known, total = [], [], [], []
         body = docs.column("text").combine_chunks()
         sizes = pc.fill_null(pc.binary_length(body), 0).to_numpy(zero_copy_only=False).astype(np.int64) + order + 1
@@ -220,30 +238,35 @@ def _score(n: int, v: int, order: int):
     return run
 
 
-def lm_scores(docs: DataFrame, out, order: int = ORDER, chunk_bytes: int = CHUNK, key: str = "doc_id", text: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, out, order: int = ORDER, chunk_bytes: int = CHUNK, key: str = "doc_id", text: str = "text", hold: int = HOLD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the bytes and the end).
 
     out: true for rows that nothing is learned from. Neither vocabulary nor trie is ever whole in one place: texts are taken
-    in chunks (by file, and by hash of id within a large file), a chunk's distinct words and grams are counted once, the
-    counts of all chunks are added up by shuffle, the trie is worked out by groups of grams with the same two bytes of
-    context, and what a chunk needs of either comes back to it beside its texts. Shorter contexts are 256 x 256 numbers.
-    Null texts count as empty (only the end is coded); repeated rows stay; an empty table returns no rows; with nothing to
-    learn from every byte has probability 1/256. The input must not change during the run.
+    in chunks (by block of a file; a block of more than chunk_bytes by hash of its rows), a chunk's distinct words and grams
+    are counted once, the counts of all chunks are added up by shuffle, the trie is worked out by groups of grams with the
+    same two bytes of context, and what a chunk needs of either comes back to it beside its texts. Shorter contexts are 256 x
+    256 numbers; hold: bytes of counts that a task keeps before it writes them. Null texts count as empty (only the end is coded); repeated rows stay; an empty table returns no rows; with
+    nothing to learn from every byte has probability 1/256. The input must not change during the run.
     """
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), out.alias("held_out"), F.col(text).cast("string").alias("text"), F.input_file_name().alias("file"))
-    seen = own.agg(F.sum(F.octet_length("text")), F.approx_count_distinct("file")).first()
-    parts = max(1, math.ceil((seen[0] or 0) / max(1, seen[1] or 1) / chunk_bytes))
-    chunk = F.xxhash64("file", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    own = own.select(chunk.alias("chunk"), "doc_id", "held_out", "text")
-    kept = written(own.mapInArrow(_gather(order), "chunk long, word binary, gram long, n long"))
+    spark = docs.sparkSession
+    block = F.xxhash64(F.input_file_name(), F.expr("input_file_block_start()"))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), out.alias("held_out"), F.col(text).cast("string").alias("text"), block.alias("block"), F.greatest(F.lit(1), F.expr("input_file_block_length()")).alias("length"))
+    # most bytes of text that a byte of a block stands for (all of the table, where it is not made of files)
+    most = own.groupBy("block", "length").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max(F.col("n") / F.col("length"))).first()[0] or 0.0
+    parts = F.greatest(F.lit(1), F.ceil(F.col("length") * F.lit(float(most) / chunk_bytes)))
+    own = own.select(F.xxhash64("block", F.pmod(F.xxhash64("doc_id", "text"), parts)).alias("chunk"), "doc_id", "held_out", "text")
+    with small_batches(spark):
+        kept = written(own.mapInArrow(_gather(order, hold), "chunk long, word binary, gram long, n long"))
     words, codes = kept.filter("word is not null"), kept.filter("gram is not null")
     counts = written(words.groupBy("word").agg(F.sum("n").alias("n")))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     trie = written(codes.groupBy("gram").agg(F.sum("n").alias("n")))
-    low = trie.groupBy(F.col("gram").bitwiseAND(65535).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    three = trie.filter("n > 0").select(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).distinct()
+    low = three.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.count("*").alias("n")).toArrow()
     pairs = np.zeros(65536, np.int64)
     pairs[low.column("pair").to_numpy()] = low.column("n").to_numpy()
-    logs = trie.repartition(F.shiftright("gram", 8).bitwiseAND(65535)).mapInArrow(_trie(pairs.reshape(256, 256), order), "gram long, value double")
+    context = F.shiftright("gram", 8).bitwiseAND(65535).alias("context")
+    logs = trie.select("gram", "n", context).repartition("context").sortWithinPartitions("context").mapInArrow(_trie(pairs.reshape(256, 256), order), "gram long, value double")
     model = words.select("chunk", "word").join(counts, "word").select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("n").cast("double").alias("value"))
     model = model.unionByName(codes.select("chunk", "gram").join(logs, "gram").select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value"))
     return own.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_by_chunk(_score(n, v, order)), SCHEMA)

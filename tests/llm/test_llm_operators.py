@@ -66,28 +66,46 @@ def test_lm_scores(docs, nothing, rows):
     assert lm_scoring.lm_scores(docs.limit(2), F.lit(True)).agg(F.count("score")).first()[0] == 2
 
 
+def test_lm_scores_of_one_large_and_many_small_files(spark, tmp_path):
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choices(["ta", "ri", "on"], k=3)) for _ in range(n))
+    rows_ = [(7, line(40)) for _ in range(300)] + [(None, line(30)) for _ in range(100)]  # one id, and none, in one file
+    spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    for i in range(12):
+        spark.createDataFrame([(100 + i, line(5))], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = lm_scoring.lm_scores(df, F.lit(False), chunk_bytes=20_000)
+    pieces = lm_scoring.lm_scores(df, F.lit(False), chunk_bytes=1 << 30, hold=1)  # all counts come in many pieces
+    key = lambda x: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in x.collect())
+    assert len(key(got)) == 412 and key(got) == key(pieces)
+
+
 def test_ppm_is_a_distribution_and_equals_a_plain_one():
     rng = np.random.default_rng(0)
     texts = [bytes(rng.choice(np.frombuffer(b"abcde", np.uint8), 50).tobytes()) for _ in range(20)]
     found, counts = np.unique(np.concatenate([lm_scoring.grams([t])[0] for t in texts]), return_counts=True)
+    three = np.unique(found & np.uint64(0xFFFFFF))
     pairs = np.zeros((256, 256), np.int64)
-    np.add.at(pairs, ((found >> np.uint64(8) & np.uint64(255)).astype(int), (found & np.uint64(255)).astype(int)), counts)
-    seen = defaultdict(Counter)
+    np.add.at(pairs, ((three >> np.uint64(8) & np.uint64(255)).astype(int), (three & np.uint64(255)).astype(int)), 1)
+    seen, before = defaultdict(Counter), defaultdict(set)
     for t in texts:
         padded = b"\xff" * 4 + t + b"\xff"
         for i in range(4, len(padded)):
-            for m in range(5):
-                seen[padded[i - m : i]][padded[i]] += 1
+            seen[padded[i - 4 : i]][padded[i]] += 1
+            for m in range(4):
+                before[padded[i - m : i], padded[i]].add(padded[i - m - 1])
+    for (context, symbol), longer in before.items():
+        seen[context][symbol] = len(longer)
 
     def plain(context, symbol):
         out, excluded = 0.0, set()
         for m in range(4, -1, -1):
             own = {s: c for s, c in seen[context[4 - m :]].items() if s not in excluded}
             if own:
-                total = sum(own.values()) + len(own)
+                total = sum(own.values())
                 if symbol in own:
-                    return out + math.log(own[symbol] / total)
-                out += math.log(len(own) / total)
+                    return out + math.log((own[symbol] - 0.5) / total)
+                out += math.log(len(own) / (2 * total))
             excluded |= set(own)
         return out - math.log(256 - len(excluded))
 
