@@ -44,7 +44,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["a", "b"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every end of edges.
 
     edges: its first two columns are longs; loops, repeats and either direction are accepted, rows with nulls are left
@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     loops = ends.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     stars = materialize(ends.filter("a <> b").mapInArrow(_contract, "a long, b long").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:  # ends: a round that changes anything lowers an end of some link; chains halve, so rounds grow with the logarithm
         state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or state[0] == 0:
             break
