@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.common import word_count
+from loomery.llm.common import fresh, word_count
 from loomery.session import materialize, table
 
 SEED, SLICE, EXACT = 17, 512, 8192
@@ -89,34 +89,36 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (copies x size) for each row of docs.
+    """doc_id, row (hash of id, text and source), source, size, source_size, target, copies, taken (copies x size) for each row.
 
     A source's documents are counted by exact length; the group of a source holds one row a length, not a document. Every
     document gets target // total copies; the rest of the target is a subset sum over the lengths, and of each length the
     documents that come first by seeded hash are chosen. Where one length has many documents (a hot source, thousands of
-    copies) they are split by hash into slices of about 512, whole slices are taken, and only the last one is ranked.
-    Null texts have size 0; null sources are a source; documents of size 0 are taken as often as all of their source; repeated
-    rows count as documents of their own, and which of them is chosen makes no difference; an empty table returns no rows.
+    copies) they are split by hash of the row into slices of about 512, whole slices are taken, and only the last one is
+    ranked; an id that repeats is dealt by its texts. Null texts have size 0; null sources are a source; documents of size 0
+    are taken as often as all of their source; repeated rows count as documents of their own, and which of them is chosen
+    makes no difference; an empty table returns no rows; other columns are ignored.
     """
-    rows = materialize(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
+    row = F.xxhash64(F.col(key), F.col(text).cast("string"), F.col(source).cast("string"))
+    rows = materialize(docs.select(F.col(key).alias("doc_id"), row.alias("row"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
     counted = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     shares = materialize(targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most))
     same = lambda a, b, *names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
     aimed = counted.alias("a").join(shares.alias("b"), same("a", "b", "source")).select("a.*", "b.target", "b.source_size")
     plan = aimed.groupBy("source").applyInPandas(_plan, "source string, size long, n long, copies long, more long")
     plan = materialize(plan.alias("a").join(shares.alias("b"), same("a", "b", "source")).select("a.*", "b.source_size", "b.target"))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    salt = F.pmod(F.hash("doc_id"), F.lit(16))
+    order = F.xxhash64(F.lit(seed), F.col("row"))
+    salt = F.pmod(F.hash("row"), F.lit(16))
     salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     joined = rows.withColumn("salt", salt).alias("a").join(salted.alias("b"), same("a", "b", "source", "size", "salt"))
-    joined = joined.select("a.doc_id", "a.source", "a.size", "b.source_size", "b.target", "b.copies", "b.more", order.alias("at"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("a.doc_id")), F.greatest(F.lit(1), F.ceil(F.col("b.n") / SLICE))).alias("slice"))
+    joined = joined.select("a.doc_id", "a.row", "a.source", "a.size", "b.source_size", "b.target", "b.copies", "b.more", order.alias("at"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("a.row")), F.greatest(F.lit(1), F.ceil(F.col("b.n") / SLICE))).alias("slice"))
     joined = materialize(joined)
     sliced = joined.groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
     earlier = sliced.withColumn("before", F.sum("n").over(Window.partitionBy("source", "size").orderBy("slice")) - F.col("n"))
-    ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("at", "doc_id")))
+    ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("at", "row")))
     found = ranked.alias("a").join(earlier.alias("b"), same("a", "b", "source", "size", "slice"))
     copies: Column = F.col("copies") + (F.col("a.rank") + F.col("b.before") <= F.col("a.more")).cast("long")
-    return found.select("a.doc_id", "a.source", "a.size", "a.source_size", "a.target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return found.select("a.doc_id", "a.row", "a.source", "a.size", "a.source_size", "a.target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +126,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that share an id share its copies evenly. Texts meet a hash of the
-    plan and are not sorted."""
-    plan = mix(docs).groupBy("doc_id").agg(F.floor(F.sum("copies") / F.count("*")).alias("copies")).filter("copies > 0").withColumnRenamed("doc_id", "of")
-    return docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(plan["of"])).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    """Each row as often as the mix takes it; of rows with one id, text and source any may stand for another.
+
+    Such rows get what they are given together, evenly, and one of them what is left over. Null ids, null texts and null
+    sources are values like others; an empty table gives no rows; other columns stay, whatever their names. Texts meet a hash
+    of the plan (24 bytes a row) and are not sorted.
+    """
+    row, many, copies, turn = fresh(docs, "row", "many", "copies", "turn")
+    plan = mix(docs).groupBy("row").agg(F.count("*").alias(many), F.sum("copies").alias(copies)).filter(F.col(copies) > 0).withColumnRenamed("row", row)
+    known = docs.join(plan.hint("shuffle_hash"), F.xxhash64(docs["doc_id"], docs["text"].cast("string"), docs["source"].cast("string")) == plan[row])
+    every = lambda rows, n: rows.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(docs.columns)
+    each_ = F.floor(F.col(copies) / F.col(many))
+    left = known.filter((F.col(many) > 1) & (F.col(copies) % F.col(many) > 0)).dropDuplicates([row])
+    return every(known.filter(each_ > 0), each_).unionByName(every(left, F.col(copies) % F.col(many)))

@@ -17,16 +17,17 @@ from loomery.llm.common import slices
 from loomery.llm.tokens import encoder
 from loomery.session import table
 
-END, ROUND, CHARS = 1, 2048, 1_000_000
+END, ROUND, CHARS = 1, 1024, 1_000_000
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What one sequence may hold."""
+    """What one sequence may hold: tokens, segments, and tokens that bear loss (in a piece, all but its first, which nothing
+    foretells)."""
 
     tokens: int = 2048
     segments: int = 64
-    loss: int = 2048
+    loss: int = 2047
 
     def vector(self) -> np.ndarray:
         return np.array([self.tokens, self.segments, self.loss], np.float64)
@@ -66,8 +67,9 @@ def _fill_gaps(bins: list[list[tuple[int, int, int]]], limits: Limits, least: in
     """Cuts pieces (item, start, length) of the emptiest bins to close gaps of at least `least` in the fullest."""
     used = lambda b: sum(x[2] for x in b)
     bins = sorted((list(b) for b in bins), key=used, reverse=True)
-    most, i = min(limits.tokens, limits.loss), 0
-    room = [most - used(b) for b in bins]
+    i = 0
+    # tokens of one more piece that fit under the limits of tokens and of loss
+    room = [min(limits.tokens - used(b), limits.loss - used(b) + len(b) + 1) for b in bins]
     while i < len(bins) - 1:
         if room[i] < least or len(bins[i]) >= limits.segments:
             i += 1
@@ -75,10 +77,10 @@ def _fill_gaps(bins: list[list[tuple[int, int, int]]], limits: Limits, least: in
         item, start, length = bins[-1].pop()
         n = min(length, room[i])
         bins[i].append((item, start, n))
-        room[i] -= n
         if n < length:
             bins[-1].append((item, start + n, length - n))
-        room[-1] += n
+        for j in (i, -1):
+            room[j] = min(limits.tokens - used(bins[j]), limits.loss - used(bins[j]) + len(bins[j]) + 1)
         if not bins[-1]:
             bins.pop()
             room.pop()
@@ -88,11 +90,11 @@ def _fill_gaps(bins: list[list[tuple[int, int, int]]], limits: Limits, least: in
 def _pack(path: str, limits: Limits, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, base, count = encoder(path), TaskContext.get().partitionId() << 40, 0
-        size = min(limits.tokens, limits.loss)
+        size = min(limits.tokens, limits.loss + 1)
         open_: list[tuple[object, int, int, np.ndarray]] = []  # doc_id, start, doc_tokens, ids
 
         def closed() -> tuple[list, int]:
-            sizes = np.array([(len(x[3]), 1, len(x[3])) for x in open_], np.float64).reshape(-1, 3)
+            sizes = np.array([(len(x[3]), 1, len(x[3]) - 1) for x in open_], np.float64).reshape(-1, 3)
             bins = [[(i, 0, len(open_[i][3])) for i in b] for b in dot_product_bins(sizes, limits.vector())]
             rows, n = [], count
             for own in _fill_gaps(bins, limits, least):
@@ -135,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), least: int
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece.
 
     A text's ids end with id 1. Runs of a whole sequence are sequences of their own; what is left of each text is an item of
-    the vector bin packing (tokens, segments, loss-bearing tokens: here all of them), some thousand items at a time within
+    the vector bin packing (tokens, segments, loss-bearing tokens), a thousand items at a time within
     one input partition, so nothing is shuffled and a lost task packs the same again. Gaps of `least` tokens or more are
     closed by cutting pieces of the emptiest sequences. sequence_id: partition number, then a counter.
     Null and empty texts are the one id; repeated rows are packed each; an empty table returns no rows.

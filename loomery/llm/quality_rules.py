@@ -12,8 +12,10 @@ from loomery.session import materialize, table
 SPACE, WINDOW, MIN_WORDS, REPEAT_PERCENT = r"[\x20\x09-\x0D]+", 8, 20, 30
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
-#: metric: slack below the lower and above the upper fence; None: no such fence
-SLACK = {"symbol_ratio": (None, 0.05), "dup_line_ratio": (None, 0.5), "repeat_ratio": (None, 0.25), "stutter_ratio": (None, 0.2), "mean_word_chars": (2.0, 4.0)}
+#: share: what it is a share of; of repeated words, the windows that fit side by side
+UNITS = {"symbol_ratio": ("word_chars", 1), "dup_line_ratio": ("n_lines", 1), "repeat_ratio": ("n_words", WINDOW), "stutter_ratio": ("n_words", 1)}
+SKETCHED = (*UNITS, "mean_word_chars", "log_words")
+TAIL, DEVIATIONS = 0.15, 3.0
 
 
 def _let(value: Column, body) -> Column:
@@ -63,55 +65,61 @@ def metrics(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tu
 
 def _ratios(rows: DataFrame) -> DataFrame:
     part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return rows.withColumns({"symbol_ratio": part("n_symbols", "word_chars"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "repeat_ratio": part("n_repeat_words", "n_words"), "stutter_ratio": part("n_stutters", "n_words"), "mean_word_chars": part("word_chars", "n_words")})
+    return rows.withColumns({"symbol_ratio": part("n_symbols", "word_chars"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "repeat_ratio": part("n_repeat_words", "n_words"), "stutter_ratio": part("n_stutters", "n_words"), "mean_word_chars": part("word_chars", "n_words"), "log_words": F.log1p("n_words")})
 
 
-def fences(rows: DataFrame, depth: int, slack: dict = SLACK, whiskers: float = 3.0, k: int = 400) -> DataFrame:
-    """Bounds of each metric by group, from one sketch a group and metric.
+def quantiles(rows: DataFrame, depth: int, tail: float = TAIL, k: int = 400) -> list[DataFrame]:
+    """For the groups of by_0 .. by_(depth-1), then of one key less, down to one row for all: n and q, the quantiles at tail,
+    1/2 and 1 - tail of each metric among rows that pass the fixed rules.
 
     The finest sketches are built once (partial aggregation, a few KB each whatever the rows); those of coarser groups are
-    merges of them. Bound: quartile +- whiskers x interquartile range, and the slack. Columns: by_0.., n, low_/high_<metric>.
+    merges of them.
     """
     keys = [f"by_{i}" for i in range(depth)]
-    fine = rows.filter("not base_failed").groupBy(*keys).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in slack])
-    q = lambda m, r: F.when(F.coalesce("n", F.lit(0)) > 0, F.kll_sketch_get_quantile_double(F.col(m), F.lit(r)))
+    fine = rows.filter("not base_failed").groupBy(*keys).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in SKETCHED])
+    coarse = [fine.groupBy(*keys[:d]).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in SKETCHED]) for d in range(depth - 1, -1, -1)]
+    q = lambda m: F.when(F.coalesce("n", F.lit(0)) > 0, F.array(*[F.kll_sketch_get_quantile_double(F.col(m), F.lit(r)) for r in (tail, 0.5, 1 - tail)]))
+    return [s.select(*[c for c in s.columns if c.startswith("by_")], "n", F.struct(*[q(m).alias(m) for m in SKETCHED]).alias("q")) for s in (fine, *coarse)]
 
-    def bounds(sketched: DataFrame) -> DataFrame:
-        out = {}
-        for m, (below, above) in slack.items():
-            width = whiskers * (q(m, 0.75) - q(m, 0.25))
-            out[f"low_{m}"] = q(m, 0.25) - width - below if below is not None else F.lit(float("-inf"))
-            out[f"high_{m}"] = q(m, 0.75) + width + above if above is not None else F.lit(float("inf"))
-        return sketched.withColumns(out).drop(*slack)
 
-    return bounds(fine), [bounds(fine.groupBy(*keys[:d]).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in slack])) for d in range(depth - 1, -1, -1)]
+def fits(deviations: float = DEVIATIONS) -> Column:
+    """Whether a row stays within the fences that q, the quantiles of its group, gives for a text of its size.
+
+    A share may be what chance makes of the group's upper quantile p in n units: p + d sqrt(p (1 - p) / n) + d^2 / n for d
+    deviations. The mean length of words may be d times as far beyond a tail quantile as that is from the median, and further
+    by the square root of how much shorter the text is than the group's median. No other number is fixed.
+    """
+    inside = []
+    for m, (unit, size) in UNITS.items():
+        p, n = F.col(f"q.{m}")[2], F.greatest(F.col(unit) / size, F.lit(1.0))
+        inside.append(F.col(m) <= p + deviations * F.sqrt(p * (1 - p) / n) + deviations**2 / n)
+    low, middle, high = (F.col("q.mean_word_chars")[i] for i in range(3))
+    wide = deviations * F.sqrt(F.greatest(F.lit(1.0), F.expm1(F.col("q.log_words")[1]) / F.greatest(F.col("n_words"), F.lit(1))))
+    inside.append(F.col("mean_word_chars").between(low - wide * (middle - low), high + wide * (high - middle)))
+    return reduce(Column.__and__, inside)
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), least: int = 100, slack: dict = SLACK) -> DataFrame:
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), least: int = 100, tail: float = TAIL, deviations: float = DEVIATIONS) -> DataFrame:
     """doc_id, counts, base_failed and kept for each row of docs.
 
-    Bounds come from the row's own group if at least `least` texts passed the fixed rules there, else from the next coarser
-    one (all groups share the coarsest). Null texts count as empty and fail; a null language or source is a group of its own;
-    repeated rows return repeated rows; with no text left to learn from only the fixed rules speak; an empty table returns no
-    rows; other columns are ignored.
+    Quantiles come from the row's own group if at least `least` texts passed the fixed rules there, else from the next coarser
+    one (all groups share the coarsest); up to a share `tail` of junk in a group moves no fence. Null texts count as empty and
+    fail; a null language or source is a group of its own; repeated rows return repeated rows; with no text left to learn from
+    only the fixed rules speak; an empty table returns no rows; other columns are ignored.
     """
     rows = materialize(_ratios(metrics(docs, key, text, groups)))
     depth = len(groups)
-    fine, coarse = fences(rows, depth, slack)
-    names = [f"{side}_{m}" for m in slack for side in ("low", "high")]
-    pick = lambda sketched, i: sketched.select(*[F.col(f"by_{j}").alias(f"on_{i}_{j}") for j in range(depth - i)], F.when(F.col("n") >= least if i < depth else F.lit(True), F.struct(*names)).alias(f"own_{i}"))
-    bound = fine.select(*[f"by_{j}" for j in range(depth)])
-    for i, sketched in enumerate([fine, *coarse[:-1]]):
-        other = pick(sketched, i)
-        on = [F.col(f"by_{j}").eqNullSafe(F.col(f"on_{i}_{j}")) for j in range(depth - i)]
-        bound = bound.join(other, reduce(Column.__and__, on), "left").drop(*[f"on_{i}_{j}" for j in range(depth - i)])
-    whole = coarse[-1].select(*names).first()  # one row: the bounds of all groups together
-    bound = bound.withColumn(f"own_{depth}", F.struct(*[F.lit(whole[n] if whole else None).cast("double").alias(n) for n in names]))
-    bound = bound.select(*[F.col(f"by_{j}").alias(f"to_{j}") for j in range(depth)], F.coalesce(*[f"own_{i}" for i in range(depth + 1)]).alias("bound"))
+    found = quantiles(rows, depth, tail)
+    bound = found[0].select(*[f"by_{j}" for j in range(depth)])
+    for i, own in enumerate(found[:-1]):
+        other = own.select(*[F.col(f"by_{j}").alias(f"on_{j}") for j in range(depth - i)], F.when(F.col("n") >= least, F.col("q")).alias(f"own_{i}"))
+        bound = bound.join(other, reduce(Column.__and__, [F.col(f"by_{j}").eqNullSafe(F.col(f"on_{j}")) for j in range(depth - i)]), "left").drop(*[f"on_{j}" for j in range(depth - i)])
+    whole = found[-1].first()  # one row: the quantiles of all groups together
+    every = F.struct(*[F.lit(whole["q"][m] if whole else None).cast("array<double>").alias(m) for m in SKETCHED])
+    bound = bound.select(*[F.col(f"by_{j}").alias(f"to_{j}") for j in range(depth)], F.coalesce(*[f"own_{i}" for i in range(depth)], every).alias("q"))
     judged = rows.join(bound, reduce(Column.__and__, [F.col(f"by_{j}").eqNullSafe(F.col(f"to_{j}")) for j in range(depth)]), "left")
-    fits = reduce(Column.__and__, [F.col(m).between(F.col(f"bound.low_{m}"), F.col(f"bound.high_{m}")) for m in slack])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & F.coalesce(fits, F.lit(True))).alias("kept"))
+    return judged.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & F.coalesce(fits(deviations), F.lit(True))).alias("kept"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

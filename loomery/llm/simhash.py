@@ -11,12 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import each, slices, whole
+from loomery.llm.common import each, fresh, whole
+from loomery.llm.gray_index import GrayIndex, gray_rank
 from loomery.llm.near_copies import near_copies
 from loomery.operators.components import connected_components, local_roots
 from loomery.session import materialize, table
 
-SEED, SHINGLE, FAN, PAIRS = 42, 3, 8, 2_000_000
+SEED, SHINGLE = 42, 3
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -47,57 +48,6 @@ def _fingerprints(shingle: int):
     return run
 
 
-def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """Place of each code in the reflected Gray sequence."""
-    rank = codes.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
-    return rank
-
-
-class GrayIndex:
-    """Hierarchy over groups of codes, each group sorted by Gray rank.
-
-    A node stands for up to FAN neighbours of the level below and holds the bits that all codes under it share (mask,
-    pattern). The differences on shared bits only grow on the way down, so a node whose count is over the limit drops with
-    everything below it.
-    """
-
-    def __init__(self, groups: np.ndarray, codes: np.ndarray):
-        """groups: sorted; codes of a group stand in Gray order."""
-        self.codes = codes
-        starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        sizes = np.diff(np.append(starts, len(codes)))
-        self.group = np.repeat(np.arange(len(starts)), sizes)
-        self.size = sizes[self.group]
-        self.levels = []  # (first child, children, mask, pattern, last code)
-        both, any_, last, counts, begin = codes, codes, np.arange(len(codes)), sizes, starts
-        while not self.levels or counts.max() > 1:
-            above = -(-counts // FAN)
-            offset = np.concatenate([[0], np.cumsum(above)])[:-1]
-            step = np.arange(above.sum()) - np.repeat(offset, above)
-            first = np.repeat(begin, above) + FAN * step
-            children = np.minimum(FAN, np.repeat(counts, above) - FAN * step)
-            both, any_ = np.bitwise_and.reduceat(both, first), np.bitwise_or.reduceat(any_, first)
-            last = last[first + children - 1]
-            self.levels.append((first, children, ~(both ^ any_), both, last))
-            counts, begin = above, offset
-
-    def pairs(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Every pair of one group at limit differences or fewer, as places i < j."""
-        for lo, hi in slices(self.size, PAIRS):
-            query = np.arange(lo, hi)
-            node = self.group[lo:hi]
-            for first, children, mask, pattern, last in reversed(self.levels):
-                near = (last[node] > query) & (np.bitwise_count((self.codes[query] ^ pattern[node]) & mask[node]) <= limit)
-                query, node = query[near], node[near]
-                many = children[node]
-                inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                query, node = np.repeat(query, many), np.repeat(first[node], many) + inside
-            near = (node > query) & (np.bitwise_count(self.codes[query] ^ self.codes[node]) <= limit)
-            yield query[near], node[near]
-
-
 def _masks(limit: int) -> list[int]:
     """Bits that at least one key of any linked pair shares: limit+1 blocks, and as many parts of the rest under each."""
     out, n = [], limit + 1
@@ -165,14 +115,19 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest id; of repeated rows
-    with that id, one.
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id, ids
+    that are null last; of several texts under that id the one whose hash comes first, of repeated rows one.
 
-    Only rows whose id repeats are aggregated; for the others a hash of the kept ids is enough, so texts are never sorted.
+    Texts that are null or without a word are one group. An empty table gives no rows; other columns stay, whatever their
+    names. Only ids and hashes are grouped; texts meet the kept ones in a hash join whose built side holds 24 bytes a row.
     """
     found = near_copies(docs)
-    first = found.groupBy("component").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    keep = found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")).join(first, "_kept")
-    known = docs.join(keep.hint("shuffle_hash"), docs["doc_id"] == keep["_kept"])
-    once = known.filter("_n = 1").select(docs.columns)
-    return once.unionByName(known.filter("_n > 1").select(docs.columns).dropDuplicates(["doc_id"])).unionByName(docs.filter("doc_id is null"))
+    own = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")
+    times = found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("times"))
+    kept = times.groupBy("component").agg(F.min_by("times", own).alias("times"), F.min(own).alias("at"))
+    doc, row, many = fresh(docs, "kept_doc", "kept_row", "kept_times")
+    kept = kept.select(F.col("at.doc_id").alias(doc), F.col("at.row").alias(row), F.col("times").alias(many))
+    same = F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept[row]) & docs["doc_id"].cast("long").eqNullSafe(kept[doc])
+    known = docs.join(kept.hint("shuffle_hash"), same)
+    once = known.filter(F.col(many) == 1).select(docs.columns)
+    return once.unionByName(known.filter(F.col(many) > 1).dropDuplicates([doc, row]).select(docs.columns))

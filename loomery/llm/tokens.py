@@ -8,8 +8,8 @@ import unicodedata
 
 import numpy as np
 
-KEPT = 300_000  # pre-tokens held at most; more only cost another encode()
-GROUP = 64  # pre-tokens of one encode()
+KEPT = 500_000  # pre-tokens held at most; more only cost another encode()
+GROUP = 256  # pre-tokens of one encode()
 
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
 #: lower-casing these is one character to one, and composing them changes nothing

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomery.llm import embedding_dedup, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, url_filters
+from loomery.llm import embedding_dedup, gray_index, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, url_filters
 from loomery.llm.common import held_out
 from loomery.llm.tokens import Encoder
 
@@ -139,7 +139,7 @@ def test_simhash(docs, nothing, rows, spark):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {i: group[i] for i in ids}
     assert simhash.simhash_components(nothing).collect() == []
     kept = simhash.dedup_stage(spark, docs, "")
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in ids if group[i] == i)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i in [*ids, None] if i is None or group[i] == i), key=str)
 
 
 def test_dedup_stage_links_all_pairs_of_similarity_08(spark):
@@ -178,13 +178,40 @@ def test_dedup_stage_links_all_pairs_of_similarity_08(spark):
     assert sorted(r.doc_id for r in simhash.dedup_stage(spark, x, "").collect()) == sorted(set(group))
 
 
+def test_dedup_stage_on_repeated_and_null_ids_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows_ = [(1, text, 1), (1, text, 2), (1, "another text of its own", 3), (2, text, 4), (None, text, 5), (None, "no id", 6), (None, "no id", 7), (None, None, 8), (3, "", 9)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, _kept int").withColumns({n: F.lit(n) for n in ("kept_doc", "kept_row", "KEPT_TIMES", "node", "component", "row", "key")})
+    got = simhash.dedup_stage(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, text), (1, "another text of its own"), (None, "no id"), (3, "")], key=str)
+    assert simhash.dedup_stage(spark, df.limit(0), "").collect() == []
+
+
+def test_crowds_of_near_copies_are_cut_without_loss(spark, monkeypatch):
+    from loomery.llm import near_copies
+
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(40)]
+    # a chain in which neighbours are near copies and far ones are not, among texts that only share words
+    texts = [" ".join(base[i : i + 30]) for i in range(0, 10, 1)] + [" ".join(base[:4] + [f"x{rng.random()}" for _ in range(20)]) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    want = {r.doc_id: r.component for r in near_copies.near_copies(df).collect()}
+    monkeypatch.setattr(near_copies, "CROWD", 1)
+    for rounds in (0, 2):
+        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+        monkeypatch.setattr(near_copies, "SLICE", 3)
+        got = {r.doc_id: r.component for r in near_copies.near_copies(df).collect()}
+        assert len(set(got[i] for i in range(10))) == 1 and [got[i] == got[j] for i in range(30) for j in range(i)] == [want[i] == want[j] for i in range(30) for j in range(i)]
+
+
 def test_gray_index_finds_all_pairs():
     rng = np.random.default_rng(3)
     codes = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 80, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 80, dtype=np.uint64)) for base in rng.integers(0, 2**63, 4, dtype=np.uint64)]))
     groups = rng.integers(0, 3, len(codes))
-    order = np.lexsort((simhash.gray_rank(codes), groups))
+    order = np.lexsort((gray_index.gray_rank(codes), groups))
     groups, codes = groups[order], codes[order]
-    got = {(int(a), int(b)) for x, y in simhash.GrayIndex(groups, codes).pairs(2) for a, b in zip(x, y, strict=True)}
+    got = {(int(a), int(b)) for x, y in gray_index.GrayIndex(groups, codes).pairs(2) for a, b in zip(x, y, strict=True)}
     assert got == {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if groups[i] == groups[j] and (int(codes[i]) ^ int(codes[j])).bit_count() <= 2}
 
 
@@ -251,6 +278,19 @@ def test_mixing(docs, nothing, rows):
     assert mixing.mix(nothing).collect() == []
 
 
+def test_mixing_stage_keeps_what_the_mix_takes(spark):
+    rows_ = [(None, f"a b {i % 3}", "s", 7) for i in range(100)] + [(5, "one two three", "s", 7) for _ in range(30)] + [(5, f"x{i} y z", "t", 7) for i in range(20)] + [(6, None, None, 7)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, turn int").withColumns({n: F.lit(1) for n in ("copies", "of", "row", "many", "_row")})
+    got, planned = mixing.mixing_stage(spark, df, ""), mixing.mix(df).collect()
+    assert got.columns == df.columns and {r.turn for r in got.collect()} == {7}
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.source or "")
+    want = Counter()
+    for r in planned:
+        want[key(r)] += r.copies
+    assert Counter(map(key, got.collect())) == +want and sum(want.values()) > 0
+    assert mixing.mixing_stage(spark, df.limit(0), "").collect() == []
+
+
 def test_subset_sum_is_exact():
     rng = random.Random(0)
     for _ in range(40):
@@ -310,13 +350,67 @@ def test_pii_patterns_on_random_text():
         assert pii.base_spans(text) == plain_spans(text), text
 
 
-def test_skip_links_carry_a_label():
-    texts = [f"call +1 (212) 555-0{i:03d} now and then" for i in range(200)] + [f"item {i} of 17 at 3.5" for i in range(200)]
+def _texts_with_mentions(n, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices(["the", "an", "re", "on", "ti"], k=2))
+    line = lambda k: " ".join(word() for _ in range(k))
+    card = lambda: next(d for d in iter(lambda: "4" + "".join(rng.choices("0123456789", k=15)), None) if pii.luhn(d))
+    kinds = [lambda: f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)), card, lambda: f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"]
+    return [f"{line(10)} {kinds[i % 4]()} {line(12)} {rng.randint(1, 99)} {line(5)}" + (f' token = "{rng.getrandbits(160):040x}" {line(4)}' if i % 5 == 0 else "") for i in range(n)]
+
+
+def test_pii_finds_planted_mentions_that_the_patterns_miss():
+    model = pii.fit(_texts_with_mentions(400, 1))
+    rng, right, wrong, missed = random.Random(2), 0, 0, 0
+    for text in _texts_with_mentions(200, 3):
+        text, spans = pii.planted(text, rng)
+        (base, every), = pii.find([text], model)
+        assert [s for s in every if s in base] == base
+        overlap = lambda x, y: any(x[0] == k and x[1] < e and s < x[2] for k, s, e in y)
+        added = [s for s in every if s not in base]
+        right += sum(overlap(s, spans) for s in added)
+        wrong += sum(not overlap(s, spans) for s in added)
+        missed += sum(not overlap(s, every) for s in spans)
+    print("added right, wrong, missed", right, wrong, missed)
+    assert right > 150 and wrong <= 0.03 * right and missed <= 0.35 * right
+
+
+def test_marginals_equal_enumeration():
+    from itertools import product
+
+    rng, k = np.random.default_rng(4), len(pii.LABELS)
+    model = pii.SkipChain(rng.standard_normal((pii.HASHED, k)) * 0.5, rng.standard_normal((k, k)), rng.standard_normal((k, k)))
+    for text in ("pay 4111111111111111 3 now", "a@mail1 then a long way 9998887 b 9998887", "x 7 8", "nothing"):
+        g = pii.graph([text], [pii.base_spans(text)])
+        node, n, total = model.nodes(g), len(g.spans) + g.hubs, np.zeros((len(g.spans), k))
+        for y in product(range(k), repeat=n):
+            w = math.exp(sum(node[i, y[i]] for i in range(n)) + sum(model.trans[y[a], y[b]] for a, b in g.chain) + sum(model.skip[y[a], y[b]] for a, b in g.skip))
+            for i in range(len(g.spans)):
+                total[i, y[i]] += w
+        if len(g.spans):
+            assert model.marginals(g) == pytest.approx(total / total.sum(axis=1, keepdims=True), abs=2e-3)
+
+
+def test_skip_links_reach_every_mention():
+    texts = _texts_with_mentions(300, 5)
     model = pii.fit(texts)
-    (base, every), = pii.find(["call +1 (212) 555-0123 or 212-555-0123 today"], model, sure=0.5)
-    assert base == [("phone", 5, 22)] and set(base) <= set(every)
-    g = pii.graph(["call +1 (212) 555-0123 or 212-555-0123 today"])
-    assert len(g.skip) == 1
+    number, gap = "+1 (212) 555-0123", " and so on" * 30
+    text = number + "".join(f"{gap} 212-555-0123" for _ in range(40))
+    g = pii.graph([text], [pii.base_spans(text)])
+    assert g.hubs >= 1 and len(g.skip) >= 41
+    (base, every), = pii.find([text], model, sure=0.5)
+    assert base == [("phone", 0, 17)] and len({s[2] - s[1] for s in every[1:]}) <= 1
+
+
+def test_pii_training_takes_one_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "call +1 (212) 555-0123 now")] * 2000 + [(i, f"item {i} costs {i}") for i in range(2, 102)], "doc_id long, text string")
+    seen, fit_ = [], pii.fit
+    pii.fit = lambda texts: seen.append(len(texts)) or fit_(texts, steps=1)
+    try:
+        pii.train(df, most=60)
+    finally:
+        pii.fit = fit_
+    assert seen == [60]
 
 
 def test_packing(docs, nothing, rows):
@@ -362,6 +456,32 @@ def test_dot_product_bins_keep_every_limit():
     assert len(bins) <= 1.15 * lower + 1
 
 
+def test_packing_keeps_all_three_limits_and_wastes_little(docs):
+    rng = random.Random(3)
+    spark = docs.sparkSession
+    texts = spark.createDataFrame([(i, " ".join(rng.choices(["the", "of", "and"], k=rng.randint(1, 90)))) for i in range(600)], "doc_id long, text string").repartition(1).cache()
+    for limits in (packing.Limits(120, 64, 119), packing.Limits(120, 3, 119), packing.Limits(120, 64, 90)):
+        sequences = defaultdict(list)
+        for r in packing.pack(texts, packing.tokenizer_path(), limits, least=1).collect():
+            sequences[r.sequence_id].append(r.length)
+        tokens, pieces = sum(map(sum, sequences.values())), sum(map(len, sequences.values()))
+        assert all(sum(x) <= limits.tokens and len(x) <= limits.segments and sum(x) - len(x) <= limits.loss for x in sequences.values())
+        least = max(tokens / limits.tokens, pieces / limits.segments, (tokens - pieces) / limits.loss)
+        assert len(sequences) <= (1.02 if limits.segments > 3 else 1.15) * least + 2, (limits, len(sequences), least)
+
+
+def test_pack_examples_keeps_all_three_limits(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, n := rng.randint(1, 900), rng.randint(0, min(n, 600))) for i in range(500)], "id long, tokens long, loss_tokens long").repartition(1).cache()
+    for limits in (packing.Limits(2048, 64, 2047), packing.Limits(2048, 3, 2047), packing.Limits(2048, 64, 700)):
+        bins = defaultdict(list)
+        for r in packing.pack_examples(df, limits, "id").join(df, "id").collect():
+            bins[r.sequence_id].append((r.tokens, 1, r.loss_tokens))
+        total = [np.array(x).sum(axis=0) for x in bins.values()]
+        assert all((t <= limits.vector()).all() for t in total)
+        assert len(bins) <= 1.15 * math.ceil((sum(total) / limits.vector()).max()) + 1
+
+
 def test_pack_examples(spark):
     df = spark.createDataFrame([(i, 100 + i, 10, "x") for i in range(50)] + [(99, None, None, "x"), (100, 9999, 1, "x")], "id long, tokens long, loss_tokens long, sequence_id string")
     got = packing.pack_examples(df, packing.Limits(), "id").collect()
@@ -383,6 +503,43 @@ def test_quality_rules(docs, nothing, rows):
     assert not any(r.kept for r in quality_rules.quality_rules(docs.filter("doc_id < 4")).collect())
 
 
+def test_quality_rules_equal_exact_quantiles(spark):
+    """kept, recomputed from exact quantiles of the groups (sketches of small groups are exact)."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(2, 8)))
+    texts = []
+    for i in range(260):
+        w = [word() for _ in range(rng.randint(25, 120))]
+        if i % 13 == 0:
+            w = [x + "#$" for x in w]
+        if i % 17 == 0:
+            w = [y for x in w for y in (x, x)]
+        texts.append((i, " ".join(w) + ("\nsame line of words\nsame line of words" if i % 7 == 0 else ""), ("en", None)[i % 2], ("a", "b")[i % 20 == 2]))
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df, least=60).collect()}
+    figures = {}
+    for i, t, *_ in texts:
+        w, lines = words(t), t.split("\n")
+        n, chars = len(w), sum(map(len, w))
+        figures[i] = {"symbol_ratio": (sum(c in "#*$%&|<>" for c in t) / chars, chars), "dup_line_ratio": ((len(lines) - len(set(lines))) / len(lines), len(lines)), "repeat_ratio": (got[i].n_repeat_words / n, n / 8), "stutter_ratio": (sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, n), "mean": chars / n, "n": n}
+    group = lambda r: next(g for g in ((r[2], r[3]), (r[2],), ()) if g == () or sum(x[2:][: len(g)] == g and not got[x[0]].base_failed for x in texts) >= 60)
+    quantile = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    rejected = 0
+    for r in texts:
+        g, own = group(r), figures[r[0]]
+        like = [figures[x[0]] for x in texts if x[2:][: len(g)] == g and not got[x[0]].base_failed]
+        fit = True
+        for m in quality_rules.UNITS:
+            p, n = quantile([f[m][0] for f in like], 0.85), max(1.0, own[m][1])
+            fit &= own[m][0] <= p + 3 * math.sqrt(p * (1 - p) / n) + 9 / n
+        low, middle, high = (quantile([f["mean"] for f in like], q) for q in (0.15, 0.5, 0.85))
+        wide = 3 * math.sqrt(max(1, quantile([f["n"] for f in like], 0.5) / own["n"]))
+        fit &= low - wide * (middle - low) <= own["mean"] <= high + wide * (high - middle)
+        assert got[r[0]].kept == (fit and not got[r[0]].base_failed), r
+        rejected += not fit
+    assert 20 <= rejected <= 60
+
+
 def test_url_filters(spark):
     urls = [None, "", "nothing", "http://a.Example.ORG/es/x?q", "http://example.org/en/12", "https://m.example.org/en/2#f", "ftp://x.com/fr/1", "http://com/de/", "http://notorg/es/", "http://org", "http://b.net/de/", "x://?a", "http://a.com/fr/://b"]
     df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)] + [(3, urls[3], "r")], "page_id long, url string, rule string")
