@@ -151,13 +151,18 @@ def _near(plan: Plan, rows, run_, one, two, own, turn, flat, starts, dim) -> Ite
         place[line, k] = np.arange(len(rows))
         low[:, k] = np.searchsorted(at[line], at - plan.window, "left")
         high[:, k] = np.searchsorted(at[line], at + plan.window, "right")
-    first = np.flatnonzero(np.diff(number, prepend=-1))
-    end = np.append(first[1:], len(rows))[number]
-    left = end - np.arange(len(rows)) - 1
+    # pairs come from the windows of the line on which cells spread most, twice as wide there: a pair at the threshold is in
+    # one with a chance of 0.9999
+    mean = np.stack([np.bincount(number, values[:, k]) for k in range(plan.lines)]) / np.bincount(number)
+    best = int(((values - mean.T[number]) ** 2).sum(axis=0).argmax())
+    at = values[:, best] + number * 4096.0
+    line = np.argsort(at, kind="stable")
+    left = np.searchsorted(at[line], at[line] + 2 * plan.window, "right") - np.arange(len(rows)) - 1
     for lo, hi in slices(left + 1, PAIRS):
         n = left[lo:hi]
         a = np.repeat(np.arange(lo, hi), n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        a, b = line[a], line[b]
         x, y = rows[a], rows[b]
         new = (one[x] == two[x]) | (own[x] != own[y])  # of two slices: pairs across; within one it is the turn of (i, i)
         a, b = a[new], b[new]
@@ -173,20 +178,25 @@ def embedding_components(rows: DataFrame, threshold: float = 0.93, key: str = "v
     """vec_id, n_links, component_id, kept for each row.
 
     Equal vectors of a label are one class with a count, whatever their number. Classes are dealt to cells by several tables
-    of random projections (depth grows with the logarithm of the largest label, the number of tables follows), collisions on
-    sorted lines are counted for the pairs of a cell, and pairs that pass are verified in double precision. A crowded cell is
-    cut into slices and each two slices are a task's work. Tasks return sums and stars, not pairs.
-    Null labels, vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-    different lengths don't link; repeated rows count as vectors of their own; an empty table returns no rows.
+    of random projections (depth grows with the logarithm of the largest label, the number of tables follows); in a cell the
+    windows of a sorted line give the pairs, their collisions on all lines are counted, and pairs that pass are verified in
+    double precision. A crowded cell is cut into slices and each two slices are a task's work. Tasks return sums and stars,
+    not pairs. Null labels, vectors that are null, empty, zero or hold null or non-finite components link with nothing;
+    vectors of different lengths don't link. Rows with a null vec_id link and are counted like others; their component is the
+    smallest id reached, null if there is none, and they are kept only then. Repeated rows count as vectors of their own; an
+    empty table returns no rows; other columns are ignored.
     """
-    own = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    kind = rows.schema[vector].dataType.simpleString()
+    body = F.col(vector) if kind in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
+    own = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), body.alias("v"))
     ill = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col("label").isNotNull() & F.col("v").isNotNull() & ~ill & F.exists("v", lambda x: x != 0)
     own = own.withColumn("fit", F.coalesce(fit, F.lit(False)))
     held = materialize(own.select("vec_id", "label", "fit", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")))
-    classes = materialize(own.filter("fit").groupBy("label", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")).agg(F.min("vec_id").alias("node"), F.count("*").alias("many"), F.min_by("v", "vec_id").alias("v")))
+    classes = own.filter("fit").groupBy("label", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("many"), F.first("v").alias("v"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))  # a number of its own, whatever the ids are
     plan = plan or Plan.of(classes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0], threshold)
-    dealt = classes.select("node", "many", "label", "v").mapInArrow(_cells(plan), "key long, turn int, node long, many long, label long, v array<double>")
+    dealt = classes.select("node", "many", "label", "v").mapInArrow(_cells(plan), f"key long, turn int, node long, many long, label long, v {own.schema['v'].dataType.simpleString()}")
     crowds = dealt.groupBy("key").count().filter(F.col("count") > CROWD).select("key", F.ceil(F.col("count") / CROWD).cast("int").alias("parts"))
     cut = dealt.join(crowds, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -194,11 +204,12 @@ def embedding_components(rows: DataFrame, threshold: float = 0.93, key: str = "v
     found = materialize(work.repartition("key", "one", "two").mapInArrow(_collide(plan), "a long, b long, n long"))
     degree = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
     group = connected_components(found.filter("a <> b").select("a", "b"))
-    known = classes.select("label", "h", "g", "node", "many").join(degree, "node", "left").join(group, "node", "left")
-    known = known.select("label", "h", "g", (F.col("many") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    known = classes.select("label", "h", "g", "node", "many", "first_id").join(degree, "node", "left").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = known.join(known.groupBy("component").agg(F.min("first_id").alias("component_id")), "component")
+    known = known.select("label", "h", "g", (F.col("many") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), "component_id")
     linked = held.filter("fit").join(known, ["label", "h", "g"]).select("vec_id", "n_links", "component_id")
     alone = held.filter("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomery.llm.common import held_out, slices
 from loomery.session import table
 
-BUCKETS, ALPHA, MOST_LANGS, GAP = 1 << 16, 0.5, 512, 3
+BUCKETS, ALPHA, GAP = 1 << 16, 0.5, 3
 
 
 @cache
@@ -32,8 +32,9 @@ def _letters() -> np.ndarray:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, text) of every 1-, 2- and 3-gram, other characters being one kind of gap; letters in each text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    code = _letters()[np.frombuffer((" " * GAP).join([*texts, ""]).encode("utf-32-le"), np.uint32)]
-    owner = np.repeat(np.arange(len(texts)), sizes + GAP)
+    code = _letters()[np.frombuffer((" " * GAP).join(["", *texts, ""]).encode("utf-32-le"), np.uint32)]
+    # the gap before a text is its own, so a gram belongs to the text of its first character; the last gap starts none
+    owner = np.append(np.repeat(np.arange(len(texts)), sizes + GAP), np.zeros(GAP, np.int64))
     a, b, c = code[:-2], code[1:-1], code[2:]
     found, of = [], []
     for grams_, real, at in ((code * np.uint32(0x85EBCA6B), code > 0, owner), (a * np.uint32(0xC2B2AE35) + b * np.uint32(0x27D4EB2F) + np.uint32(1), (a > 0) | (b > 0), owner[:-2]), (a * np.uint32(0x9E3779B1) + b * np.uint32(0x165667B1) + c * np.uint32(0x85EBCA77) + np.uint32(2), b > 0, owner[:-2])):
@@ -55,12 +56,12 @@ def _texts(x: pa.RecordBatch, i: int, most: int) -> Iterator[tuple[int, int, lis
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}  # the last place: number of texts
     for x in batches:
-        langs = x.column(0).to_pylist()
         for lo, hi, texts in _texts(x, 1, 500_000):
             bucket, of, _ = grams(texts)
-            names, at = np.unique(np.array(langs[lo:hi], object).astype(str), return_inverse=True)
+            coded = x.column(0).slice(lo, hi - lo).dictionary_encode()
+            names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             n = np.bincount(at[of] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-            for name, row, docs in zip(names.tolist(), n, np.bincount(at), strict=True):
+            for name, row, docs in zip(names, n, np.bincount(at, minlength=len(names)), strict=True):
                 own = held.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
                 own[:-1] += row
                 own[-1] += docs
@@ -71,7 +72,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Bayes:
-    """langs, and the log-probability of each bucket (row) in each language (column)."""
+    """langs, and the log-probability of each bucket (row) in each language (column), in single precision; sums are in double."""
 
     langs: list[str]
     logp: np.ndarray
@@ -92,19 +93,21 @@ class Bayes:
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Bayes:
-    """From every row with a text and a language. The driver gets one number for each bucket and language: 65536 times the
-    languages, of which MOST_LANGS are allowed."""
+    """From every row with a text and a language. The driver gets one number for each bucket that a language has: 65536 times the
+    languages at most, 0.25 MB each in the model; any number of them is accepted."""
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).dropna()
     counted = rows.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.limit(MOST_LANGS * (BUCKETS + 1) + 1).toArrow()
-    names = np.array(got.column("lang").to_pylist(), object)
-    langs = sorted(set(names.tolist()))
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    n = np.zeros((BUCKETS + 1, len(langs)))
-    n[got.column("bucket").to_numpy(), np.searchsorted(np.array(langs, object), names)] = got.column("n").to_numpy()
-    body, docs_ = n[:-1] + ALPHA, n[-1]
-    return Bayes(langs, np.log(body / body.sum(axis=0)), np.log((docs_ + 1) / (docs_.sum() + len(langs))) if langs else np.zeros(0))
+    got = counted.toArrow().combine_chunks()
+    coded = got.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    place = np.array([langs.index(x) for x in names], np.int64)
+    n = np.zeros((BUCKETS + 1, len(langs)), np.float32)
+    if len(got):
+        n[got.column("bucket").to_numpy(), place[coded.indices.to_numpy()]] = got.column("n").to_numpy()
+    body, docs_ = n[:-1] + np.float32(ALPHA), n[-1].astype(np.float64)
+    total = body.sum(axis=0, dtype=np.float64)
+    return Bayes(langs, np.log(body / total).astype(np.float32), np.log((docs_ + 1) / (docs_.sum() + len(langs))) if langs else np.zeros(0))
 
 
 def _predict(model):
@@ -130,7 +133,8 @@ def identify(docs: DataFrame, model: Bayes, key: str = "doc_id", text: str = "te
     """doc_id, lang_pred, score (posterior of lang_pred; 0 for und) for each row of docs.
 
     Texts that are null or without a letter are und; so is every text if nothing was learned. Equal posteriors go to the first
-    language by name; repeated rows stay; an empty table returns no rows. The model is a broadcast of fixed size for each language.
+    language by name; long texts are read whole; repeated rows stay; an empty table returns no rows; other columns are ignored.
+    The model is a broadcast of 0.25 MB for each language, of which a table has as many as there are languages.
     """
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()

@@ -164,13 +164,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS,
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, key: str = "doc_id", text: str = "text") -> Additive:
     """Fits on at most `rows` labelled documents, those whose ids come first by hash; the driver gets their figures only.
 
-    Null labels and ids are left out; an id labelled more than once counts as 1 if most of its labels are 1.
+    Null labels and ids are left out; an id labelled more than once counts as 1 if at least half of its labels are 1, and one
+    with several texts gives the one whose hash comes first, so reruns learn the same. An empty table teaches nothing.
     """
     voted = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("y")).dropna().groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     bounded = voted.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)  # a sample of stated size: small enough to broadcast
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    figures = own.join(F.broadcast(bounded), "doc_id").select("doc_id", "y", "text").mapInArrow(_featured, "doc_id long, y double, x array<double>")
-    got = figures.limit(2 * rows).toArrow().sort_by("doc_id")
+    once = own.join(F.broadcast(bounded), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = once.mapInArrow(_featured, "doc_id long, y double, x array<double>").toArrow().sort_by("doc_id")
     x = np.asarray(got.column("x").combine_chunks().flatten(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, got.column("y").to_numpy())
 
@@ -185,7 +186,8 @@ def _scored(model: Additive):
 
 
 def score(docs: DataFrame, model: Additive, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score for each row of docs; null texts count as empty, repeated rows stay."""
+    """doc_id and score for each row of docs. Null texts count as empty (their figures are all 0) and long ones are read whole;
+    repeated rows stay; an empty table gives no rows; other columns are ignored."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_scored(model), "doc_id long, score double")
 
 
@@ -196,7 +198,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject (score of at least 0.5), null and empty texts judged like others. Repeated rows
+    stay or go together; an empty table gives no rows; other columns stay."""
     model = train(docs, table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1)))
     run = _filtered(model, docs.columns.index("text"))
     return docs.mapInArrow(run, docs.schema)

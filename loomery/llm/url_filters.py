@@ -79,22 +79,25 @@ def _passing(level: Bloom):
     return run
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 8, most_bytes: int = 256 << 20, most_levels: int = 64) -> BloomCascade:
-    """The cascade for the keys of listed among those of universe (one string column each; nulls are no keys).
+def hashed_keys(df: DataFrame) -> DataFrame:
+    """a, b: the distinct hashes of the first column (nulls are no keys), computed once."""
+    own = df.select(F.col(df.columns[0]).cast("string").alias("key")).dropna()
+    return materialize(own.select(*[h.alias(n) for h, n in zip(hashes(F.col("key")), "ab", strict=True)]).distinct())
 
-    Executors mark bits by partition and OR them by machine word; the driver gets the finished bitmap of each level, at most
-    most_bytes (a longer list is refused: split it). Two keys with equal 128-bit hashes, one listed and one not, can't be told
+
+def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 8, most_levels: int = 64) -> BloomCascade:
+    """The cascade for the keys of listed (a string column) among those of universe, which hashed_keys gives.
+
+    Executors mark bits by partition and OR them by machine word; the driver gets the finished bitmap of each level, which
+    with the smaller ones of later levels is about 1.2 bytes a listed key: the list alone bounds it, not the table. Two keys with equal 128-bit hashes, one listed and one not, can't be told
     apart and end in an error rather than a wrong answer.
     """
-    hashed = lambda df: df.select(F.col(df.columns[0]).cast("string").alias("key")).dropna().select(*[h.alias(n) for h, n in zip(hashes(F.col("key")), "ab", strict=True)]).distinct()
-    inside = materialize(hashed(listed))
-    outside = materialize(hashed(universe).join(inside, ["a", "b"], "left_anti"))
+    inside = hashed_keys(listed)
+    outside = materialize(universe.join(inside, ["a", "b"], "left_anti"))
     levels: list[Bloom] = []
     encode, against = inside, outside
     while (n := encode.count()) and len(levels) < most_levels:
         level = Bloom(n, bits_per_key, len(levels) + 1)
-        if level.m > 8 * most_bytes:
-            raise ValueError(f"{n} keys need more than {most_bytes} bytes")
         words = encode.mapInArrow(_marks(level), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
         level.bits = np.zeros(level.m // 64, np.uint64)
         level.bits[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
@@ -121,13 +124,13 @@ def _keys(lengths: list[int]) -> Column:
     return F.array_sort(F.array_distinct(every), lambda x, y: F.length(y) - F.length(x))
 
 
-def _judge(block: BloomCascade, allow: BloomCascade, default: str):
+def _judge(block, allow, default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keys, a, b = x.column(3), x.column(4), x.column(5)
             size = np.diff(keys.offsets.to_numpy())
             a, b = (np.asarray(y.flatten(), np.int64).view(np.uint64) for y in (a, b))
-            blocked, allowed = block.has(a, b), allow.has(a, b)
+            blocked, allowed = block.value.has(a, b), allow.value.has(a, b)
             rule = np.full(x.num_rows, -1)
             at = np.flatnonzero(blocked | allowed)[::-1]
             rule[np.repeat(np.arange(len(size)), size)[at]] = at  # the first of each row is written last
@@ -148,9 +151,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_
     spark = pages.sparkSession
     lengths = sorted({len(r) - r.index("/") for r, _ in rules})
     rows = parsed(pages, key, url).withColumn("keys", _keys(lengths) if lengths else F.array().cast("array<string>"))
-    universe = rows.select(F.explode("keys").alias("key"))
+    universe = hashed_keys(rows.select(F.explode("keys").alias("key")))
     listed = {side: spark.createDataFrame([(r,) for r, v in rules if v == side], "key string") for side in ("block", "allow")}
     block, allow = (build_cascade(listed[side], universe, bits_per_key) for side in ("block", "allow"))
+    block, allow = (spark.sparkContext.broadcast(x) for x in (block, allow))
     hashed = rows.withColumn("a", F.transform("keys", lambda k: hashes(k)[0])).withColumn("b", F.transform("keys", lambda k: hashes(k)[1]))
     return hashed.mapInArrow(_judge(block, allow, default), pages.select(F.col(key).alias("page_id")).schema.simpleString()[7:-1] + ", host string, path string, rule string, verdict string")
 

@@ -239,6 +239,26 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_components(df.limit(0)).collect() == []
 
 
+def test_embeddings_with_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [0.99, 0.01], 1), (7, [0.0, 1.0], 1), (None, [0.0, 1.0], 1), (7, [-1.0, 0.0], 1), (None, None, 1)], "vec_id long, embedding array<float>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_components(df).collect()), key=str)
+    assert got == sorted([(None, 1, None, True), (None, 1, None, True), (7, 1, 7, True), (None, 1, 7, False), (7, 0, 7, True), (None, 0, None, True)], key=str)
+
+
+def test_embedding_recall_on_many_vectors(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base, other = unit(rng.standard_normal((8000, 64))), rng.standard_normal((1000, 64))
+    a = base[:1000]
+    other = unit(other - (other * a).sum(axis=1, keepdims=True) * a)
+    cosine = rng.uniform(0.931, 0.95, (1000, 1))
+    every = np.concatenate([base, cosine * a + np.sqrt(1 - cosine**2) * other])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.embedding_components(df).agg(F.sum("n_links")).first()[0]
+    want = int(((every @ every.T >= 0.93).sum()) - len(every))
+    assert 0.98 * want <= got <= want and want >= 2000
+
+
 def test_crowded_cells_are_cut_without_loss(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows_ = [(i, [float(x) for x in np.ones(8) + rng.standard_normal(8) * 0.05], 0) for i in range(150)]
@@ -321,6 +341,27 @@ def test_language_id(docs, nothing, spark):
     assert all((r.lang_pred == "p") == (r.doc_id % 2 == 1) for r in language_id.identify(sides, language_id.train(sides)).collect())
 
 
+def test_language_id_equals_a_plain_posterior(spark):
+    texts = [(i, t, x) for i, (t, x) in enumerate([("Abc ab c", "p"), ("abd!", "p"), ("xyz Xy", "q"), ("a x", "r\0"), ("éa", "q")])]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert model.langs == ["p", "q", "r\0"]
+    count = {x: Counter() for x in model.langs}
+    for _, t, x in texts:
+        count[x].update(language_id.grams([t])[0].tolist())
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    for i, t, _ in texts:
+        logs = [math.log((sum(x[2] == lang for x in texts) + 1) / (len(texts) + 3)) + sum(math.log((own[b] + 0.5) / (sum(own.values()) + 0.5 * language_id.BUCKETS)) for b in language_id.grams([t])[0].tolist()) for lang, own in count.items()]
+        p = [math.exp(x - max(logs)) for x in logs]
+        best = p.index(max(p))
+        assert got[i].lang_pred == model.langs[best] and got[i].score == pytest.approx(p[best] / sum(p), rel=1e-4)
+
+
+def test_language_id_takes_any_number_of_languages(spark):
+    df = spark.range(700).selectExpr("id as doc_id", "concat('word', chr(97 + id % 26), chr(97 + id div 26)) as text", "concat('l', id) as lang")
+    assert len(language_id.train(df).langs) == 700
+
+
 def test_pii(docs, nothing, rows, spark):
     model = pii.train(docs)
     got = {r.doc_id: r for r in pii.personal_data(docs, model).collect()}
@@ -556,7 +597,7 @@ def test_url_filters(spark):
 def test_cascade_is_exact(spark):
     listed = spark.range(3000).selectExpr("concat('k', id * 7) as key")
     universe = spark.range(20000).selectExpr("concat('k', id) as key")
-    cascade = url_filters.build_cascade(listed, universe, bits_per_key=3)
+    cascade = url_filters.build_cascade(listed, url_filters.hashed_keys(universe), bits_per_key=3)
     a, b = url_filters.hashes(F.col("key"))
     found = universe.select("key", a.alias("a"), b.alias("b")).toPandas()
     is_in = cascade.has(found["a"].to_numpy().view(np.uint64), found["b"].to_numpy().view(np.uint64))
@@ -577,6 +618,37 @@ def test_quality_classifier(docs, nothing, spark):
     assert quality_classifier.train(nothing, labels).score(np.zeros((1, len(quality_classifier.FEATURES))))[0] == 0.5
 
 
+def test_additive_model_equals_a_plain_sum():
+    """The score from its tables, one row and feature at a time, and the first boosted steps by hand."""
+    rng = np.random.default_rng(2)
+    x = rng.random((400, len(quality_classifier.FEATURES)))
+    y = (x[:, 3] + 0.2 * rng.standard_normal(400) > 0.5).astype(float)
+    model = quality_classifier.fit(x, y, rounds=5, pairs=2)
+    for row, got in zip(x[:50], model.score(x[:50]), strict=True):
+        total = model.intercept
+        for j, (edges, steps) in enumerate(zip(model.edges, model.tables, strict=True)):
+            total += steps[sum(e <= row[j] for e in edges)]
+        for a, b, steps in model.pairs:
+            total += steps[sum(e <= row[a] for e in model.coarse[a]), sum(e <= row[b] for e in model.coarse[b])]
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+    # one round on the first feature: the Newton step of each leaf of the tree with the best cuts
+    mean = (y.sum() + 1) / 402
+    one = quality_classifier.fit(x[:, :1], y, rounds=1, pairs=0)
+    leaves = defaultdict(list)
+    for i, v in enumerate(x[:, 0]):
+        leaves[round(one.tables[0][sum(e <= v for e in one.edges[0])], 12)].append(i)
+    assert len(leaves) <= quality_classifier.LEAVES
+    for step, own in leaves.items():
+        assert step == pytest.approx(quality_classifier.RATE * sum(y[i] - mean for i in own) / (len(own) * mean * (1 - mean) + 1))
+
+
+def test_classifier_takes_one_text_of_a_repeated_id(spark):
+    df = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"words {i}") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    tables = [quality_classifier.train(df.repartition(n), labels).score(np.eye(len(quality_classifier.FEATURES))) for n in (1, 5)]
+    assert (tables[0] == tables[1]).all()
+
+
 def test_pairs_explain_what_single_features_cannot():
     rng = np.random.default_rng(0)
     x = rng.random((2000, len(quality_classifier.FEATURES)))
