@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from loomery.session import materialize
 
 
+ONE_TASK = 2_000_000  # links that one task joins in memory, some 100 MB
+
+
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the links (a[i], b[i])."""
     root = np.arange(n)
@@ -48,7 +51,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every end of edges.
 
     edges: its first two columns are longs; loops, repeats and either direction are accepted, rows with nulls are left
-    out. Each round is two aggregations and two shuffled joins on node ids, checkpointed, so nothing of the graph reaches the
+    out. Links are contracted by partition; what is left is joined in one task if it counts ONE_TASK links at most, else in
+    rounds, with the same result. Each round is two aggregations and two shuffled joins on node ids, checkpointed, so nothing of the graph reaches the
     driver and a lost executor repeats one round at most. Empty edges give an empty result.
     """
     first, second = edges.columns[:2]
@@ -60,6 +64,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or state[0] == 0:
             break
+        if 0 < state[0] <= ONE_TASK:
+            stars = stars.coalesce(1).mapInArrow(_contract, "a long, b long")
+            break
         before = state
         stars = materialize(_small_star(_large_star(stars)))
     found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions import guards, text, values
-from loomery.operators import aggregates, filters, graph, joins, learning, ranking
+from loomery.operators import aggregates, components, filters, graph, joins, learning, ranking
 from loomery.operators.components import connected_components
 from loomery.sources import readers, sinks
 
@@ -37,6 +37,12 @@ def test_components_on_chains_stars_and_loops(spark):
         root[high] = low
     got = connected_components(spark.createDataFrame([*edges, (None, 1)], "a long, b long").repartition(5))
     assert {r.node: r.component for r in got.collect()} == {x: find(x) for x in list(root)}
+    components.ONE_TASK = -1  # in rounds
+    try:
+        in_rounds = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    finally:
+        components.ONE_TASK = 2_000_000
+    assert {r.node: r.component for r in in_rounds} == {x: find(x) for x in list(root)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
