@@ -124,9 +124,10 @@ def rate_limited(df: DataFrame, key: str, at: str, most: int = 60, seconds: int
 
 
 def repeated(df: DataFrame, key: str, item: str, at: str, most: int = 5, seconds: int = 300) -> DataFrame:
-    """abusive: the same item came `most` times or more from the key in the seconds before."""
-    w = Window.partitionBy(key, F.md5(F.col(item))).orderBy(F.unix_seconds(at)).rangeBetween(-seconds, -1)
-    return df.withColumn("abusive", F.count("*").over(w) >= most)
+    """abusive: besides this one, the same item came `most` times or more from the key in the seconds before or at the same
+    moment, so a burst counts too."""
+    w = Window.partitionBy(key, F.md5(F.col(item))).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
+    return df.withColumn("abusive", F.count("*").over(w) - 1 >= most)
 
 
 def query_size(limit: Column, large: Column) -> Column:
@@ -188,11 +189,13 @@ def safety(text: Column) -> Column:
 
 
 def language_mismatch(question: Column, response: Column, hinglish: list[str]) -> Column:
-    """The question is Hindi (over five Devanagari letters) or Hinglish (over .3 of its words) and the response is neither."""
-    deva = lambda c: F.regexp_count(c, F.lit(r"[\x{0900}-\x{097F}]"))
-    words = F.filter(F.split(F.lower(question), r"\s+"), lambda w: w != "")
-    share = F.size(F.filter(words, lambda w: w.isin(hinglish))) / F.greatest(F.size(words), F.lit(1))
-    return ((deva(question) > 5) & (deva(response) <= 5)) | ((share > 0.3) & F.lit(False))
+    """The question is Hindi (over five Devanagari letters) and the response is not, or it is Hinglish (over .3 of its words)
+    and the response is neither Hindi nor Hinglish (over .1 of its words)."""
+    hindi = lambda c: F.regexp_count(c, F.lit(r"[\x{0900}-\x{097F}]")) > 5
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    share = lambda c: F.size(F.filter(words(c), lambda w: w.isin(hinglish))) / F.greatest(F.size(words(c)), F.lit(1))
+    mixed = ~hindi(question) & (share(question) > 0.3)
+    return ~hindi(response) & (hindi(question) | (mixed & (share(response) <= 0.1)))
 
 
 def tool_scope(mode: Column, tools: Column, writing: list[str]) -> Column:
@@ -213,7 +216,7 @@ def tagged(text: Column, trusted: Column) -> Column:
 
 
 def reflection(confidence: Column, intents: Column, covered: Column, length: Column, questions: Column, grounded: Column) -> Column:
-    """pass, revise or escalate, from how many of five checks fail."""
+    """pass, revise or escalate, from how many of four checks fail."""
     failed = sum((c.cast("int") for c in (confidence < 0.5, covered < intents, length < 20 * F.greatest(questions, F.lit(1)), grounded < 0.3)), F.lit(0))
     return F.when(failed == 0, "pass").when(failed <= 2, "revise").otherwise("escalate")
 

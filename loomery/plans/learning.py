@@ -211,9 +211,9 @@ def l06_proposals(spark, d):
     return L.fresh_proposals(x.filter("confidence < 0.2").select("intent", "entity"), x.filter("model = 'm1' AND entity IN ('e1', 'e2')"), ["intent", "entity"])
 
 
-@query("l07_insights", with_views("WITH x AS (SELECT user_id, count(DISTINCT intent) AS tools, max(confidence) AS best FROM analytics WHERE event_id % 40 = 0 GROUP BY 1) SELECT user_id, unnest(list_filter([CASE WHEN tools > 1 THEN 'disagreement' END, CASE WHEN best >= 0.85 THEN 'tree_sufficient' END, CASE WHEN best < 0.5 THEN 'gap' END, CASE WHEN best >= 0.9 THEN 'few_shot' END], lambda v: v IS NOT NULL)) AS insight FROM x", "analytics"))
+@query("l07_insights", with_views("WITH x AS (SELECT user_id, count(DISTINCT intent) AS tools, max(confidence) AS best FROM analytics GROUP BY 1) SELECT user_id, unnest(list_filter([CASE WHEN tools > 1 THEN 'disagreement' END, CASE WHEN best >= 0.85 THEN 'tree_sufficient' END, CASE WHEN best < 0.5 THEN 'gap' END, CASE WHEN best >= 0.9 THEN 'few_shot' END], lambda v: v IS NOT NULL)) AS insight FROM x", "analytics"))
 def l07_insights(spark, d):
-    return L.insights(view(spark, d, "analytics").filter("event_id % 40 = 0"), "user_id", "intent", "confidence")
+    return L.insights(view(spark, d, "analytics"), "user_id", "intent", "confidence")
 
 
 @query("l08_cache_levels", "WITH q AS (SELECT doc_id, md5(text) AS h, lang, source FROM documents WHERE doc_id % 10 = 3), e AS (SELECT h, min(doc_id) AS a1 FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 10 <> 3) GROUP BY 1), i AS (SELECT lang, source, min(doc_id) AS a2 FROM documents WHERE doc_id % 10 = 4 GROUP BY ALL) SELECT doc_id, CASE WHEN a1 IS NOT NULL THEN 'exact' WHEN a2 IS NOT NULL THEN 'intent' WHEN doc_id % 4 = 3 THEN 'similar' ELSE 'miss' END AS level, coalesce(a1, a2, CASE WHEN doc_id % 4 = 3 THEN 0 END) AS answer FROM q LEFT JOIN e USING (h) LEFT JOIN i USING (lang, source)")
@@ -225,9 +225,9 @@ def l08_cache_levels(spark, d):
     return L.cached(q, e, i, q.filter("doc_id % 4 = 3").select("doc_id", F.lit(0).cast("long").alias("a3")), "doc_id")
 
 
-@query("l09_second_wave", with_views("SELECT user_id, max(confidence) >= 0.75 AND max((intent <> 'view')::INT) = 1 AS skip FROM analytics WHERE event_id % 30 = 0 GROUP BY 1", "analytics"))
+@query("l09_second_wave", with_views("SELECT user_id, max(confidence) >= 0.75 AND max((intent <> 'view')::INT) = 1 AS skip FROM analytics GROUP BY 1", "analytics"))
 def l09_second_wave(spark, d):
-    return L.second_wave(view(spark, d, "analytics").filter("event_id % 30 = 0"), "user_id", "confidence", F.col("intent") != "view")
+    return L.second_wave(view(spark, d, "analytics"), "user_id", "confidence", F.col("intent") != "view")
 
 
 @query("l10_deep_routing", with_views("SELECT event_id, confidence > 0.2 AND (intent = 'error' OR entity = 'e0') AS deep FROM analytics", "analytics"))
@@ -258,9 +258,9 @@ def l14_model_routing(spark, d):
     return view(spark, d, "analytics").select("event_id", L.model_for(F.col("intent"), F.col("event_id") % 10 / 10.0, F.col("confidence")).alias("m"))
 
 
-@query("l15_escalations", with_views("SELECT user_id, array_to_string(list_filter([CASE WHEN count_if(escalated) >= 3 THEN 'failures' END, CASE WHEN count_if(confidence < 0.4) >= 3 THEN 'low_confidence' END, CASE WHEN sum(cost_usd) > 1 THEN 'cost' END, CASE WHEN count(DISTINCT intent) = 1 AND count(*) > 5 THEN 'stuck' END], lambda r: r IS NOT NULL), ',') AS reasons FROM analytics WHERE event_id % 12 = 0 GROUP BY 1", "analytics"))
+@query("l15_escalations", with_views("SELECT user_id, array_to_string(list_filter([CASE WHEN count_if(escalated) >= 3 THEN 'failures' END, CASE WHEN count_if(confidence < 0.4) >= 3 THEN 'low_confidence' END, CASE WHEN sum(cost_usd) > 1 THEN 'cost' END, CASE WHEN count(DISTINCT intent) = 1 AND count(*) > 5 THEN 'stuck' END], lambda r: r IS NOT NULL), ',') AS reasons FROM analytics GROUP BY 1", "analytics"))
 def l15_escalations(spark, d):
-    return L.escalations(view(spark, d, "analytics").filter("event_id % 12 = 0"), "user_id", F.col("escalated"), "confidence", "cost_usd", "intent")
+    return L.escalations(view(spark, d, "analytics"), "user_id", F.col("escalated"), "confidence", "cost_usd", "intent")
 
 
 @query("l16_metric_probe", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'cost') THEN 'cost' WHEN contains(lower(text), 'the') THEN 'count' ELSE 'none' END AS metric FROM conversations")

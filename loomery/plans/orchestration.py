@@ -60,9 +60,9 @@ def h06_recall(spark, d):
     return right.agg(F.countDistinct("query_id").alias("answerable")).withColumn("found", F.lit(hit.select("query_id").distinct().count()))
 
 
-@query("o01_scoped", with_views("WITH h AS (SELECT user_id, event_id % 40 AS item, confidence, (intent = 'error') AS s FROM analytics WHERE event_id < 4000), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY s DESC, confidence DESC) AS n FROM h) WHERE n = 1), c AS (SELECT *, count_if(s) OVER (PARTITION BY user_id) AS have FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, item) AS position FROM c WHERE s OR have < 3) SELECT user_id, item, position FROM r WHERE position <= 3", "analytics"), ints=("position",))
+@query("o01_scoped", with_views("WITH h AS (SELECT user_id, event_id % 40 AS item, confidence, (intent = 'error') AS s FROM analytics), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY s DESC, confidence DESC) AS n FROM h) WHERE n = 1), c AS (SELECT *, count_if(s) OVER (PARTITION BY user_id) AS have FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, item) AS position FROM c WHERE s OR have < 3) SELECT user_id, item, position FROM r WHERE position <= 3", "analytics"), ints=("position",))
 def o01_scoped(spark, d):
-    h = view(spark, d, "analytics").filter("event_id < 4000").select("user_id", (F.col("event_id") % 40).alias("item"), "confidence", "intent")
+    h = view(spark, d, "analytics").select("user_id", (F.col("event_id") % 40).alias("item"), "confidence", "intent")
     return O.scoped(h, "user_id", "item", "confidence", F.col("intent") == "error", 3).select("user_id", "item", "position")
 
 
@@ -114,9 +114,9 @@ check("o12_specialist", lambda: F.coalesce(F.when(F.col("id") % 4 == 0, "pillar"
 check("o13_write_detection", lambda: F.when(F.col("id") % 10 >= 8, "hit").when(F.col("t").rlike("(?i)cancel|refund"), "keyword").otherwise("none"), "CASE WHEN id % 10 >= 8 THEN 'hit' WHEN regexp_matches(t, '(?i)cancel|refund') THEN 'keyword' ELSE 'none' END")
 
 
-@query("o14_wave_consensus", with_views("SELECT user_id, model, count_if(intent <> 'error') AS successes, count_if(intent = 'error') AS errors, count_if(intent = 'error') = 0 AS consensus FROM analytics WHERE event_id < 1000 GROUP BY ALL", "analytics"))
+@query("o14_wave_consensus", with_views("SELECT user_id, model, count_if(intent <> 'error') AS successes, count_if(intent = 'error') AS errors, count_if(intent = 'error') = 0 AS consensus FROM analytics GROUP BY ALL", "analytics"))
 def o14_wave_consensus(spark, d):
-    return O.wave_consensus(view(spark, d, "analytics").filter("event_id < 1000"), ["user_id", "model"], F.col("intent") == "error")
+    return O.wave_consensus(view(spark, d, "analytics"), ["user_id", "model"], F.col("intent") == "error")
 
 
 @query("o15_page_documents", "SELECT page_id, 'Page ' || page_id || chr(10) || regexp_extract(url, '://[^/]+(/[^?#]*)', 1) AS body FROM pages")
@@ -208,7 +208,7 @@ def e03_guard_registry(spark, d):
     return messages(spark).select("id", g.guards(F.col("t")).alias("r"))
 
 
-@query("e07_table_function", "SELECT doc_id, count(*) AS chunks FROM (SELECT doc_id, unnest(range(0, (greatest(1, length(text)) + 999) // 1000)) FROM documents WHERE doc_id < 100) GROUP BY 1")
+@query("e07_table_function", "SELECT doc_id, count(*) AS chunks FROM (SELECT doc_id, unnest(range(0, (greatest(1, length(text)) + 999) // 1000)) FROM documents) GROUP BY 1")
 def e07_table_function(spark, d):
     from pyspark.sql.functions import udtf
 
@@ -218,7 +218,7 @@ def e07_table_function(spark, d):
             for i in range(0, max(1, len(text)), size):
                 yield i // size, text[i : i + size]
 
-    docs = table(spark, d, "documents").filter("doc_id < 100")
+    docs = table(spark, d, "documents")
     spark.udtf.register("fixed_chunks", Chunks)
     return spark.sql("SELECT doc_id, count(*) AS chunks FROM {docs}, LATERAL fixed_chunks(text, 1000) GROUP BY doc_id", docs=docs)
 

@@ -72,18 +72,18 @@ def f10_rejected(spark, d):
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 
 
-@query("f11_similarity_threshold", f"SELECT q.vec_id AS query_id, c.vec_id, round({COS}, 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id < 10 AND {COS} >= 0.25")
+@query("f11_similarity_threshold", f"SELECT q.vec_id AS query_id, c.vec_id, round({COS}, 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND {COS} >= 0.25")
 def f11_similarity_threshold(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return J.similar(q, e, None, at_least=0.25).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("f12_fallback", with_views("WITH h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, intent = 'error' AND confidence > 0.9 AS own FROM analytics WHERE event_id < 2000), n AS (SELECT *, count_if(own) OVER (PARTITION BY user_id) AS n FROM h) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY own DESC, r, event_id) AS position, own AS filtered FROM n WHERE own OR n < 3", "analytics"), ints=("position",))
+@query("f12_fallback", with_views("WITH h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, intent = 'error' AND confidence > 0.9 AS own FROM analytics), n AS (SELECT *, count_if(own) OVER (PARTITION BY user_id) AS n FROM h) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY own DESC, r, event_id) AS position, own AS filtered FROM n WHERE own OR n < 3", "analytics"), ints=("position",))
 def f12_fallback(spark, d):
     from pyspark.sql import Window
 
-    h = view(spark, d, "analytics").filter("event_id < 2000").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    h = view(spark, d, "analytics").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
     return P.filtered_then_fallback(h, "user_id", "event_id", "r", (F.col("intent") == "error") & (F.col("confidence") > 0.9))
 
 
@@ -222,18 +222,18 @@ def j15_latest_record(spark, d):
     return J.latest_before(x.filter("intent = 'click'"), x.filter("intent = 'view'").withColumnRenamed("event_id", "record"), "session_id", "event_id", "created_at", "record")
 
 
-@query("j16_neighbours", "WITH h AS (SELECT conv_id, turn FROM conversations WHERE turn = 2 AND conv_id < 30) SELECT c.conv_id, c.turn, c.text FROM conversations c JOIN h ON c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 2 AND h.turn + 2 AND c.turn <> h.turn")
+@query("j16_neighbours", "WITH h AS (SELECT conv_id, turn FROM conversations WHERE turn = 2) SELECT c.conv_id, c.turn, c.text FROM conversations c JOIN h ON c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 2 AND h.turn + 2 AND c.turn <> h.turn")
 def j16_neighbours(spark, d):
     c = table(spark, d, "conversations")
-    hits = c.filter("turn = 2 AND conv_id < 30").select("conv_id", "turn", F.lit(1).alias("parent_rank"))
+    hits = c.filter("turn = 2").select("conv_id", "turn", F.lit(1).alias("parent_rank"))
     return J.neighbours(hits, c, "conv_id", "turn", "text")
 
 
-@query("j17_parents", "WITH h AS (SELECT vec_id % 7 AS q, vec_id AS item, row_number() OVER (PARTITION BY vec_id % 7 ORDER BY vec_id) AS r FROM embeddings WHERE vec_id < 200), p AS (SELECT q, floor(item / 5.0)::BIGINT AS parent, min(r) AS r FROM h GROUP BY ALL), s AS (SELECT q, parent, row_number() OVER (PARTITION BY q ORDER BY r, parent) AS position FROM p WHERE (q, parent) NOT IN (SELECT q, item FROM h)) SELECT * FROM s WHERE position <= 3", ints=("position",))
+@query("j17_parents", "WITH h AS (SELECT vec_id % 7 AS q, vec_id AS item, row_number() OVER (PARTITION BY vec_id % 7 ORDER BY vec_id) AS r FROM embeddings), p AS (SELECT q, floor(item / 5.0)::BIGINT AS parent, min(r) AS r FROM h GROUP BY ALL), s AS (SELECT q, parent, row_number() OVER (PARTITION BY q ORDER BY r, parent) AS position FROM p WHERE (q, parent) NOT IN (SELECT q, item FROM h)) SELECT * FROM s WHERE position <= 3", ints=("position",))
 def j17_parents(spark, d):
     from pyspark.sql import Window
 
-    e = table(spark, d, "embeddings").filter("vec_id < 200")
+    e = table(spark, d, "embeddings")
     h = e.select((F.col("vec_id") % 7).alias("q"), F.col("vec_id").alias("item"), F.row_number().over(Window.partitionBy(F.col("vec_id") % 7).orderBy("vec_id")).alias("r"))
     return J.parents_of(h, e.select(F.col("vec_id").alias("item"), F.floor(F.col("vec_id") / 5.0).alias("parent")), "q", "r", "item", "parent")
 
@@ -291,10 +291,10 @@ def j24_session_seeds(spark, d):
 def legs(spark, d):
     i = F.col("event_id")
     leg = F.element_at(F.array(*[F.lit(x) for x in K.LEG_WEIGHTS]), (i % 5 + 1).cast("int"))
-    return table(spark, d, "events").filter("event_id < 3000").groupBy((i % 20).alias("query_id"), leg.alias("leg"), (i * 7 % 50).alias("node_id")).agg((F.min(i) % 9 + 1).alias("rank"))
+    return table(spark, d, "events").groupBy((i % 20).alias("query_id"), leg.alias("leg"), (i * 7 % 50).alias("node_id")).agg((F.min(i) % 9 + 1).alias("rank"))
 
 
-LEGS = "legs AS (SELECT event_id % 20 AS query_id, ['exact', 'pagerank', 'neighbourhood', 'vector', 'lexical'][1 + event_id % 5] AS leg, event_id * 7 % 50 AS node_id, min(event_id) % 9 + 1 AS rank FROM events WHERE event_id < 3000 GROUP BY 1, 2, 3)"
+LEGS = "legs AS (SELECT event_id % 20 AS query_id, ['exact', 'pagerank', 'neighbourhood', 'vector', 'lexical'][1 + event_id % 5] AS leg, event_id * 7 % 50 AS node_id, min(event_id) % 9 + 1 AS rank FROM events GROUP BY 1, 2, 3)"
 FUSED = "fused AS (SELECT query_id, node_id, round(sum({w} / (60 + rank)) * CASE WHEN node_id % 11 = 0 THEN {p} ELSE 1 END, 6) AS score, array_to_string(list_sort(list(DISTINCT leg)), '+') AS legs FROM legs GROUP BY query_id, node_id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS position FROM fused)"
 W = "CASE leg WHEN 'exact' THEN 2.0::DOUBLE WHEN 'pagerank' THEN 1.8 WHEN 'neighbourhood' THEN 1.5 WHEN 'vector' THEN 1.0 ELSE 0.8 END"
 
@@ -309,10 +309,10 @@ def k02_plain_fusion(spark, d):
     return K.fusion_confidence(K.fuse(legs(spark, d), 10, None), 5)
 
 
-@query("k03_relevance", f"SELECT query_id, vec_id, rank, round(s * (0.5 + (vec_id % 5) / 10.0) * CASE WHEN vec_id % 120 <= 7 THEN 1.0 WHEN vec_id % 120 <= 30 THEN 0.9 WHEN vec_id % 120 <= 90 THEN 0.8 ELSE 0.7 END, 6)::DOUBLE AS relevance FROM (SELECT q.vec_id AS query_id, c.vec_id, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 10) WHERE rank <= 5", ints=("rank",))
+@query("k03_relevance", f"SELECT query_id, vec_id, rank, round(s * (0.5 + (vec_id % 5) / 10.0) * CASE WHEN vec_id % 120 <= 7 THEN 1.0 WHEN vec_id % 120 <= 30 THEN 0.9 WHEN vec_id % 120 <= 90 THEN 0.8 ELSE 0.7 END, 6)::DOUBLE AS relevance FROM (SELECT q.vec_id AS query_id, c.vec_id, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0) WHERE rank <= 5", ints=("rank",))
 def k03_relevance(spark, d):
     e = table(spark, d, "embeddings")
-    x = J.similar(e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), e, 5)
+    x = J.similar(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 5)
     return x.select("query_id", "vec_id", "rank", F.round(F.col("similarity") * (0.5 + F.col("vec_id") % 5 / 10.0) * K.freshness(F.col("vec_id") % 120), 6).alias("relevance"))
 
 

@@ -29,11 +29,13 @@ def session(master: str = "local[8]", app: str = "loomery", **more: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors see.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and its master is local (tests on one machine) a temporary folder is set.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         if not given:
             given = tempfile.mkdtemp(prefix="loomery-")
             atexit.register(shutil.rmtree, given, ignore_errors=True)
