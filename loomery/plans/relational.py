@@ -87,10 +87,10 @@ def f12_fallback(spark, d):
     return P.filtered_then_fallback(h, "user_id", "event_id", "r", (F.col("intent") == "error") & (F.col("confidence") > 0.9))
 
 
-@query("f13_negative_overlap", f"WITH q AS (SELECT item_id, {SQL_TOKENS} AS w FROM benchmark), k AS (SELECT doc_id, {SQL_TOKENS} AS w FROM documents WHERE lang = 'en' AND doc_id < 200) SELECT item_id, doc_id FROM q, k WHERE len(q.w) > 0 AND len(list_intersect(k.w, q.w)) / len(q.w)::DOUBLE > 0.3")
+@query("f13_negative_overlap", f"WITH q AS (SELECT item_id, {SQL_TOKENS} AS w FROM benchmark), k AS (SELECT doc_id, {SQL_TOKENS} AS w FROM documents WHERE lang = 'en') SELECT item_id, doc_id FROM q, k WHERE len(q.w) > 0 AND len(list_intersect(k.w, q.w)) / len(q.w)::DOUBLE > 0.3")
 def f13_negative_overlap(spark, d):
     q = table(spark, d, "benchmark").select("item_id", tokens().alias("w"))
-    k = table(spark, d, "documents").filter("lang = 'en' AND doc_id < 200").select("doc_id", tokens().alias("w"))
+    k = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", tokens().alias("w"))
     met = q.select("item_id", F.size("w").alias("n"), F.explode("w").alias("t")).join(k.select("doc_id", F.explode("w").alias("t")), "t")
     return met.groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("share")).filter("share > 0.3").select("item_id", "doc_id")
 
@@ -334,10 +334,10 @@ def k06_mmr(spark, d):
     return K.mmr(near.join(docs, "vec_id"), "query_id", "vec_id", "similarity", "tokens", "kind")
 
 
-@query("k07_keyword_rerank", f"WITH q AS (SELECT item_id, {SQL_TOKENS} AS w FROM benchmark), k AS (SELECT doc_id, lang, {SQL_TOKENS} AS w FROM documents WHERE doc_id < 100) SELECT item_id, doc_id, round(0.35 * 0.5 + 0.25 * len(list_intersect(k.w, q.w)) / len(q.w)::DOUBLE + 0.2 * (lang = 'en')::INT + 0.1 * 0.5 + 0.1 * 0.9, 6)::DOUBLE AS score FROM q, k WHERE len(list_intersect(k.w, q.w)) > 0")
+@query("k07_keyword_rerank", f"WITH q AS (SELECT item_id, {SQL_TOKENS} AS w FROM benchmark), k AS (SELECT doc_id, lang, {SQL_TOKENS} AS w FROM documents) SELECT item_id, doc_id, round(0.35 * 0.5 + 0.25 * len(list_intersect(k.w, q.w)) / len(q.w)::DOUBLE + 0.2 * (lang = 'en')::INT + 0.1 * 0.5 + 0.1 * 0.9, 6)::DOUBLE AS score FROM q, k WHERE len(list_intersect(k.w, q.w)) > 0")
 def k07_keyword_rerank(spark, d):
     q = table(spark, d, "benchmark").select("item_id", tokens().alias("q"))
-    k = table(spark, d, "documents").filter("doc_id < 100").select("doc_id", "lang", tokens().alias("w"))
+    k = table(spark, d, "documents").select("doc_id", "lang", tokens().alias("w"))
     met = q.select("item_id", F.size("q").alias("n"), F.explode("q").alias("t")).join(k.select("doc_id", "lang", F.explode("w").alias("t")), "t").groupBy("item_id", "doc_id", "lang").agg((F.count("*") / F.first("n")).alias("overlap"))
     return met.select("item_id", "doc_id", F.round(K.keyword_score(F.lit(0.5), F.col("overlap"), F.col("lang") == "en", F.lit(0.5), F.lit(0.9)), 6).alias("score"))
 
@@ -421,10 +421,11 @@ def u01_union(spark, d):
     return a.unionByName(table(spark, d, "conversations").select(F.lit("conversations").alias("origin"), F.col("conv_id").alias("id"))).groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@query("u02_ordered_union", "WITH a AS (SELECT doc_id % 10 AS q, doc_id AS id, doc_id AS r, 0 AS s FROM documents WHERE doc_id < 60), b AS (SELECT doc_id % 10 AS q, doc_id AS id, 1000 - doc_id AS r, 1 AS s FROM documents WHERE doc_id BETWEEN 40 AND 99), k AS (SELECT *, row_number() OVER (PARTITION BY q, id ORDER BY s, r) AS n FROM (FROM a UNION ALL FROM b)) SELECT q, id, r, row_number() OVER (PARTITION BY q ORDER BY s, r, id) AS position FROM k WHERE n = 1", ints=("position",))
+@query("u02_ordered_union", "WITH a AS (SELECT doc_id % 10 AS q, doc_id AS id, doc_id AS r, 0 AS s FROM documents WHERE lang <> 'fr'), b AS (SELECT doc_id % 10 AS q, doc_id AS id, 100000000 - doc_id AS r, 1 AS s FROM documents WHERE lang <> 'de'), k AS (SELECT *, row_number() OVER (PARTITION BY q, id ORDER BY s, r) AS n FROM (FROM a UNION ALL FROM b)) SELECT q, id, r, row_number() OVER (PARTITION BY q ORDER BY s, r, id) AS position FROM k WHERE n = 1", ints=("position",))
 def u02_ordered_union(spark, d):
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 10).alias("q"), F.col("doc_id").alias("id"))
-    return K.ordered_union(docs.filter("id < 60").withColumn("r", F.col("id")), docs.filter("id BETWEEN 40 AND 99").withColumn("r", 1000 - F.col("id")), ["q", "id"], "r")
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 10).alias("q"), F.col("doc_id").alias("id"), "lang")
+    one, two = (docs.filter(F.col("lang") != x).drop("lang") for x in ("fr", "de"))
+    return K.ordered_union(one.withColumn("r", F.col("id")), two.withColumn("r", 100000000 - F.col("id")), ["q", "id"], "r")
 
 
 @query("u03_intersection", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
