@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Patterns. (?i) ignores case. All but LOOK_AHEAD read the same in RE2.
+# Patterns. (?i) ignores case. All but one, which looks ahead, read the same in RE2.
 INJECTION = [
     r"(?i)ignore\s+(all\s+)?(previous|above|prior)\s+instructions",
     r"(?i)(you\s+are\s+now|act\s+as|pretend\s+to\s+be)",
@@ -37,7 +38,7 @@ HINGLISH_INJECTION = [
     r"(?i)(mujhe|mereko)\s+(admin|full|poora)\s+(access|permission)\s+(do|de|dedo)",
     r"(?i)(system\s+prompt|instructions?)\s+(dikha|batao|show)\s+(do|karo)",
 ]
-COMPANY = [r"(?i)company[\s_-]*(?:id)?[\s:=#]*(\d+)", r"(?i)seller[\s_-]*(?:id)?[\s:=#]*(\d+)", r"(?i)for\s+(?:company|seller|merchant)\s+(\w+)"]
+COMPANY = [r"(?i)company[\s_-]*(?:id)?[\s:=#]*(\d+)", r"(?i)seller[\s_-]*(?:id)?[\s:=#]*(\d+)", r"(?i)for\s+(?:company|seller|merchant)\s+(\w+)", r"(?i)(?:show|get|find|list)\s+.*\s+(?:company|seller)\s+(\w+)"]
 COMPANY_SWITCH = [r"(?i)switch\s+to\s+(company|seller|account)", r"(?i)impersonate", r"(?i)as\s+(another|different|other)\s+(seller|company|merchant)"]
 MASS_ACTION = [
     r"(?i)\b(cancel|delete|remove|refund)\s+(all|every|sab|sara|poore)\b",
@@ -49,9 +50,9 @@ MASS_ACTION = [
     r"(?i)\bforce\s+(cancel|close|delete)\b",
     r"(?i)\bpermanently\s+(delete|remove)\b",
 ]
+TABLES = ["orders", "shipments", "couriers", "wallets"]
 RECOMMENDATION = [r"(?i)\b(try|use|switch\s+to|consider|recommend|better\s+to\s+use|go\s+with|opt\s+for)\b", r"(?i)\b(directly|their\s+portal|their\s+website|their\s+app)\b"]
 LEAKS = [
-    (r"(?i)\b(orders|shipments|couriers|wallets)\s+table\b", "[internal table]"),
     (r"(?i)\bcolumn\s+([\w.]+)\b", "field"),
     (r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN)\s+", "[query]"),
     (r"(?i)/internal/v\d+/[\w/.-]+", "[internal API]"),
@@ -69,12 +70,14 @@ PROMISES = [
     (r"(?i)\b(guaranteed|promised|assured)\s+(delivery|refund|resolution)", "expected"),
     (r"(?i)\bwill\s+definitely\s+(be|get|receive|have)\b", "should"),
     (r"(?i)\b100%\s+(refund|guarantee|assured|certain)\b", "as per policy"),
+    (r"(?i)\bwithin\s+\d+\s+(hours?|days?|minutes?)\s+(you will|your|it will|we will)\b", "as per our standard timeline,"),
     (r"(?i)\bby\s+tomorrow\s+(you will|it will|your)\b", "as per estimated delivery,"),
+    (r"(?i)\b(₹|Rs\.?|INR)\s*[\d,]+\s+(will be|shall be)\s+(credit|refund|compensat)", "the applicable amount as per policy will be"),
     (r"(?i)\bfull\s+refund\s+(will|shall)\s+be\b", "refund as per policy will be"),
+    (r"(?i)\bcompensation\s+of\s+(₹|Rs\.?|INR)\s*[\d,]+", "compensation as per applicable policy"),
 ]
-MONEY_ALWAYS = [(r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "XXXX-XXXX-XXXX-****"), (r"(?i)\bIFSC[\s:]*[A-Z]{4}0[A-Z0-9]{6}\b", "IFSC: XXXX0XXXXXX")]
-LOOK_AHEAD = [(r"(?i)\b\d{9,18}\b(?=.*(?:account|a/c|acc))", "XXXXXXXXX****")]
-MONEY_UNASKED = [(r"(₹|Rs\.?|INR)\s*[\d,]+\.?\d{0,2}", "₹***"), (r"(?i)\b\d{1,3}(,\d{3})+(\.\d{1,2})?\s*(rupees?|rs)\b", "*** rupees")]
+MONEY_ALWAYS = [(r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "XXXX-XXXX-XXXX-****"), (r"(?i)\b\d{9,18}\b(?=.*(?:account|a/c|acc))", "XXXXXXXXX****"), (r"(?i)\bIFSC[\s:]*[A-Z]{4}0[A-Z0-9]{6}\b", "IFSC: XXXX0XXXXXX")]
+MONEY_UNASKED = [(r"(₹|Rs\.?|INR)\s*[\d,]+\.?\d{0,2}", "₹***"), (r"(?i)\b\d{1,3}(,\d{3})+(\.\d{1,2})?\s*(rupees?|rs)\b", "*** rupees"), (r"(?i)\b\d+(\.\d+)?%\s*(commission|margin|rate)\b", r"**% \2")]
 MONEY_WORDS = ["wallet", "balance", "billing", "invoice", "charge", "freight", "refund", "payment", "cod", "remittance", "cost", "price", "amount", "debit", "credit", "fee", "commission", "kitna paisa", "paise", "rupees", "rupaye"]
 #: category: (pattern, risk)
 THREATS = {
@@ -93,7 +96,16 @@ def hits(text: Column, patterns: list[str]) -> Column:
 
 
 def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1].replace("$", r"\$")), rules, text)
+    """Each rule reads what the ones before left; \\1 in a replacement is a group."""
+    java = lambda to: re.sub(r"\\(\d)", r"$\1", to.replace("$", r"\$"))
+    return reduce(lambda c, r: F.regexp_replace(c, r[0], java(r[1])), rules, text)
+
+
+def mask_leaks(text: Column, privileged: Column | None = None, tables: list[str] = TABLES, own: list[tuple[str, str]] | None = None) -> Column:
+    """Masks what a user may not see of the system. tables: names of its tables; own: patterns of its hosts and components
+    with what stands for them. Privileged users lose tokens only."""
+    full = replaced(text, [(rf"(?i)\b({'|'.join(tables)})\s+table\b", "[internal table]"), *LEAKS[:-2], *(own or []), *LEAKS[-2:]])
+    return full if privileged is None else F.when(privileged, replaced(text, LEAKS[-2:])).otherwise(full)
 
 
 def verdict(*checks: tuple[Column, str]) -> Column:
@@ -124,10 +136,12 @@ def rate_limited(df: DataFrame, key: str, at: str, most: int = 60, seconds: int
 
 
 def repeated(df: DataFrame, key: str, item: str, at: str, most: int = 5, seconds: int = 300) -> DataFrame:
-    """abusive: besides this one, the same item came `most` times or more from the key in the seconds before or at the same
-    moment, so a burst counts too."""
-    w = Window.partitionBy(key, F.md5(F.col(item))).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("abusive", F.count("*").over(w) - 1 >= most)
+    """abusive: besides this one, the same item (trimmed, in lower case) came `most` times or more from the key in less than the
+    seconds before or at the same moment, so a burst counts too. Empty and null items are allowed. A looser rule, such as ten
+    in ten minutes of queries that mean the same, is a second call on a column that names the meaning."""
+    plain = F.lower(F.trim(item))
+    w = Window.partitionBy(key, F.md5(plain)).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    return df.withColumn("abusive", (F.count("*").over(w) - 1 >= most) & (F.coalesce(plain, F.lit("")) != ""))
 
 
 def query_size(limit: Column, large: Column) -> Column:
@@ -215,10 +229,31 @@ def tagged(text: Column, trusted: Column) -> Column:
     return F.when(trusted, F.concat(F.lit("<trusted>"), text, F.lit("</trusted>"))).otherwise(F.concat(F.lit("<untrusted>"), F.regexp_replace(text, r"</?\w+>", ""), F.lit("</untrusted>")))
 
 
-def reflection(confidence: Column, intents: Column, covered: Column, length: Column, questions: Column, grounded: Column) -> Column:
-    """pass, revise or escalate, from how many of four checks fail."""
-    failed = sum((c.cast("int") for c in (confidence < 0.5, covered < intents, length < 20 * F.greatest(questions, F.lit(1)), grounded < 0.3)), F.lit(0))
-    return F.when(failed == 0, "pass").when(failed <= 2, "revise").otherwise("escalate")
+# What asks, what joins two questions, words that ground nothing.
+ASKS = ["kya", "kahan", "kab", "kyun", "kitna", "kaun", "kaise", "what", "where", "when", "why", "how", "which", "status"]
+JOINS = ["and", "aur", "also", "bhi", "saath", "plus", "along with"]
+EMPTY = ["the", "and", "for", "are", "but", "not", "you", "all", "can", "this", "that", "with", "have", "from", "will", "your", "please", "based", "available", "information"]
+
+
+def reflection(question: Column, response: Column, confidence: Column, intents: Column, entity: Column, context: Column, least: float = 0.5) -> Column:
+    """What is wrong with a response, the worst first, or none: low_confidence; missing_intent (neither intent nor entity of one
+    of intents, array<struct<intent, entity>>, is in it); wrong_entity (it lacks the entity's id); hallucination (under .3 of
+    its words over four characters are in the context); incomplete (under .5, or too short for what was asked). A null entity
+    or an empty context is not tested."""
+    q, r = F.lower(question), F.lower(response)
+    count = lambda words: sum((F.contains(q, F.lit(w)).cast("int") for w in words), F.lit(0))
+    covered = lambda i: (i["entity"] == "unknown") | F.contains(r, F.lower(i["entity"])) | F.contains(r, F.lower(i["intent"]))
+    terms = F.filter(F.array_distinct(F.split(r, r"\s+")), lambda w: (F.length(w) > 4) & ~w.isin(EMPTY))
+    held = F.size(F.filter(terms, lambda w: F.contains(F.lower(context), w)))
+    share = F.when((F.coalesce(context, F.lit("")) != "") & (F.size(terms) > 0), held / F.size(terms)).otherwise(1.0)
+    short = ((count(ASKS) >= 2) & (F.length(response) < 50 * count(ASKS))) | ((count(JOINS) > 0) & (F.length(response) < 100))
+    out = F.when(confidence < least, "low_confidence").when(F.exists(intents, lambda i: ~covered(i)), "missing_intent").when(entity.isNotNull() & ~F.contains(response, entity), "wrong_entity")
+    return out.when(share < 0.3, "hallucination").when(short | (share < 0.5), "incomplete").otherwise("none")
+
+
+def reflected(correction: Column) -> Column:
+    """What follows where nothing could be mended."""
+    return F.when(correction == "none", "pass").when(correction.isin("hallucination", "wrong_entity"), "escalate").otherwise("retry")
 
 
 def write_action(text: Column) -> Column:

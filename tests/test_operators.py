@@ -63,7 +63,7 @@ def test_masks(spark):
 
 
 def test_look_ahead_mask(spark):
-    assert one(spark, guards.replaced(F.col("t"), guards.LOOK_AHEAD), t="123456789012 is my account") == "XXXXXXXXX**** is my account"
+    assert one(spark, guards.replaced(F.col("t"), guards.MONEY_ALWAYS), t="123456789012 is my account") == "XXXXXXXXX**** is my account"
 
 
 def test_dates(spark):
@@ -163,3 +163,20 @@ def test_threshold_search_has_no_rank_cap(spark):
     q = e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     got = joins.similar(q, e, None, at_least=0.8)
     assert sorted(r.vec_id for r in got.collect()) == [i for i in range(80) if 1 / (1 + (i / 40) ** 2) ** 0.5 >= 0.8] and "rank" not in got.columns
+
+
+def test_guard_rules(spark):
+    tenant = lambda t: one(spark, guards.cross_tenant(F.col("t"), F.lit("7")), t=t)
+    assert [tenant(t) for t in ("get details of seller 77", "list what seller 7 sold", "impersonate them", "hello")] == ["BLOCK", "ALLOW", "BLOCK", "ALLOW"]
+    assert one(spark, guards.mask_leaks(F.col("t"), F.lit(True)), t="redis, eyJabcdefghijklmnopqrstuvwxyz") == "redis, [REDACTED_TOKEN]"
+    assert one(spark, guards.mask_leaks(F.col("t"), tables=["parcels"]), t="redis and parcels table") == "our system and [internal table]"
+    assert one(spark, guards.replaced(F.col("t"), guards.PROMISES), t="compensation of Rs. 900") == "compensation as per applicable policy"
+    assert one(spark, guards.mask_money(F.col("t"), F.lit("hi")), t="12.5% commission") == "**% commission"
+
+
+def test_reflection(spark):
+    intents = F.array(F.struct(F.lit("track").alias("intent"), F.lit("order").alias("entity")))
+    rows = [("ok", "order 12345 shipped", 0.9, "12345", ""), ("low", "order 12345 shipped", 0.4, "12345", ""), ("intent", "nothing", 0.9, None, ""), ("entity", "order shipped", 0.9, "12345", ""), ("made up", "order travels somewhere unknown", 0.9, None, "else")]
+    df = spark.createDataFrame(rows, "n string, r string, c double, e string, x string")
+    got = df.select("n", guards.reflection(F.lit("status"), F.col("r"), F.col("c"), intents, F.col("e"), F.col("x")).alias("v"))
+    assert dict(got.toPandas().itertuples(index=False)) == {"ok": "none", "low": "low_confidence", "intent": "missing_intent", "entity": "wrong_entity", "made up": "hallucination"}
