@@ -147,3 +147,49 @@ def faq_text(question: Column, answer: Column, keywords: Column, domain: Column)
     """Null where question or answer is empty."""
     ok = (F.trim(question) != "") & (F.trim(answer) != "")
     return F.when(ok, F.concat_ws("\n", F.concat(F.lit("Q: "), question), F.concat(F.lit("A: "), answer), F.concat(F.lit("Keywords: "), F.when(F.size(keywords) > 0, F.array_join(keywords, ", ")).otherwise(domain))))
+
+
+def tool_calls(requests: DataFrame, tools: DataFrame) -> DataFrame:
+    """requests(id, role, tool, params map) with a verdict against the catalogue tools(tool, roles, required): unknown, denied,
+    invalid (with the parameters it lacks) or ok. A tool without roles is open to all."""
+    x = requests.join(tools, "tool", "left")
+    lacks = F.filter(F.coalesce("required", F.array().cast("array<string>")), lambda p: F.coalesce(F.element_at("params", p), F.lit("")) == "")
+    denied = (F.size("roles") > 0) & ~F.array_contains("roles", F.col("role"))
+    verdict = F.when(F.col("required").isNull(), "unknown").when(denied, "denied").when(F.size(lacks) > 0, "invalid").otherwise("ok")
+    return x.select("id", "tool", verdict.alias("verdict"), F.when(verdict == "invalid", F.array_join(lacks, ",")).alias("lacking"))
+
+
+def strategies(queries: DataFrame, registry: Registry, key: str = "id") -> DataFrame:
+    """key, strategy, confidence: of the registered strategies (queries to key, confidence) the surest, by name if equal."""
+    parts = [f(queries).select(key, "confidence", F.lit(name).alias("strategy")) for name, f in registry.own.items()]
+    best = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "strategy")).alias("b"))
+    return best.select(key, "b.strategy", (-F.col("b.c")).alias("confidence"))
+
+
+def field_traces(traces: DataFrame, query: str, field: str, order: str, each: int = 3, enough: int = 10) -> DataFrame:
+    """At most `each` traces of a field; fields are taken in order until a query has `enough`."""
+    own = traces.withColumn("_n", F.row_number().over(Window.partitionBy(query, field).orderBy(order))).filter(F.col("_n") <= each)
+    size = own.groupBy(query, field).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(query).orderBy(field).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = size.withColumn("_before", before).filter(F.col("_before") < enough).select(query, field)
+    return own.join(taken, [query, field]).drop("_n")
+
+
+def attributed(chunks: Column, most: int = 8, size: int = 400) -> Column:
+    """Context of the first chunks, array<struct<source, pillar, trust, content>>, each under a line that names its source."""
+    head = lambda c, i: F.format_string("[Source %d: %s | Pillar: %s | Trust: %.1f]\n", (i + 1).cast("int"), c["source"], c["pillar"], c["trust"])
+    return F.array_join(F.transform(F.slice(chunks, 1, most), lambda c, i: F.concat(head(c, i), F.substring(F.coalesce(c["content"], F.lit("")), 1, size))), "\n")
+
+
+def update_history(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
+    """One row of what an update changed: added, modified, removed, same."""
+    x = old.select(key, F.col(digest).alias("_a")).join(new.select(key, F.col(digest).alias("_b")), key, "full")
+    a, b = F.col("_a"), F.col("_b")
+    return x.agg(F.count_if(a.isNull()).alias("added"), F.count_if(a != b).alias("modified"), F.count_if(b.isNull()).alias("removed"), F.count_if(a == b).alias("same"))
+
+
+def lanes(df: DataFrame, lane: str, rank: str, latency: str, base: str) -> DataFrame:
+    """lane, mrr, latency_ms and the lift of each lane over the base lane; a null rank is a miss."""
+    x = df.groupBy(lane).agg(F.avg(F.coalesce(1.0 / F.col(rank), F.lit(0.0))).alias("mrr"), F.avg(latency).alias("latency_ms"))
+    of = x.filter(F.col(lane) == base).select(F.col("mrr").alias("_mrr"), F.col("latency_ms").alias("_ms"))  # one row
+    return x.join(F.broadcast(of)).select(lane, F.round("mrr", 6).alias("mrr"), F.round("latency_ms", 4).alias("latency_ms"), F.round(F.col("mrr") - F.col("_mrr"), 6).alias("mrr_lift"), F.round(F.col("latency_ms") - F.col("_ms"), 4).alias("latency_lift"))

@@ -65,3 +65,8 @@ def tombstones(index: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """The index with status 2 for files that are gone."""
     x = index.join(present.select(key).distinct().withColumn("_here", F.lit(True)), key, "left")
     return x.withColumn("status", F.when(F.col("_here").isNull(), 2).otherwise(F.col("status"))).drop("_here")
+
+
+def buffered(df: DataFrame, path: str, size: int = 50) -> None:
+    """JSON lines in files of `size` rows at most: each file is one flush of a buffer."""
+    df.write.option("maxRecordsPerFile", size).json(path)

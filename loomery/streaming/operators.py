@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -141,3 +141,39 @@ def circuit(df: DataFrame, key: str, order: str, failed: str, most: int = 3) ->
 
 def debounced(df: DataFrame, keys: list[str], at: str, quiet: str) -> DataFrame:
     return df.withWatermark(at, quiet).dropDuplicatesWithinWatermark(keys)
+
+
+def latest_record(df: DataFrame, key: str, at: str, item: str, feedback: str) -> DataFrame:
+    """key, feedback, record: each feedback row (column `feedback` holds) with the newest record of its key before it, null if
+    none came yet. df holds records and feedback alike; rows of a batch are put in order of time and item. State: one item a key."""
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values([at, item])
+        seen = rows[item].where(~rows[feedback]).astype("Int64").ffill()
+        if state.exists:
+            seen = seen.fillna(state.get[0])
+        if seen.notna().any():
+            state.update((int(seen.dropna().iloc[-1]),))
+        told = rows[feedback]
+        yield pd.DataFrame({key: keys[0], "feedback": rows[item][told], "record": seen[told]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    own = df.select(key, item, F.col(at).cast("timestamp").alias(at), feedback)
+    return own.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, feedback {kinds[item]}, record long", "r long", "append", GroupStateTimeout.NoTimeout)
+
+
+def newest(df: DataFrame, at: str, key: str, most: int = 10_000) -> DataFrame:
+    """What a cache of `most` keys holds of df, one row a key: older keys are evicted."""
+    return df.orderBy(F.desc(at), key).limit(most)
+
+
+def micro_batches(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+    """A stream of JSON files, `files` a batch; with buffered files of 50 rows and a trigger of 20 seconds, 50 rows each 20 s."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+
+
+def dispatch(handlers: dict[str, Callable[[DataFrame], DataFrame]], kind: str, folder: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rows of each kind go to its handler's table, those of no handler to `unhandled`."""
+    own = {name: lambda b, name=name, f=f: f(b.filter(F.col(kind) == name)) for name, f in handlers.items()}
+    rest = lambda b: b.filter(~F.coalesce(F.col(kind).isin(list(handlers)), F.lit(False)))
+    return fan_out({**own, "unhandled": rest}, folder)
