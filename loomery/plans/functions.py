@@ -115,11 +115,12 @@ SOFT = (
     (rf"\b{SUM}\s+(?:will|shall) be\s+(?:credit|refund|compensat)", "the applicable amount as per policy will be"), (r"\bfull\s+refund\s+(?:will|shall)\s+be\b", "refund as per policy will be"), (rf"\bcompensation\s+of\s+{SUM}", "compensation as per applicable policy"),
 )
 on_turns("gr13_promises", lambda: G.replaced(t(), G.PROMISES), f"SELECT conv_id, turn, {spelt('t', *SOFT)} AS r FROM c")
-#: numbers that a mention of an account follows: those before the last such mention
+#: numbers that a mention of an account follows: those before the last such mention of the line
+HEAD = "(?i)^(.*)(?:account|a/c|acc)"
 on_turns("gr14_money", lambda: G.mask_money(t(), t()), rf"""
     , cards AS (SELECT *, regexp_replace(t, '\b\d{{4}}[\s-]?\d{{4}}[\s-]?\d{{4}}[\s-]?\d{{4}}\b', 'XXXX-XXXX-XXXX-****', 'g') AS x FROM c),
-    heads AS (SELECT *, regexp_extract(x, '(?i)^(.*)(?:account|a/c|acc)', 1) AS head FROM cards),
-    told AS (SELECT *, regexp_replace(regexp_replace(head, '\b\d{{9,18}}\b', 'XXXXXXXXX****', 'g') || substr(x, length(head) + 1), '(?i)\bIFSC[\s:]*[A-Z]{{4}}0[A-Z0-9]{{6}}\b', 'IFSC: XXXX0XXXXXX', 'g') AS y FROM heads)
+    told AS (SELECT *, regexp_replace(array_to_string(list_transform(string_split(x, chr(10)), lambda l: regexp_replace(regexp_extract(l, '{HEAD}', 1), '\b\d{{9,18}}\b', 'XXXXXXXXX****', 'g') || substr(l, length(regexp_extract(l, '{HEAD}', 1)) + 1)), chr(10)),
+      '(?i)\bIFSC[\s:]*[A-Z]{{4}}0[A-Z0-9]{{6}}\b', 'IFSC: XXXX0XXXXXX', 'g') AS y FROM cards)
     SELECT conv_id, turn, CASE WHEN {ASKED} THEN y ELSE regexp_replace(regexp_replace(regexp_replace(y, '(₹|Rs\.?|INR)\s*[\d,]+\.?\d{{0,2}}', '₹***', 'g'),
       '(?i)\b\d{{1,3}}(,\d{{3}})+(\.\d{{1,2}})?\s*(rupees?|rs)\b', '*** rupees', 'g'), '(?i)\b\d+(?:\.\d+)?%\s*(commission|margin|rate)\b', '**% \1', 'g') END AS r FROM told""")
 GR22_SQL = r"""
