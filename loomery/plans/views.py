@@ -62,14 +62,14 @@ UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name, 'geo' FROM nation
 UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name, c_mktsegment FROM customer
 UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name, 'supply' FROM supplier
 UNION ALL SELECT 'part:' || p_partkey, 'part', p_name, p_brand FROM part
-UNION ALL SELECT 'order:' || o_orderkey, 'order', CAST(o_orderkey AS VARCHAR), o_orderpriority FROM orders WHERE o_orderkey <= 200)"""
+UNION ALL SELECT 'order:' || o_orderkey, 'order', CAST(o_orderkey AS VARCHAR), o_orderpriority FROM orders)"""
 EDGES_SQL = """rawedges AS (
 SELECT 'nation:' || n_nationkey AS source_id, 'region:' || n_regionkey AS target_id, 'in_region' AS edge_type FROM nation
 UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'in_nation' FROM customer
 UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'in_nation' FROM supplier
-UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by' FROM orders WHERE o_orderkey <= 200
-UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'has_part' FROM lineitem WHERE l_orderkey <= 200
-UNION ALL SELECT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'supplied_by' FROM lineitem WHERE l_orderkey <= 200),
+UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by' FROM orders
+UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'has_part' FROM lineitem
+UNION ALL SELECT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'supplied_by' FROM lineitem),
 edges AS (SELECT source_id, target_id, edge_type, round(1.0 + 0.1 * (count(*) - 1), 4)::DOUBLE AS weight FROM rawedges GROUP BY ALL)"""
 
 
@@ -88,7 +88,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = lambda name, kind, key, label, domain: table(spark, sf_dir, name).select(F.concat(F.lit(f"{kind}:"), F.col(key)).alias("id"), F.lit(kind).alias("node_type"), F.col(label).cast("string").alias("label"), domain.alias("domain"))
     parts = [t("region", "region", "r_regionkey", "r_name", F.col("r_name")), t("nation", "nation", "n_nationkey", "n_name", F.lit("geo")), t("customer", "customer", "c_custkey", "c_name", F.col("c_mktsegment")), t("supplier", "supplier", "s_suppkey", "s_name", F.lit("supply")), t("part", "part", "p_partkey", "p_name", F.col("p_brand"))]
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey <= 200")
+    orders = table(spark, sf_dir, "orders")
     out = orders.select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit("order").alias("node_type"), F.col("o_orderkey").cast("string").alias("label"), F.col("o_orderpriority").alias("domain"))
     for p in parts:
         out = out.unionByName(p)
@@ -98,12 +98,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    def t(name, a, ak, b, bk, kind, cut=None):
-        df = table(spark, sf_dir, name)
-        return (df.filter(cut) if cut else df).select(F.concat(F.lit(f"{a}:"), ak).alias("source_id"), F.concat(F.lit(f"{b}:"), bk).alias("target_id"), F.lit(kind).alias("edge_type"))
+    def t(name, a, ak, b, bk, kind):
+        return table(spark, sf_dir, name).select(F.concat(F.lit(f"{a}:"), ak).alias("source_id"), F.concat(F.lit(f"{b}:"), bk).alias("target_id"), F.lit(kind).alias("edge_type"))
 
     out = t("nation", "nation", "n_nationkey", "region", "n_regionkey", "in_region")
-    for p in (t("customer", "customer", "c_custkey", "nation", "c_nationkey", "in_nation"), t("supplier", "supplier", "s_suppkey", "nation", "s_nationkey", "in_nation"), t("orders", "order", "o_orderkey", "customer", "o_custkey", "placed_by", "o_orderkey <= 200"), t("lineitem", "order", "l_orderkey", "part", "l_partkey", "has_part", "l_orderkey <= 200"), t("lineitem", "order", "l_orderkey", "supplier", "l_suppkey", "supplied_by", "l_orderkey <= 200")):
+    for p in (t("customer", "customer", "c_custkey", "nation", "c_nationkey", "in_nation"), t("supplier", "supplier", "s_suppkey", "nation", "s_nationkey", "in_nation"), t("orders", "order", "o_orderkey", "customer", "o_custkey", "placed_by"), t("lineitem", "order", "l_orderkey", "part", "l_partkey", "has_part"), t("lineitem", "order", "l_orderkey", "supplier", "l_suppkey", "supplied_by")):
         out = out.unionByName(p)
     return out
 
