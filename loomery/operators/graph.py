@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.session import materialize
+from loomery.session import written
 
 
 def strengthen(edges: DataFrame, mode: str = "step") -> DataFrame:
@@ -20,12 +20,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int, directed: bool = False) -> DataFrame:
-    """id, depth of every node within `most` hops; each round joins the newest nodes only and leaves out what was seen."""
-    links = (edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")) if directed else both_ways(edges).select("a", "b")).distinct()
-    seen = seeds.select(F.col(seeds.columns[0]).alias("id"), F.lit(0).alias("depth")).distinct()
+    """id, depth of every node within `most` hops; each round joins the newest nodes only and leaves out what was seen.
+
+    Links and rounds are tables, so their sizes are known: a small front is broadcast and the links are only scanned.
+    """
+    links = written(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")) if directed else both_ways(edges).select("a", "b"))
+    seen = written(seeds.select(F.col(seeds.columns[0]).alias("id"), F.lit(0).alias("depth")).distinct())
     front = seen
     for depth in range(1, most + 1):
-        front = materialize(links.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        reached = links.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        front = written(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -35,18 +39,16 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int, directed: bool = False)
 def shortest_paths(edges: DataFrame, source: str, most: int = 6, weighted: bool = False, directed: bool = True) -> DataFrame:
     """id, cost, hops, path from one node: rounds of relaxation that extend improved nodes only (hops, or summed weights)."""
     links = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "weight") if directed else both_ways(edges)
-    links = links.groupBy("a", "b").agg(F.min("weight").alias("weight")) if weighted else links.select("a", "b", F.lit(1.0).alias("weight")).distinct()
+    links = written(links.groupBy("a", "b").agg(F.min("weight").alias("weight")) if weighted else links.select("a", "b", F.lit(1.0).alias("weight")))
     spark = edges.sparkSession
-    best = spark.createDataFrame([(source, 0.0, 0, source)], "id string, cost double, hops int, path string")
-    front = best
-    for _ in range(most):
-        step = front.join(links, front["id"] == links["a"]).select(F.col("b").alias("id"), F.round(F.col("cost") + F.col("weight"), 6).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat_ws(">", "path", "b").alias("path"))
-        step = step.groupBy("id").agg(F.min(F.struct("cost", "hops", "path")).alias("n")).select("id", "n.*")
-        old = best.select("id", F.struct("cost", "hops", "path").alias("o"))
-        front = materialize(step.join(old, "id", "left").filter(F.col("o").isNull() | (F.struct("cost", "hops", "path") < F.col("o"))).drop("o"))
+    best = written(spark.createDataFrame([(source, 0.0, 0, source)], "id string, cost double, hops int, path string"))
+    for done in range(most):
+        # a node improved in round r by a path of r edges, so the newest nodes are those whose best path is that long
+        front = best.filter(F.col("hops") == done)
         if front.isEmpty():
             break
-        best = materialize(best.unionByName(front).groupBy("id").agg(F.min(F.struct("cost", "hops", "path")).alias("n")).select("id", "n.*"))
+        step = front.join(links, front["id"] == links["a"]).select(F.col("b").alias("id"), F.round(F.col("cost") + F.col("weight"), 6).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat_ws(">", "path", "b").alias("path"))
+        best = written(best.unionByName(step).groupBy("id").agg(F.min(F.struct("cost", "hops", "path")).alias("n")).select("id", "n.*"))
     return best
 
 
@@ -54,26 +56,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: floa
     """id, score of the personalised walk. damping: chance to follow a link (0.15: 85% of the steps go back to the seeds); rank
     moves along edges by weight, nodes without outgoing edges give theirs to the seeds.
 
-    A round is one join and one aggregation; every round is checkpointed. fixed: run all rounds.
+    A round is two joins, a written table and one aggregation over it; nodes that have no rank yet send nothing. fixed: run
+    all rounds.
     """
     own = seeds.select(F.col(seeds.columns[0]).alias("id")).distinct()
     n_seeds, n = own.count(), nodes.count()
     if not n_seeds:
         return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
     out = edges.groupBy("source_id", "target_id").agg(F.sum("weight").alias("w"))
-    out = materialize(out.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("source_id"))).select("source_id", "target_id", "share"))
-    jump = materialize(nodes.select("id").join(own.withColumn("jump", F.lit(1.0 / n_seeds)), "id", "left").fillna(0.0, ["jump"]).join(out.select(F.col("source_id").alias("id"), F.lit(True).alias("leads")).distinct(), "id", "left"))
-    rank = jump.select("id", F.col("jump").alias("score"))
-    for _ in range(rounds):
-        lost = rank.join(jump.filter("leads is null").select("id"), "id", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        flow = rank.join(out, rank["id"] == out["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
-        new = jump.join(flow, "id", "left").select("id", ((1 - damping) * F.col("jump") + damping * (F.coalesce("in", F.lit(0.0)) + lost * F.col("jump"))).alias("score"))
-        new = materialize(new)
-        moved = new.join(rank.withColumnRenamed("score", "old"), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-        rank = new
-        if not fixed and moved < n * tolerance:
+    out = written(out.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("source_id"))).select("source_id", "target_id", "share"))
+    leads = out.select(F.col("source_id").alias("id"), F.lit(True).alias("leads")).distinct()
+    state = nodes.select("id").join(own.withColumn("jump", F.lit(1.0 / n_seeds)), "id", "left").fillna(0.0, ["jump"]).join(leads, "id", "left")
+    state = written(state.select("id", "jump", "leads", F.col("jump").alias("score"), F.lit(0.0).alias("moved")))
+    for done in range(rounds):
+        moved, lost = state.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("leads").isNull(), F.col("score"))), F.lit(0.0))).first()
+        if done and not fixed and moved < n * tolerance:
             break
-    return rank
+        flow = state.filter("score > 0").select(F.col("id").alias("source_id"), "score").join(out, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
+        score = (1 - damping) * F.col("jump") + damping * (F.coalesce("in", F.lit(0.0)) + lost * F.col("jump"))
+        state = written(state.join(flow, "id", "left").select("id", "jump", "leads", score.alias("score"), F.abs(score - F.col("score")).alias("moved")))
+    return state.select("id", "score")
 
 
 def chains_from(edges: DataFrame, seeds: DataFrame, most: int = 3, limit: int | None = None) -> DataFrame:
