@@ -29,6 +29,11 @@ def fusion_confidence(fused: DataFrame, legs: int) -> DataFrame:
     return fused.groupBy("query_id").agg(F.round(F.least(F.max("score") / best, F.lit(1.0)), 6).alias("confidence"))
 
 
+def first_k(df: DataFrame, order: list[Column], k: int, position: str = "position") -> DataFrame:
+    """The first k rows of all, numbered: each partition keeps k, so only those meet in one task."""
+    return df.orderBy(*order).limit(k).withColumn(position, F.row_number().over(Window.orderBy(*order)))
+
+
 def freshness(age_days: Column) -> Column:
     return F.when(age_days <= 7, 1.0).when(age_days <= 30, 0.9).when(age_days <= 90, 0.8).otherwise(0.7)
 

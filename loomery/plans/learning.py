@@ -154,7 +154,7 @@ def w03_strengthen(spark, d):
 @query("k05_category_top", "WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), t AS (SELECT * FROM r WHERE r <= 3) SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM t ORDER BY 2 LIMIT 5", ints=("position",))
 def k05_category_top(spark, d):
     top = K.top_per(table(spark, d, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 3)
-    return K.top_per(top.withColumn("one", F.lit(1)), ["one"], [F.desc("n_chars"), F.col("doc_id")], 5).select("doc_id", "position")
+    return K.first_k(top, [F.desc("n_chars"), F.col("doc_id")], 5).select("doc_id", "position")
 
 
 @query("k10_routing", with_views("WITH c AS (SELECT event_id, CASE WHEN intent = 'purchase' AND entity = 'e1' THEN 1 WHEN intent = 'error' THEN 2 ELSE 3 END AS p, 0.3 * confidence + 0.4 * (intent = 'purchase')::INT + 0.3 * (event_id % 10) / 10.0 AS s, user_id FROM analytics) SELECT user_id, event_id, CASE p WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 ELSE 0.3 END::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p, round(s, 6) DESC, event_id) AS r FROM c) WHERE r = 1", "analytics"))
@@ -168,9 +168,9 @@ def k10_routing(spark, d):
 
 @query("k13_hop_order", with_graph("SELECT id, row_number() OVER (ORDER BY CASE WHEN id IN ('order:1', 'nation:3') THEN 0 ELSE 1 END, CASE node_type WHEN 'order' THEN 1 WHEN 'customer' THEN 2 WHEN 'nation' THEN 3 ELSE 9 END, id) AS position FROM nodes WHERE node_type IN ('order', 'nation', 'region') ORDER BY 2 LIMIT 40"), ints=("position",))
 def k13_hop_order(spark, d):
-    n = nodes(spark, d).filter("node_type IN ('order', 'nation', 'region')").withColumn("one", F.lit(1))
+    n = nodes(spark, d).filter("node_type IN ('order', 'nation', 'region')")
     rank = F.when(F.col("node_type") == "order", 1).when(F.col("node_type") == "customer", 2).when(F.col("node_type") == "nation", 3).otherwise(9)
-    return K.top_per(n, ["one"], [F.col("id").isin("order:1", "nation:3").desc(), rank, F.col("id")], 40).select("id", "position")
+    return K.first_k(n, [F.col("id").isin("order:1", "nation:3").desc(), rank, F.col("id")], 40).select("id", "position")
 
 
 ACT = FOUND.format("[CASE WHEN confidence < 0.5 THEN 'add_knowledge' END, CASE WHEN confidence >= 0.5 AND confidence < 0.65 THEN 'clarify' END, CASE WHEN event_id % 3 = 0 THEN 'fix_routing' END, CASE WHEN feedback_score <= 2 THEN 'review' END]")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions import guards, text, values
-from loomery.operators import aggregates, components, filters, graph, joins, learning, ranking
+from loomery.operators import aggregates, components, filters, graph, graph_rules, joins, learning, ranking
 from loomery.operators.components import connected_components
 from loomery.sources import readers, sinks
 
@@ -180,3 +180,26 @@ def test_reflection(spark):
     df = spark.createDataFrame(rows, "n string, r string, c double, e string, x string")
     got = df.select("n", guards.reflection(F.lit("status"), F.col("r"), F.col("c"), intents, F.col("e"), F.col("x")).alias("v"))
     assert dict(got.toPandas().itertuples(index=False)) == {"ok": "none", "low": "low_confidence", "intent": "missing_intent", "entity": "wrong_entity", "made up": "hallucination"}
+
+
+def test_graph_rules_of_nulls_repeats_and_no_rows(spark):
+    schema = "id string, tables array<struct<name:string,role:string>>"
+    docs = spark.createDataFrame([("a", [("t", "write"), ("u", None), (None, "read")]), ("a", [("t", "write")]), ("b", None), (None, [("t", "read")])], schema)
+    got = {tuple(r) for r in graph_rules.api_tables(docs).collect()}
+    assert got == {("edge", "api_endpoint:a", "table:t", "writes_table", "write"), ("edge", "api_endpoint:a", "table:u", "reads_table", None)}
+    assert graph_rules.api_tables(docs.limit(0)).count() == 0
+    assert graph_rules.api_tables(docs).count() == 2
+    fields = spark.createDataFrame([("a", [("x", None), (None, True)])], "id string, fields array<struct<name:string,required:boolean>>")
+    assert {r.two for r in graph_rules.api_fields(fields).filter("what = 'edge'").collect()} == {"schema_field:a.x"}
+
+
+def test_paths_and_walks_from_nodes_without_links(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0), ("c", "a", 1.0)], "source_id string, target_id string, weight double")
+    start = spark.createDataFrame([("a",)], "id string")
+    assert {(r.id, r.depth) for r in graph.hops(edges, start, 5, directed=True).collect()} == {("a", 0), ("b", 1), ("c", 1)}
+    assert graph.hops(edges.limit(0), start, 3).count() == 1
+    best = {r.id: (r.cost, r.path) for r in graph.shortest_paths(edges, "a", 4, weighted=True).collect()}
+    assert best == {"a": (0.0, "a"), "b": (1.0, "a>b"), "c": (2.0, "a>b>c")}
+    assert [r.id for r in graph.shortest_paths(edges.limit(0), "z").collect()] == ["z"]
+    nodes = spark.createDataFrame([("a",), ("z",)], "id string")
+    assert {r.id: r.score for r in graph.pagerank(nodes, edges.limit(0), start).collect()} == {"a": 1.0, "z": 0.0}
