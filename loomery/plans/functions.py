@@ -21,11 +21,17 @@ MESSAGES = [
     "within 24 hours you will get it, Rs 500 will be credited and compensation of Rs. 900 paid", "pay 123456789012 from my account, not 999888777", "they take 12.5% commission", "get details of seller 77", "list what seller 7 sold", "Bearer abcdefghijklmnopqrstuvwxyz on db-1.example",
 ]
 QUOTED = ", ".join("({}, '{}')".format(i, m.replace("'", "''")) for i, m in enumerate(MESSAGES))
-M = f"m(id, t) AS (VALUES {QUOTED})"
+M = f"m(id, t) AS (VALUES {QUOTED})"  # only in SQL: what stands behind the turns
 
 
-def messages(spark):
-    return spark.createDataFrame(list(enumerate(MESSAGES)), "id int, t string")
+def turns(spark, d):
+    """conv_id, turn, t: every turn with one of the messages behind it, for the table has none of what guards look for."""
+    n = len(MESSAGES)
+    at = (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(n)) + 1).cast("int")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, MESSAGES)), at)).alias("t"))
+
+
+TURNS = f"WITH {M}, c AS (SELECT conv_id, turn, text || ' ' || m.t AS t FROM conversations JOIN m ON m.id = (conv_id + turn) % {len(MESSAGES)})"
 
 
 def any_of(column: str, patterns: list[str]) -> str:
@@ -37,23 +43,49 @@ def nested(column: str, rules) -> str:
 
 
 def check(name, spark_expression, sql):
-    """A query of one expression over the messages."""
+    """A query of one expression over all turns; `id` is a number of the turn."""
+
+    @query(name, f"{TURNS}, ids AS (SELECT *, conv_id * 31 + turn AS id FROM c) SELECT conv_id, turn, {sql} AS r FROM ids")
+    def run(spark, d):
+        return turns(spark, d).withColumn("id", F.col("conv_id") * 31 + F.col("turn")).select("conv_id", "turn", spark_expression().alias("r"))
+
+    run.__name__ = name
+
+
+def on(name, source, key, expression, sql):
+    """A query of one expression over all rows of a table."""
 
-    @query(name, f"WITH {M} SELECT id, {sql} AS r FROM m")
+    @query(name, f"SELECT {key}, {sql} AS r FROM {source}")
     def run(spark, d):
-        return messages(spark).select("id", spark_expression().alias("r"))
+        return table(spark, d, source).select(*key.split(", "), expression().alias("r"))
 
     run.__name__ = name
 
 
+K = lambda: F.get_json_object("props", "$.k").cast("long")
+K_SQL = "json_extract(props, '$.k')::BIGINT"
 t = lambda: F.col("t")
 check("gr00_pre_list", lambda: G.verdict((G.hits(t(), G.INJECTION), "BLOCK"), (G.hits(t(), G.HINGLISH_INJECTION), "BLOCK"), (G.hits(t(), G.MASS_ACTION), "WARN")), f"CASE WHEN {any_of('t', G.INJECTION)} OR {any_of('t', G.HINGLISH_INJECTION)} THEN 'BLOCK' WHEN {any_of('t', G.MASS_ACTION)} THEN 'WARN' ELSE 'ALLOW' END")
-check("gr01_access", lambda: G.access(F.when(F.col("id") % 2 == 0, "seller").otherwise("guest"), ["seller", "admin"], (F.col("id") % 3).cast("string"), F.when(F.col("id") % 5 > 0, (F.col("id") % 4).cast("string"))), "CASE WHEN id % 2 <> 0 THEN 'BLOCK' WHEN id % 5 > 0 AND id % 3 <> id % 4 AND id % 3 <> 1 THEN 'BLOCK' ELSE 'ALLOW' END")
+on(
+    "gr01_access", "events", "event_id",
+    lambda: G.access(F.col("event_type"), ["click", "purchase"], F.col("user_id").cast("string"), F.get_json_object("props", "$.k")),
+    f"""CASE WHEN event_type NOT IN ('click', 'purchase') THEN 'BLOCK'
+      WHEN {K_SQL} IS NOT NULL AND {K_SQL} <> user_id AND user_id <> 1 THEN 'BLOCK' ELSE 'ALLOW' END""",
+)
 PII = [(r"\b(?:\d{4}[\s-]?){3}\d{4}\b", "xxxx xxxx xxxx xxxx"), (r"\b\d{4}[\s-]?\d{4}[\s-]?(\d{4})\b", r"xxxx xxxx \1"), (r"\b([6-9]\d)\d{5}(\d{3})\b", r"\1xxxxx\2"), (r"([a-zA-Z0-9._%+-]{2})[a-zA-Z0-9._%+-]+@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", r"\1***@\2"), (r"\b([A-Z]{3})[A-Z]{2}\d{4}([A-Z])\b", r"\1XXxxxx\2")]
 check("gr02_mask_pii", lambda: G.mask_pii(t()), nested("t", PII))
-check("gr04_query_size", lambda: G.query_size(F.when(F.col("id") % 3 > 0, F.col("id") * 50), F.col("id") % 2 == 0), "CASE WHEN id % 3 > 0 AND id * 50 > 500 THEN 'BLOCK' WHEN id % 3 = 0 AND id % 2 = 0 THEN 'BLOCK' ELSE 'ALLOW' END")
+on(
+    "gr04_query_size", "orders", "o_orderkey",
+    lambda: G.query_size(F.when(F.col("o_orderstatus") != "O", F.floor(F.col("o_totalprice") / 400)), F.col("o_orderpriority") == "1-URGENT"),
+    """CASE WHEN o_orderstatus <> 'O' AND floor(o_totalprice / 400) > 500 THEN 'BLOCK'
+      WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'BLOCK' ELSE 'ALLOW' END""",
+)
 check("gr05_injection", lambda: G.hits(t(), G.INJECTION), any_of("t", G.INJECTION))
-check("gr06_spend", lambda: G.spend(F.col("id") / 20.0, F.col("id") / 10.0, 2.0), "CASE WHEN id / 20.0 < 0.3 THEN 'BLOCK' WHEN id / 10.0 > 2 THEN 'BLOCK' WHEN id / 10.0 > 1.6 THEN 'WARN' ELSE 'ALLOW' END")
+on(
+    "gr06_spend", "events", "event_id",
+    lambda: G.spend(F.col("value") / 200.0, F.col("value") / 100.0, 2.0),
+    "CASE WHEN value / 200.0 < 0.3 THEN 'BLOCK' WHEN value / 100.0 > 2 THEN 'BLOCK' WHEN value / 100.0 > 1.6 THEN 'WARN' ELSE 'ALLOW' END",
+)
 check("gr09_hinglish_injection", lambda: G.hits(t(), G.HINGLISH_INJECTION), any_of("t", G.HINGLISH_INJECTION))
 check("gr10_tool_scope", lambda: G.tool_scope(X.query_mode(t()), F.when(F.col("id") % 2 == 0, F.array(F.lit("cancel_order"))).otherwise(F.array(F.lit("get_order"))), ["cancel_order"]), f"CASE WHEN id % 2 = 0 AND NOT regexp_matches(t, '{X.MODES[0][1]}') THEN 'BLOCK' ELSE 'ALLOW' END")
 check("gr12_unsupported_ids", lambda: F.array_join(G.unsupported_ids(t(), F.lit("order 123456789 known")), ","), r"array_to_string(list_filter(regexp_extract_all(t, '\b\d{5,}\b'), lambda x: NOT contains('order 123456789 known', x)), ',')")
@@ -64,23 +96,15 @@ RISK = "greatest(0, " + ", ".join("CASE WHEN regexp_matches(t, '{}') THEN {} ELS
 check("gr19_risk", lambda: G.risk(t()), RISK)
 check("gr19_threats", lambda: F.array_join(G.threats(t()), ","), "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {any_of('t', [p for p, _ in own])} THEN '{n}' END" for n, own in G.THREATS.items()) + "], lambda x: x IS NOT NULL), ',')")
 check("gr19_safety", lambda: G.safety(t()), f"CASE WHEN {RISK} >= 7 THEN 'BLOCK' WHEN {RISK} >= 4 THEN 'WARN' ELSE 'ALLOW' END")
-check("gr20_blast_radius", lambda: G.blast_radius(F.col("id") * 7), "CASE WHEN id * 7 > 100 THEN 'BLOCK' WHEN id * 7 > 10 THEN 'WARN' ELSE 'ALLOW' END")
-check("gr20_mask_fields", lambda: G.mask_fields(F.concat(F.lit('{"phone": "'), F.col("id"), F.lit('", "x": 1}')), ["phone", "email"]), """'{"phone": "***", "x": 1}'""")
+@query("gr20_blast_radius", "SELECT o_custkey, CASE WHEN count(*) > 100 THEN 'BLOCK' WHEN count(*) > 10 THEN 'WARN' ELSE 'ALLOW' END AS r FROM orders GROUP BY 1")
+def gr20_blast_radius(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(G.blast_radius(F.count("*")).alias("r"))
+on("gr20_mask_fields", "events", "event_id", lambda: G.mask_fields(F.col("props"), ["k", "email"]), """regexp_replace(props, '"k": ?("[^"]*"|[0-9.]+)', '"k": "***"', 'g')""")
 check("gr21_tags", lambda: G.tagged(t(), F.col("id") % 2 == 0), r"CASE WHEN id % 2 = 0 THEN '<trusted>' || t || '</trusted>' ELSE '<untrusted>' || regexp_replace(t, '</?\w+>', '', 'g') || '</untrusted>' END")
 check("gr23_write_action", lambda: G.write_action(t()), r"coalesce(nullif(lower(regexp_extract(t, '(?i)\b(cancel|refund|update|delete|create|reattempt)\b', 1)), ''), 'none')")
 
 
 
-def turns(spark, d):
-    """conv_id, turn, t: every turn with one of the messages behind it, for the table has none of what guards look for."""
-    n = len(MESSAGES)
-    at = (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(n)) + 1).cast("int")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, MESSAGES)), at)).alias("t"))
-
-
-TURNS = f"WITH {M}, c AS (SELECT conv_id, turn, text || ' ' || m.t AS t FROM conversations JOIN m ON m.id = (conv_id + turn) % {len(MESSAGES)})"
-
-
 def on_turns(name, expression, sql):
     """A query of one expression over the turns. Its SQL spells the rules out, apart from the lists of the guards."""
 
@@ -206,7 +230,12 @@ check("x03_word_set", lambda: F.array_join(X.word_set(t()), " "), "array_to_stri
 check("x06_truncate", lambda: F.substring(t(), 1, 12), "substr(t, 1, 12)")
 check("x07_digests", lambda: F.concat_ws("/", X.digest(t()), X.digest(t(), 16), F.substring(F.md5(t()), 1, 12), X.point_id(F.lit("r"), F.lit("k"), t())), "substr(sha256(t), 1, 32) || '/' || substr(sha256(t), 1, 16) || '/' || substr(md5(t), 1, 12) || '/' || md5('r:k:' || t)")
 check("x08_cache_key", lambda: X.cache_key(t()), "substr(sha256(trim(regexp_replace(regexp_replace(lower(t), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))), 1, 16)")
-check("x09_pattern_key", lambda: X.pattern_key(t()), r"substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(t)), '\d{5,}', '{id}', 'g'), '\b[a-z0-9]{8,}\b', '{awb}', 'g'), '\b(please|kindly|can you|could you)\s*', '', 'g'), '\s+', '_', 'g'), 1, 100)")
+#: a code is a whole word of any script, so the SQL takes words apart first
+X09_SQL = r"""substr(regexp_replace(regexp_replace(array_to_string(list_transform(
+    regexp_extract_all(regexp_replace(lower(trim(t)), '\d{5,}', '{id}', 'g'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'),
+    lambda x: CASE WHEN regexp_full_match(x, '[a-z0-9]{8,}') THEN '{awb}' ELSE x END), ''),
+    '\b(please|kindly|can you|could you)\s*', '', 'g'), '\s+', '_', 'g'), 1, 100)"""
+check("x09_pattern_key", lambda: X.pattern_key(t()), X09_SQL)
 check("x10_tool_name", lambda: X.tool_name(t()), "substr(regexp_replace(t, '[^a-zA-Z0-9_]', '_', 'g'), 1, 64)")
 check("x11_questions", lambda: F.array_join(X.questions(t()), "|"), r"coalesce(nullif(array_to_string(list_filter(list_transform(string_split_regex(t, '(?i)\s+(?:and also|and|also|aur|then)\s+|[?;]\s*'), lambda x: trim(x)), lambda x: length(x) > 5)[:3], '|'), ''), t)")
 check("x12_phrases", lambda: X.translated(t()), nested("t", [(rf"(?i)\b{p}\b", X.HINGLISH[p]) for p in sorted(X.HINGLISH, key=len, reverse=True)]))
@@ -221,8 +250,17 @@ check("x17_entities", lambda: F.concat_ws("/", F.coalesce(X.entities(t())["compa
 check("x18_keyword_map", lambda: F.array_join(X.keyword_map(t(), {"order": "orders", "refund": "billing", "wallet": "billing"}), ","), "array_to_string(list_filter([CASE WHEN contains(lower(t), 'order') THEN 'orders' END, CASE WHEN contains(lower(t), 'refund') OR contains(lower(t), 'wallet') THEN 'billing' END], lambda x: x IS NOT NULL), ',')")
 check("x19_domain_case", lambda: F.when(t().rlike("(?i)order|awb"), "shipping").when(t().rlike("(?i)refund|wallet"), "billing").otherwise("other"), "CASE WHEN regexp_matches(t, '(?i)order|awb') THEN 'shipping' WHEN regexp_matches(t, '(?i)refund|wallet') THEN 'billing' ELSE 'other' END")
 check("x20_claims", lambda: F.array_join(X.claims(t()), "|"), r"array_to_string(list_filter(list_transform(string_split_regex(t, '[.!?]\s+'), lambda x: trim(x)), lambda s: regexp_matches(s, '(?i)\d|\b(is|are|was|has|will)\b')), '|')")
-check("x23_path_entity", lambda: X.path_entity(F.concat(F.lit("repo/apis/e"), F.col("id"), F.lit("/index.yaml")), "apis"), "'e' || id")
-check("x24_resource_action", lambda: X.resource_action(F.when(F.col("id") % 2 == 0, "GET").otherwise("POST"), F.concat(F.lit("/api/v1/orders/"), F.col("id"), F.lit("/cancel"))), "CASE WHEN id % 2 = 0 THEN 'cancel_get' ELSE 'cancel_create' END")
+on(
+    "x23_path_entity", "pages", "page_id", lambda: X.path_entity(F.col("url"), "en"),
+    "coalesce(CASE WHEN list_position(string_split(url, '/'), 'en') > 0 THEN string_split(url, '/')[list_position(string_split(url, '/'), 'en') + 1] END, string_split(url, '/')[-1])",
+)
+PATH = r"regexp_extract(url, '://[^/]*([^?#]*)', 1)"
+on(
+    "x24_resource_action", "pages", "page_id",
+    lambda: X.resource_action(F.when(F.contains("url", F.lit("?")), "GET").otherwise("POST"), F.regexp_extract("url", r"://[^/]*([^?#]*)", 1)),
+    f"""coalesce(list_filter(string_split({PATH}, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '^(api|v\\d+|\\{{.*\\}}|\\d+)$'))[-1], 'root')
+      || CASE WHEN contains(url, '?') THEN '_get' ELSE '_create' END""",
+)
 check("x25_prompt", lambda: X.prompt(F.lit("T"), F.split(t(), " ")), r"(SELECT 'T' || chr(10) || array_to_string(list_transform(p, lambda x, i: '[' || i || '] ' || x), chr(10)) FROM (SELECT CASE WHEN len(w) > 2 THEN w[1:1] || w[3:] || w[2:2] ELSE w END AS p FROM (SELECT string_split(t, ' ') AS w)))")
 check("x26_token_estimate", lambda: X.tokens_estimate(t()), "(length(t) // 4)")
 check("x28_identifiers", lambda: F.array_join(X.identifiers(t()), ","), r"array_to_string(regexp_extract_all(t, '\b([a-z]+_[a-z_]+|[a-z]+[A-Z][A-Za-z]+)\b', 1), ',')")
@@ -231,10 +269,22 @@ check("x30_generic", lambda: X.generic(t()), r"regexp_matches(trim(lower(t)), '^
 DAY = "DATE '2024-01-31'"
 
 
-@query("d01_date_phrases", f"WITH {M}, p AS (SELECT id, t, nullif(regexp_extract(t, '(?i)\\blast\\s+(\\d+)\\s+days?\\b', 1), '') AS n FROM m) SELECT id, CASE WHEN n IS NOT NULL THEN ({DAY} - (n::INT - 1))::VARCHAR WHEN regexp_matches(t, '(?i)\\blast\\s+week\\b') THEN '2024-01-22' WHEN regexp_matches(t, '(?i)\\bthis\\s+week\\b') THEN '2024-01-29' WHEN regexp_matches(t, '(?i)\\blast\\s+month\\b') THEN '2023-12-01' WHEN regexp_matches(t, '(?i)\\bthis\\s+month\\b') THEN '2024-01-01' WHEN regexp_matches(t, '(?i)\\byesterday\\b') THEN '2024-01-30' WHEN regexp_matches(t, '(?i)\\btoday\\b') THEN '2024-01-31' END AS first, CASE WHEN n IS NOT NULL THEN 'last ' || n || ' days' ELSE nullif(lower(regexp_extract(t, '(?i)\\b(last week|this week|last month|this month|yesterday|today)\\b', 1)), '') END AS label FROM p")
+D01_SQL = rf"""
+{TURNS}, p AS (SELECT conv_id, turn, t, nullif(regexp_extract(t, '(?i)\blast\s+(\d+)\s+days?\b', 1), '') AS n FROM c)
+SELECT conv_id, turn,
+  CASE WHEN n IS NOT NULL THEN ({DAY} - (n::INT - 1))::VARCHAR
+    WHEN regexp_matches(t, '(?i)\blast\s+week\b') THEN '2024-01-22' WHEN regexp_matches(t, '(?i)\bthis\s+week\b') THEN '2024-01-29'
+    WHEN regexp_matches(t, '(?i)\blast\s+month\b') THEN '2023-12-01' WHEN regexp_matches(t, '(?i)\bthis\s+month\b') THEN '2024-01-01'
+    WHEN regexp_matches(t, '(?i)\byesterday\b') THEN '2024-01-30' WHEN regexp_matches(t, '(?i)\btoday\b') THEN '2024-01-31' END AS first,
+  CASE WHEN n IS NOT NULL THEN 'last ' || n || ' days'
+    ELSE nullif(lower(regexp_extract(t, '(?i)\b(last week|this week|last month|this month|yesterday|today)\b', 1)), '') END AS label
+FROM p"""
+
+
+@query("d01_date_phrases", D01_SQL)
 def d01_date_phrases(spark, d):
     r = V.date_range(F.col("t"), F.to_date(F.lit("2024-01-31")))
-    return messages(spark).select("id", r["first"].alias("first"), r["label"].alias("label"))
+    return turns(spark, d).select("conv_id", "turn", r["first"].alias("first"), r["label"].alias("label"))
 
 
 @query("d02_age_buckets", with_views("SELECT CASE WHEN a <= 7 THEN 1.0 WHEN a <= 30 THEN 0.9 WHEN a <= 90 THEN 0.8 ELSE 0.7 END::DOUBLE AS weight, hour(created_at)::INT AS hour, count(*) AS n FROM (SELECT created_at, date_diff('day', created_at::DATE, DATE '2024-02-20') AS a FROM analytics) GROUP BY ALL", "analytics"))
@@ -251,10 +301,11 @@ def d03_any_date(spark, d):
     return o.select("o_orderkey", V.any_date(text).cast("string").alias("day"))
 
 
-@query("d04_time_range", "SELECT x, CAST(TIMESTAMP '2024-01-31 00:00:00' - to_hours(h) AS VARCHAR) AS since FROM (VALUES ('24h', 24), ('7d', 168), ('1h', 1)) v(x, h)")
-def d04_time_range(spark, d):
-    x = spark.createDataFrame([("24h",), ("7d",), ("1h",)], "x string")
-    return x.select("x", V.since_text(F.col("x"), F.expr("TIMESTAMP '2024-01-31 00:00:00'")).cast("string").alias("since"))
+on(
+    "d04_time_range", "events", "event_id",
+    lambda: V.since_text(F.concat(K().cast("string"), F.when(F.col("event_type") == "error", "h").otherwise("d")), F.col("ts").cast("timestamp")).cast("string"),
+    f"CAST(ts - to_hours({K_SQL}::INT * CASE WHEN event_type = 'error' THEN 1 ELSE 24 END) AS VARCHAR)",
+)
 
 
 @query("d05_expiry", with_views("SELECT event_id, epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(created_at)) > 864000 AS expired FROM analytics", "analytics"))
@@ -287,12 +338,16 @@ def m04_token_cost(spark, d):
     return V.token_cost(x, "model", "a", "b", i % 2 == 0).select("event_id", F.round("usd", 9).alias("usd"))
 
 
-check("m05_label_confidence", lambda: V.label_confidence(F.when(F.col("id") % 4 == 0, "High").when(F.col("id") % 4 == 1, "med").when(F.col("id") % 4 == 2, "low").otherwise("?")), "CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.5 END::DOUBLE")
+on(
+    "m05_label_confidence", "orders", "o_orderkey",
+    lambda: V.label_confidence(F.regexp_replace(F.substring_index("o_orderpriority", "-", -1), "MEDIUM", "Med")),
+    "CASE split_part(o_orderpriority, '-', 2) WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.6 WHEN 'LOW' THEN 0.3 ELSE 0.5 END::DOUBLE",
+)
 
 
 @query("m07_hash_embedding")
 def m07_hash_embedding(spark, d):
-    return messages(spark).select("id", V.hash_embedding(F.col("t"), 32).alias("v"))
+    return table(spark, d, "benchmark").select("item_id", V.hash_embedding(F.col("text"), 32).alias("v"))
 
 
 @query("m08_feature_hashing")
@@ -301,7 +356,11 @@ def m08_feature_hashing(spark, d):
 
 
 check("y01_arrays", lambda: F.round(V.jaccard(F.array_distinct(X.words(t())), F.array(F.lit("orders"), F.lit("show"), F.lit("last"))), 6), "round(coalesce(len(list_intersect(w(t), ['orders', 'show', 'last'])) / nullif(len(list_distinct(w(t) || ['orders', 'show', 'last'])), 0)::DOUBLE, 0), 6)".replace("w(t)", "list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9_]+'), lambda x: length(x) > 2))"))
-check("y02_map_merge", lambda: F.element_at(V.merged(F.create_map(F.lit("a"), F.col("id"), F.lit("b"), F.lit(1)), F.create_map(F.lit("a"), F.col("id") + 5)), "a"), "id + 5")
+on(
+    "y02_map_merge", "events", "event_id",
+    lambda: F.element_at(V.merged(F.create_map(F.col("event_type"), F.col("user_id").cast("long")), F.when(K() % 2 == 0, F.create_map(F.lit("error"), K()))), F.col("event_type")),
+    f"CASE WHEN event_type = 'error' AND {K_SQL} % 2 = 0 THEN {K_SQL} ELSE user_id END::BIGINT",
+)
 
 
 @query("y03_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
@@ -309,8 +368,12 @@ def y03_json(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-check("y04_checksum", lambda: V.checksum(F.col("id"), F.lit(1).alias("v")), """sha256('{"id":' || id || ',"v":1}')""")
-check("y05_idempotency", lambda: V.idempotency_key(F.lit("cancel"), F.col("id").cast("string"), F.array(F.lit("b"), F.lit("a"))), "sha256('cancel:' || id || ':a,b')")
+on("y04_checksum", "events", "event_id", lambda: V.checksum(F.col("event_id"), F.col("event_type")), """sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}')""")
+on(
+    "y05_idempotency", "events", "event_id",
+    lambda: V.idempotency_key(F.col("event_type"), F.col("user_id").cast("string"), F.array(F.col("event_type"), K().cast("string"))),
+    f"sha256(event_type || ':' || user_id || ':' || array_to_string(list_sort([event_type, {K_SQL}::VARCHAR]), ','))",
+)
 
 
 @query("y06_state_machine", "WITH l AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) SELECT o_orderkey, before, o_orderstatus FROM l WHERE before IS NOT NULL AND NOT ((before = 'O' AND o_orderstatus IN ('P', 'F')) OR (before = 'P' AND o_orderstatus = 'F'))")

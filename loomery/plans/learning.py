@@ -285,9 +285,15 @@ def l19_breaker(spark, d):
     return L.breaker(view(spark, d, "analytics"), "user_id", ["created_at", "event_id"], F.col("intent").isin("error", "view")).filter("open").select("event_id")
 
 
-@query("l20_retry", "SELECT x, CASE x WHEN 'Timeout 503' THEN 'retry' WHEN 'rate limit' THEN 'backoff' WHEN '401 auth' THEN 'abort' ELSE 'report' END AS policy FROM (VALUES ('Timeout 503'), ('rate limit'), ('401 auth'), ('odd')) v(x)")
+L20_SQL = """
+SELECT event_id, CASE WHEN x LIKE '%503' THEN 'retry' WHEN x LIKE '%429' THEN 'backoff' WHEN x LIKE '%401' OR x LIKE '%403' THEN 'abort' ELSE 'report' END AS policy
+FROM (SELECT event_id, event_type || ' ' || (401 + json_extract(props, '$.k')::BIGINT % 103) AS x FROM events)"""
+
+
+@query("l20_retry", L20_SQL)
 def l20_retry(spark, d):
-    return spark.createDataFrame([("Timeout 503",), ("rate limit",), ("401 auth",), ("odd",)], "x string").select("x", L.retry_policy(F.col("x")).alias("policy"))
+    code = 401 + F.get_json_object("props", "$.k").cast("long") % 103
+    return table(spark, d, "events").select("event_id", L.retry_policy(F.concat_ws(" ", "event_type", code)).alias("policy"))
 
 
 @query("l23_wave_trace")

@@ -8,7 +8,7 @@ from loomery.catalog import query
 from loomery.operators import orchestration as O
 from loomery.operators import retrieval as H
 from loomery.operators.graph import build, strengthen
-from loomery.plans.functions import M, check, messages
+from loomery.plans.functions import TURNS, check, on, turns
 from loomery.plans.relational import SQL_TOKENS
 from loomery.plans.views import raw_edges, view, with_graph, with_views
 from loomery.session import table
@@ -84,7 +84,13 @@ def o04_evaluation(spark, d):
 
 
 ROLES, RISKS = list(O.ROLE), list(O.RISK)
-check("o05_approval", lambda: O.approval(F.element_at(F.array(*map(F.lit, ROLES)), (F.col("id") % 5 + 1).cast("int")), F.element_at(F.array(*map(F.lit, RISKS)), (F.col("id") % 4 + 1).cast("int"))), "CASE WHEN id % 5 = 1 THEN 'manual' WHEN id % 5 >= id % 4 + 1 THEN 'auto' ELSE 'manual' END")
+LEVEL = "least(3, greatest(0, floor(c_acctbal / 2500)))"
+on(
+    "o05_approval", "customer", "c_custkey",
+    lambda: O.approval(F.element_at(F.array(*map(F.lit, ROLES)), (F.col("c_nationkey") % 5 + 1).cast("int")),
+                       F.element_at(F.array(*map(F.lit, RISKS)), (F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.col("c_acctbal") / 2500))) + 1).cast("int"))),
+    f"CASE WHEN c_nationkey % 5 = 1 THEN 'manual' WHEN c_nationkey % 5 >= {LEVEL} + 1 THEN 'auto' ELSE 'manual' END",
+)
 
 
 @query("o07_kb_paths", "SELECT p AS path, split_part(p, 'kb/', -1) AS relative FROM (SELECT 'repo/kb/' || source || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.yaml' ELSE '.md' END AS p FROM documents) WHERE p LIKE '%.yaml'")
@@ -105,7 +111,11 @@ def o10_process(spark, d):
     return O.process_position(table(spark, d, "orders"), "o_orderkey", "o_orderstatus", s)
 
 
-check("o10_remaining", lambda: O.remaining_days(F.when(F.col("id") % 3 == 0, F.concat(F.col("id"), F.lit(" days"))).when(F.col("id") % 3 == 1, "12-36 hours")), "CASE id % 3 WHEN 0 THEN id::DOUBLE WHEN 1 THEN 1.0 END")
+on(
+    "o10_remaining", "orders", "o_orderkey",
+    lambda: O.remaining_days(F.when(F.col("o_orderstatus") == "O", F.concat((F.col("o_orderkey") % 90).cast("string"), F.lit(" days"))).when(F.col("o_orderstatus") == "P", "12-36 hours")),
+    "CASE o_orderstatus WHEN 'O' THEN (o_orderkey % 90)::DOUBLE WHEN 'P' THEN 1.0 END",
+)
 AGENTS = {"orders": ["order", "cancel", "awb"], "money": ["refund", "wallet", "paisa"], "account": ["account", "company"]}
 COUNT = {a: " + ".join(f"contains(lower(t), '{w}')::INT" for w in ws) for a, ws in AGENTS.items()}
 TOP = f"greatest({', '.join(COUNT.values())})"
@@ -200,12 +210,12 @@ def k22_tiers(spark, d):
 check("gr21_echo", lambda: O.echo(F.concat(F.lit("x "), F.col("t"), F.when(F.col("id") % 2 == 0, "</trusted>").otherwise("")), F.col("t")), "id % 2 = 0 OR (length(t) >= 50 AND contains('x ' || t, substr(t, 1, 50)))")
 
 
-@query("e03_guard_registry", f"WITH {M} SELECT id, CASE WHEN contains(t, 'cancel') THEN 'cancel' WHEN contains(t, 'order') THEN 'order' ELSE 'ALLOW' END AS r FROM m")
+@query("e03_guard_registry", f"{TURNS} SELECT conv_id, turn, CASE WHEN contains(t, 'cancel') THEN 'cancel' WHEN contains(t, 'order') THEN 'order' ELSE 'ALLOW' END AS r FROM c")
 def e03_guard_registry(spark, d):
     g = O.Registry()
     g.add("cancel", lambda c: F.contains(c, F.lit("cancel")))
     g.add("order", lambda c: F.contains(c, F.lit("order")))
-    return messages(spark).select("id", g.guards(F.col("t")).alias("r"))
+    return turns(spark, d).select("conv_id", "turn", g.guards(F.col("t")).alias("r"))
 
 
 @query("e07_table_function", "SELECT doc_id, count(*) AS chunks FROM (SELECT doc_id, unnest(range(0, (greatest(1, length(text)) + 999) // 1000)) FROM documents) GROUP BY 1")
