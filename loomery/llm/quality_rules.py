@@ -99,11 +99,11 @@ def fits(deviations: float = DEVIATIONS) -> Column:
     return reduce(Column.__and__, inside)
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), least: int = 100, tail: float = TAIL, deviations: float = DEVIATIONS) -> DataFrame:
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), prior: int = 100, tail: float = TAIL, deviations: float = DEVIATIONS) -> DataFrame:
     """doc_id, counts, base_failed and kept for each row of docs.
 
-    Quantiles come from the row's own group if at least `least` texts passed the fixed rules there, else from the next coarser
-    one (all groups share the coarsest); up to a share `tail` of junk in a group moves no fence. Null texts count as empty and
+    Quantiles of a group are weighed against those of the next coarser one (all groups share the coarsest): by the number of
+    texts that passed the fixed rules there, which counts as much as the coarser group at `prior` texts; so no count is a step. Up to a share `tail` of junk in a group moves no fence. Null texts count as empty and
     fail; a null language or source is a group of its own; repeated rows return repeated rows; with no text left to learn from
     only the fixed rules speak; an empty table returns no rows; other columns are ignored.
     """
@@ -111,12 +111,16 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
     depth = len(groups)
     found = quantiles(rows, depth, tail)
     bound = found[0].select(*[f"by_{j}" for j in range(depth)])
-    for i, own in enumerate(found[:-1]):
-        other = own.select(*[F.col(f"by_{j}").alias(f"on_{j}") for j in range(depth - i)], F.when(F.col("n") >= least, F.col("q")).alias(f"own_{i}"))
-        bound = bound.join(other, reduce(Column.__and__, [F.col(f"by_{j}").eqNullSafe(F.col(f"on_{j}")) for j in range(depth - i)]), "left").drop(*[f"on_{j}" for j in range(depth - i)])
     whole = found[-1].first()  # one row: the quantiles of all groups together
-    every = F.struct(*[F.lit(whole["q"][m] if whole else None).cast("array<double>").alias(m) for m in SKETCHED])
-    bound = bound.select(*[F.col(f"by_{j}").alias(f"to_{j}") for j in range(depth)], F.coalesce(*[f"own_{i}" for i in range(depth)], every).alias("q"))
+    bound = bound.withColumn("q", F.struct(*[F.lit(whole["q"][m] if whole else None).cast("array<double>").alias(m) for m in SKETCHED]))
+    for d in range(1, depth + 1):  # from coarse to fine
+        on = [F.col(f"by_{j}").alias(f"on_{j}") for j in range(d)]
+        own = found[depth - d].filter("n > 0").select(*on, F.col("n").alias("own_n"), F.col("q").alias("own_q"))
+        same = reduce(Column.__and__, [F.col(f"by_{j}").eqNullSafe(F.col(f"on_{j}")) for j in range(d)])
+        weighed = lambda m: F.zip_with(f"own_q.{m}", f"q.{m}", lambda x, y: (F.col("own_n") * x + prior * y) / (F.col("own_n") + prior)).alias(m)
+        q = F.when(F.col("own_n").isNull(), F.col("q")).otherwise(F.struct(*map(weighed, SKETCHED)))
+        bound = bound.join(own, same, "left").withColumn("q", q).select(*[f"by_{j}" for j in range(depth)], "q")
+    bound = bound.select(*[F.col(f"by_{j}").alias(f"to_{j}") for j in range(depth)], "q")
     judged = rows.join(bound, reduce(Column.__and__, [F.col(f"by_{j}").eqNullSafe(F.col(f"to_{j}")) for j in range(depth)]), "left")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & F.coalesce(fits(deviations), F.lit(True))).alias("kept"))

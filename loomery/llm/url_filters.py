@@ -115,9 +115,10 @@ def parsed(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFram
     return pages.select(F.col(key).alias("page_id"), rest.alias("rest")).select("page_id", host.alias("host"), F.regexp_extract("rest", r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"))
 
 
-def _keys(lengths: list[int]) -> Column:
-    """Every host suffix with every path prefix of those lengths, longest first."""
-    labels = F.split("host", r"\.")
+def _keys(lengths: list[int], deepest: int) -> Column:
+    """Every host suffix of at most so many labels with every path prefix of those lengths, longest first: no rule is deeper, so
+    a host of any length costs no more than its end."""
+    labels = F.split(F.substring_index("host", ".", -deepest), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
     every = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
@@ -146,11 +147,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_
     rules: (host and path prefix, allow or block), for a host and its subdomains; the longest fitting rule wins. Blocked and
     allowed prefixes are one cascade each over every prefix any url of the table could match, so no url is joined with a list
     and no list travels; a url that neither cascade lists gets the default. Null urls and urls without :// have an empty host and path and no rule; repeated rows
-    return repeated rows; an empty table returns no rows; other columns are ignored.
+    return repeated rows; urls and hosts of any length cost what their length does; an empty table returns no rows; other columns are ignored.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(r) - r.index("/") for r, _ in rules})
-    rows = parsed(pages, key, url).withColumn("keys", _keys(lengths) if lengths else F.array().cast("array<string>"))
+    lengths, deepest = sorted({len(r) - r.index("/") for r, _ in rules}), max((r[: r.index("/")].count(".") + 1 for r, _ in rules), default=1)
+    rows = parsed(pages, key, url).withColumn("keys", _keys(lengths, deepest) if lengths else F.array().cast("array<string>"))
     universe = hashed_keys(rows.select(F.explode("keys").alias("key")))
     listed = {side: spark.createDataFrame([(r,) for r, v in rules if v == side], "key string") for side in ("block", "allow")}
     block, allow = (build_cascade(listed[side], universe, bits_per_key) for side in ("block", "allow"))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomery.llm import embedding_dedup, gray_index, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, url_filters
+from loomery.llm import embedding_dedup, gray_index, language_id, lm_scoring, mixing, near_copies, packing, pii, quality_classifier, quality_rules, simhash, url_filters
 from loomery.llm.common import held_out
 from loomery.llm.tokens import Encoder
 
@@ -188,6 +188,19 @@ def test_dedup_stage_on_repeated_and_null_ids_and_clashing_names(spark):
     assert simhash.dedup_stage(spark, df.limit(0), "").collect() == []
 
 
+def test_short_texts_at_the_least_similarity_are_linked(spark):
+    """8 words against the same with one more: 4 of 5 shingles, whose fingerprints often differ in many bits."""
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows = []
+    for i in range(3000):
+        w = [word() for _ in range(9)]
+        rows += [(2 * i, " ".join(w[:8])), (2 * i + 1, " ".join(w))]
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    component = {r.doc_id: r.component for r in found}
+    assert all(component[2 * i] == component[2 * i + 1] for i in range(3000)) and len(set(component.values())) == 3000
+
+
 def test_crowds_of_near_copies_are_cut_without_loss(spark, monkeypatch):
     from loomery.llm import near_copies
 
@@ -557,24 +570,32 @@ def test_quality_rules_equal_exact_quantiles(spark):
             w = [y for x in w for y in (x, x)]
         texts.append((i, " ".join(w) + ("\nsame line of words\nsame line of words" if i % 7 == 0 else ""), ("en", None)[i % 2], ("a", "b")[i % 20 == 2]))
     df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").repartition(3)
-    got = {r.doc_id: r for r in quality_rules.quality_rules(df, least=60).collect()}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df, prior=60).collect()}
     figures = {}
     for i, t, *_ in texts:
         w, lines = words(t), t.split("\n")
         n, chars = len(w), sum(map(len, w))
         figures[i] = {"symbol_ratio": (sum(c in "#*$%&|<>" for c in t) / chars, chars), "dup_line_ratio": ((len(lines) - len(set(lines))) / len(lines), len(lines)), "repeat_ratio": (got[i].n_repeat_words / n, n / 8), "stutter_ratio": (sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, n), "mean": chars / n, "n": n}
-    group = lambda r: next(g for g in ((r[2], r[3]), (r[2],), ()) if g == () or sum(x[2:][: len(g)] == g and not got[x[0]].base_failed for x in texts) >= 60)
+    levels = lambda r: ((), (r[2],), (r[2], r[3]))
     quantile = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
     rejected = 0
     for r in texts:
-        g, own = group(r), figures[r[0]]
-        like = [figures[x[0]] for x in texts if x[2:][: len(g)] == g and not got[x[0]].base_failed]
-        fit = True
+        own, fit = figures[r[0]], True
+        like = [[figures[x[0]] for x in texts if x[2:][: len(g)] == g and not got[x[0]].base_failed] for g in levels(r)]
+
+        def fence(of, q, like=like):
+            found = 0.0
+            for i, group in enumerate(like):
+                if group:
+                    here = quantile([of(f) for f in group], q)
+                    found = (len(group) * here + 60 * found) / (len(group) + 60) if i else here
+            return found
+
         for m in quality_rules.UNITS:
-            p, n = quantile([f[m][0] for f in like], 0.85), max(1.0, own[m][1])
+            p, n = fence(lambda f, m=m: f[m][0], 0.85), max(1.0, own[m][1])
             fit &= own[m][0] <= p + 3 * math.sqrt(p * (1 - p) / n) + 9 / n
-        low, middle, high = (quantile([f["mean"] for f in like], q) for q in (0.15, 0.5, 0.85))
-        wide = 3 * math.sqrt(max(1, quantile([f["n"] for f in like], 0.5) / own["n"]))
+        low, middle, high = (fence(lambda f: f["mean"], q) for q in (0.15, 0.5, 0.85))
+        wide = 3 * math.sqrt(max(1, math.expm1(fence(lambda f: math.log1p(f["n"]), 0.5)) / own["n"]))
         fit &= low - wide * (middle - low) <= own["mean"] <= high + wide * (high - middle)
         assert got[r[0]].kept == (fit and not got[r[0]].base_failed), r
         rejected += not fit
@@ -594,6 +615,26 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(df.limit(0), url_filters.RULES).collect() == []
 
 
+def test_quality_fences_have_no_step(spark):
+    """One text more in a group moves its fences a little, at any size; a group of none has those of the coarser one."""
+    text = " ".join(f"word{i}" for i in range(40))
+    body = [(i, text + " #" * (i % 3), "en", "a") for i in range(300)]
+    last = None
+    for n in (0, 1, 20, 60, 99, 100, 101, 200):
+        few = [(1000 + i, text + " #####" * 4, "fr", "b") for i in range(n)] + [(5000, text + " #####" * 4, "fr", "b")]
+        kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(body + few, "doc_id long, text string, lang string, source string")).collect()}[5000]
+        assert last is None or kept >= last
+        last = kept
+    assert last
+
+
+def test_url_filters_on_long_hosts(spark):
+    host = "a." * 20_000
+    rows = [(0, f"http://{host}example.org/es/x"), (1, f"http://{host}com/de/" + "y" * 50_000), (2, f"http://{'b' * 50_000}.net/"), (3, "http://" + "." * 20_000 + "/en/1")]
+    got = {r.page_id: (r.rule, r.verdict, r.host) for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filters.RULES).collect()}
+    assert got[0] == ("example.org/es/", "block", host + "example.org") and got[1][:2] == ("com/de/", "block") and got[2][:2] == got[3][:2] == (None, "allow")
+
+
 def test_cascade_is_exact(spark):
     listed = spark.range(3000).selectExpr("concat('k', id * 7) as key")
     universe = spark.range(20000).selectExpr("concat('k', id) as key")
