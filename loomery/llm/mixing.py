@@ -57,7 +57,7 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXAC
             n = min(int(counts[i] - taken[i]), (rest - exact) // int(lengths[i]))
             taken[i] += n
             rest -= n * int(lengths[i])
-    return taken + subset_sum(lengths, counts - taken, min(rest, max(exact, int(lengths.max()))))
+    return taken + subset_sum(lengths, counts - taken, rest)  # less than exact + the longest: of some length not all were taken
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
