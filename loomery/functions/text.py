@@ -22,6 +22,19 @@ def plain_words(text: Column, stop: list[str] = STOP) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", ""), r"\s+"), lambda x: (x != "") & ~x.isin(stop))
 
 
+# Words that say nothing in a question or an answer of the knowledge base.
+FAQ_STOP = (
+    "a an the is are was were be been being have has had do does did will would could should may might shall can to of in for on with at by from as into through during before "
+    "after above below and but or nor not so yet both either neither each every all any few more most other some such no only same than too very just because if when where how "
+    "what which who whom this that these those i me my we our you your he him his she her it its they them their"
+).split()
+
+
+def faq_words(text: Column) -> Column:
+    """Words of letters and digits, without the stop words of questions, repeats kept."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda x: (x != "") & ~x.isin(FAQ_STOP))
+
+
 def word_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z0-9_]+"), 0)))
 

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.text import words
+from loomery.operators import lexical as index
 from loomery.operators.joins import contains_text
 from loomery.operators.ranking import LEG_WEIGHTS, budget_prefix, fuse
-from loomery.session import materialize
+from loomery.session import materialize, written
 
 #: legs by name; a caller may add its own: (queries, documents, edges, k) -> query_id, node_id, rank
 LEGS: dict[str, Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame]] = {}
+#: legs that start from the documents with most of a query's words; within one retrieval they share them as `best`
+SEEDED = {"lexical", "pagerank", "neighbourhood"}
+SEEDS = 3
 
 
 def leg(name: str):
@@ -36,33 +40,38 @@ def exact(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int) ->
     return ranked(found.select("query_id", "node_id", F.lit(1.0).alias("score")).distinct(), k)
 
 
-def overlap(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """query_id, node_id, score: share of the query's words a document has. Words meet by equi-join; a query brings each once."""
-    q = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("w")).select("query_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    d = documents.select(F.col("id").alias("node_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("t"))
-    return d.join(q, "t").groupBy("query_id", "node_id").agg((F.count("*") / F.first("n")).alias("score"))
+def overlap(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """query_id, node_id, rank: the documents with the largest share of a query's words, by an inverted index that reads no more of its
+    lists than the k-th share asks for."""
+    tokens = lambda df, key, text: df.select(F.col(key), words(F.col(text)).alias("tokens"))
+    asked = index.overlap_queries(tokens(queries, "query_id", "query"), "query_id")
+    found = index.Search(index.overlap_index(tokens(documents, "id", "text"), "id"), asked, k, digits=9).found
+    return written(found.select(F.col("query").alias("query_id"), F.col("item").alias("node_id"), "rank"))
 
 
 @leg("lexical")
-def lexical(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    return ranked(overlap(queries, documents), k)
+def lexical(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, best: DataFrame | None = None) -> DataFrame:
+    best = overlap(queries, documents, k) if best is None else best
+    return best.filter(F.col("rank") <= k)
 
 
 @leg("vector")
 def vector(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, dim: int = 4096) -> DataFrame:
-    """Cosine of hashed term vectors, as a sparse join on slots."""
+    """Cosine of hashed term vectors."""
 
     def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
-        n = df.select(F.col(key).alias("k"), F.explode(words(F.col(text))).alias("t")).groupBy("k", F.pmod(F.xxhash64("t"), F.lit(dim)).alias("slot")).agg(F.count("*").alias("n"))
-        return n.withColumn("w", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("k"))))
+        rows = index.counted(df.select(F.col(key), words(F.col(text)).alias("tokens")), key)
+        n = index.exploded(rows, "counts").groupBy("item", F.pmod("term", F.lit(dim)).alias("term")).agg(F.sum("value").alias("n"))
+        return n.select("item", "term", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item")))).alias("impact"))
 
-    a = hashed(queries, "query_id", "query").select(F.col("k").alias("query_id"), "slot", "w")
-    b = hashed(documents, "id", "text").select(F.col("k").alias("node_id"), "slot", F.col("w").alias("v"))
-    return ranked(b.join(a, "slot").groupBy("query_id", "node_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score")), k)
+    asked = hashed(queries, "query_id", "query").select(F.col("item").alias("query"), "term", F.col("impact").alias("weight"), F.lit(0.0).alias("extra"))
+    found = index.Search(index.build(hashed(documents, "id", "text")), asked, k, digits=9).found
+    return found.select(F.col("query").alias("query_id"), F.col("item").alias("node_id"), "rank")
 
 
-def seeds(queries: DataFrame, documents: DataFrame, n: int = 3) -> DataFrame:
-    return ranked(overlap(queries, documents), n).select("query_id", "node_id")
+def seeds(queries: DataFrame, documents: DataFrame, n: int = SEEDS, best: DataFrame | None = None) -> DataFrame:
+    best = overlap(queries, documents, n) if best is None else best
+    return best.filter(F.col("rank") <= n).select("query_id", "node_id")
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -87,16 +96,16 @@ def spread(start: DataFrame, edges: DataFrame, rounds: int, damping: float, keep
 
 
 @leg("pagerank")
-def pagerank(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, rounds: int = 4, damping: float = 0.15) -> DataFrame:
-    start = materialize(seeds(queries, documents))
+def pagerank(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, rounds: int = 4, damping: float = 0.15, best: DataFrame | None = None) -> DataFrame:
+    start = materialize(seeds(queries, documents, best=best))
     walked = spread(start, edges, rounds, damping).join(start, ["query_id", "node_id"], "left_anti")
     return ranked(walked.join(documents.select(F.col("id").alias("node_id")), "node_id", "left_semi"), k)
 
 
 @leg("neighbourhood")
-def neighbourhood(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+def neighbourhood(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, best: DataFrame | None = None) -> DataFrame:
     """Documents two links from the seeds, those with most ways first."""
-    start, links = seeds(queries, documents), _links(edges)
+    start, links = seeds(queries, documents, best=best), _links(edges)
     one = start.join(links, F.col("node_id") == F.col("a")).select("query_id", F.col("b").alias("m")).distinct()
     two = one.join(links, F.col("m") == F.col("a")).groupBy("query_id", F.col("b").alias("node_id")).agg(F.count("*").alias("score"))
     return ranked(two.join(documents.select(F.col("id").alias("node_id")), "node_id", "left_semi").join(start, ["query_id", "node_id"], "left_anti"), k)
@@ -105,9 +114,11 @@ def neighbourhood(queries: DataFrame, documents: DataFrame, edges: DataFrame, k:
 def retrieve(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int = 10, legs: list[str] | None = None, budget: int | None = None) -> DataFrame:
     """query_id, node_id, score, legs, position (and used tokens, within the budget) for queries(query_id, query),
     documents(id, text) and edges(source_id, target_id, weight)."""
-    long = None
-    for name in legs or LEG_WEIGHTS:
-        part = LEGS[name](queries, documents, edges, k).select("query_id", F.lit(name).alias("leg"), "node_id", "rank")
+    names, long = list(legs or LEG_WEIGHTS), None
+    best = overlap(queries, documents, max(k, SEEDS)) if SEEDED & set(names) else None
+    for name in names:
+        more = {"best": best} if name in SEEDED else {}
+        part = LEGS[name](queries, documents, edges, k, **more).select("query_id", F.lit(name).alias("leg"), "node_id", "rank")
         long = part if long is None else long.unionByName(part)
     out = fuse(long, k)
     if budget is None:

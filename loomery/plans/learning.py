@@ -10,6 +10,7 @@ from loomery.operators import aggregates as A
 from loomery.operators import graph as G
 from loomery.operators import joins as J
 from loomery.operators import learning as L
+from loomery.operators import lexical as I
 from loomery.operators import ranking as K
 from loomery.operators.components import connected_components
 from loomery.plans.views import edges, nodes, raw_edges, view, with_graph, with_views
@@ -151,6 +152,38 @@ def w03_strengthen(spark, d):
     return edges(spark, d)
 
 
+K05_SQL = rf"""
+WITH td AS (SELECT doc_id AS id, source AS c, unnest(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+')) AS t FROM documents),
+tq AS (SELECT item_id AS id, unnest(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+')) AS t FROM benchmark),
+d AS (SELECT id, c, t, count(*) AS tf FROM td WHERE t <> '' AND t NOT IN {tuple(X.FAQ_STOP)} GROUP BY ALL),
+q AS (
+  SELECT id, 'src' || ((id + j) % 5) AS c, t, count(*) AS tf FROM tq, (VALUES (0), (1), (2)) v(j)
+  WHERE t <> '' AND t NOT IN {tuple(X.FAQ_STOP)} GROUP BY ALL),
+n AS (SELECT source AS c, count(*) AS n FROM documents GROUP BY 1),
+df AS (SELECT c, t, count(*) AS df FROM d GROUP BY ALL),
+qi AS (SELECT q.*, ln((n.n + 1) / (coalesce(df.df, 0) + 1)::DOUBLE) + 1 AS idf FROM q JOIN n USING (c) LEFT JOIN df USING (c, t)),
+ql AS (SELECT id, c, sqrt(sum(tf * tf * idf * idf)) AS length FROM qi GROUP BY ALL),
+dl AS (SELECT id, sum(tf * tf) AS square FROM d GROUP BY 1),
+s AS (
+  SELECT qi.id AS question, qi.c, d.id AS doc,
+    round(sum(qi.tf * d.tf * qi.idf * qi.idf) / (any_value(ql.length) * sqrt(any_value(dl.square) + sum(d.tf * d.tf * (qi.idf * qi.idf - 1)))), 6) AS score
+  FROM qi JOIN d USING (c, t) JOIN ql ON ql.id = qi.id AND ql.c = qi.c JOIN dl ON dl.id = d.id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY question, c ORDER BY score DESC, doc) AS r FROM s WHERE score > 0)
+SELECT question, doc, score, rank FROM (
+  SELECT question, doc, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, doc) AS rank FROM r WHERE r <= 3) WHERE rank <= 5"""
+
+
+@query("k05_faq", K05_SQL, ints=("rank",))
+def k05_faq(spark, d):
+    """The three best answers of each of a question's categories, then the five best of those."""
+    faq = X.faq_words(F.col("text")).alias("tokens")
+    index, idf, sizes = I.faq_index(table(spark, d, "documents").select("doc_id", "source", faq), "doc_id", "source")
+    asked = table(spark, d, "benchmark")
+    wanted = asked.select(F.col("item_id").alias("item"), F.explode(F.array(*[F.concat(F.lit("src"), (F.col("item_id") + j) % 5) for j in range(3)])).alias("category"))
+    queries = I.faq_queries(asked.select("item_id", faq), "item_id", wanted, idf, sizes)
+    return I.best_of_categories(I.Search(index, queries, 3, I.faq_score).found, 5)
+
+
 @query("k05_category_top", "WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), t AS (SELECT * FROM r WHERE r <= 3) SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM t ORDER BY 2 LIMIT 5", ints=("position",))
 def k05_category_top(spark, d):
     top = K.top_per(table(spark, d, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 3)

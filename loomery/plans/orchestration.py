@@ -8,6 +8,7 @@ from loomery.catalog import query
 from loomery.operators import orchestration as O
 from loomery.operators import retrieval as H
 from loomery.operators.graph import build, strengthen
+from loomery.operators.joins import contains_text
 from loomery.plans.functions import TURNS, check, on, turns
 from loomery.plans.relational import SQL_TOKENS
 from loomery.plans.views import raw_edges, view, with_graph, with_views
@@ -52,12 +53,20 @@ def h05_neighbourhood_leg(spark, d):
     return H.neighbourhood(*corpus(spark, d), 10)
 
 
-@query("h06_recall", "WITH s AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS answerable, count(*)::INTEGER AS found FROM s")
+H06_SQL = f"""
+WITH {Q}, t AS (SELECT DISTINCT item_id AS query_id, 'doc:' || doc_id AS node_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+f AS (SELECT t.query_id, min(r.rank) AS first FROM t LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r USING (query_id, node_id) GROUP BY 1)
+SELECT count(*) AS answerable, count(first) AS found, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f"""
+
+
+@query("h06_recall", H06_SQL)
 def h06_recall(spark, d):
+    """How well the lexical leg finds the documents that hold a question whole: all of them are right answers."""
     q, docs, e = corpus(spark, d)
-    right = H.exact(q, docs, e, 1000).select("query_id", "node_id")
-    hit = H.retrieve(q, docs, e, 10, ["exact", "lexical", "vector"]).join(right, ["query_id", "node_id"], "left_semi")
-    return right.agg(F.countDistinct("query_id").alias("answerable")).withColumn("found", F.lit(hit.select("query_id").distinct().count()))
+    right = contains_text(docs.select(F.col("id").alias("node_id"), "text"), "text", q.select("query_id", F.col("query").alias("needle")), "needle").select("query_id", "node_id").distinct()
+    first = right.join(H.lexical(q, docs, e, 10), ["query_id", "node_id"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0))), 6)
+    return first.agg(F.count("*").alias("answerable"), F.count("first").alias("found"), share((F.col("first") <= 5).cast("int")).alias("recall_at_5"), share(1 / F.col("first")).alias("mrr"))
 
 
 @query("o01_scoped", with_views("WITH h AS (SELECT user_id, event_id % 40 AS item, confidence, (intent = 'error') AS s FROM analytics), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY s DESC, confidence DESC) AS n FROM h) WHERE n = 1), c AS (SELECT *, count_if(s) OVER (PARTITION BY user_id) AS have FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, item) AS position FROM c WHERE s OR have < 3) SELECT user_id, item, position FROM r WHERE position <= 3", "analytics"), ints=("position",))
