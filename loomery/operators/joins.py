@@ -152,22 +152,3 @@ def last_of_array(df: DataFrame, key: str, array: str, n: int, lookup: DataFrame
     """key and lookup row for each of the last n items of an array."""
     tail = F.slice(array, F.greatest(F.lit(1), F.size(array) - (n - 1)), n)
     return df.filter(F.size(array) > 0).select(key, F.explode(tail).alias(value)).join(lookup, value)
-
-
-def similar(queries: DataFrame, corpus: DataFrame, k: int | None, query: str = "query_id", item: str = "vec_id", vector: str = "embedding", at_least: float | None = None, blocks: int = 16) -> DataFrame:
-    """query, item, similarity, rank: the k most similar corpus vectors of a stated set of queries.
-
-    The queries are copied to `blocks` blocks of the corpus; each block keeps its own k best by a partial top-k before the
-    blocks of a query meet, so no more than k x blocks rows a query are shuffled to the last step.
-    Without k every match at `at_least` or more is returned, unranked.
-    """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select(F.col(query), F.col(vector).alias("_q"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_qn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    c = corpus.select(F.col(item), F.col(vector).alias("_c"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_cn"), F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("_b"))
-    scored = q.join(c, "_b").select(query, item, "_b", F.when(F.col("_qn") * F.col("_cn") > 0, dot(F.col("_q"), F.col("_c")) / (F.col("_qn") * F.col("_cn"))).alias("similarity")).filter(F.col("similarity").isNotNull())
-    if at_least is not None:
-        scored = scored.filter(F.col("similarity") >= at_least)
-    if k is None:
-        return scored.drop("_b")
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query, "_b").orderBy(F.desc("similarity"), item))).filter(F.col("rank") <= k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("similarity"), item))).filter(F.col("rank") <= k).drop("_b")

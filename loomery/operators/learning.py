@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.operators.folds import clamped
+
 
 def auto_actions(confidence: Column, tools: Column, feedback: Column) -> Column:
     """Actions a trace asks for: add knowledge (< .5), clarify (.5 to .65), fix routing (no tool), review (rated 2 or less)."""
@@ -20,19 +22,18 @@ def routed(df: DataFrame, actions: str, item: str, most: int = 50) -> DataFrame:
     return n.join(first.groupBy("action").agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("items")), "action")
 
 
+#: fixed values: hundredths of trust that praise adds and blame takes, and under which trust a blamed key is of low quality
+PRAISE, BLAME, LOW = 2, 5, 20
+
+
 def trust(df: DataFrame, key: str, order: list[str], positive: Column, start: float = 0.5) -> DataFrame:
     """key, trust, low_quality after the key's feedback in order: -.05 not below 0 (flag under .2), +.02 not above 1 (clears).
 
-    Clamping makes order matter, so each key's events are folded in order.
+    Clamping makes order matter; steps are counted in hundredths, so the result is exact and the same however rows are dealt.
     """
-    steps = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, positive.alias("_up")))).alias("e"))
-    zero = F.struct(F.lit(start).alias("t"), F.lit(False).alias("f"))
-
-    def step(acc, e):
-        up, down = F.least(F.lit(1.0), F.round(acc["t"] + 0.02, 6)), F.greatest(F.lit(0.0), F.round(acc["t"] - 0.05, 6))
-        return F.when(e["_up"], F.struct(up.alias("t"), F.lit(False).alias("f"))).otherwise(F.struct(down.alias("t"), (down < 0.2).alias("f")))
-
-    return steps.withColumn("r", F.aggregate("e", zero, step)).select(key, F.round("r.t", 4).alias("trust"), F.col("r.f").alias("low_quality"))
+    add = F.when(positive, PRAISE).otherwise(-BLAME)
+    got = clamped(df, key, order, add, F.lit(0), F.lit(100), 100 * start)
+    return got.select(key, (F.col("value") / 100).alias("trust"), ((F.col("last") < 0) & (F.col("value") < LOW)).alias("low_quality"))
 
 
 def weakest(df: DataFrame, keys: list[str], confidence: str, below: float, per: int, tie: str) -> DataFrame:

@@ -12,6 +12,7 @@ from loomery.operators import joins as J
 from loomery.operators import learning as L
 from loomery.operators import lexical as I
 from loomery.operators import ranking as K
+from loomery.operators import vectors as V
 from loomery.operators.components import connected_components
 from loomery.plans.views import edges, nodes, raw_edges, view, with_graph, with_views
 from loomery.session import table
@@ -223,7 +224,17 @@ def l02_routed(spark, d):
     return L.routed(actions(spark, d), "actions", "event_id")
 
 
-@query("l03_trust")
+L03_SQL = "WITH RECURSIVE" + with_views("""
+WITH o AS (SELECT session_id, rating >= 4 AS up, row_number() OVER (PARTITION BY session_id ORDER BY created_at, feedback_id) AS i FROM feedback),
+f AS (
+  SELECT session_id, i, CASE WHEN up THEN least(100, 52) ELSE 45 END AS v, up FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.session_id, o.i, CASE WHEN o.up THEN least(100, f.v + 2) ELSE greatest(0, f.v - 5) END, o.up
+  FROM f JOIN o ON o.session_id = f.session_id AND o.i = f.i + 1)
+SELECT session_id, max_by(v, i) / 100.0::DOUBLE AS trust, NOT max_by(up, i) AND max_by(v, i) < 20 AS low_quality FROM f GROUP BY 1""", "feedback")[4:]
+
+
+@query("l03_trust", L03_SQL)
 def l03_trust(spark, d):
     return L.trust(view(spark, d, "feedback"), "session_id", ["created_at", "feedback_id"], F.col("rating") >= 4)
 
@@ -249,13 +260,31 @@ def l07_insights(spark, d):
     return L.insights(view(spark, d, "analytics"), "user_id", "intent", "confidence")
 
 
-@query("l08_cache_levels", "WITH q AS (SELECT doc_id, md5(text) AS h, lang, source FROM documents WHERE doc_id % 10 = 3), e AS (SELECT h, min(doc_id) AS a1 FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 10 <> 3) GROUP BY 1), i AS (SELECT lang, source, min(doc_id) AS a2 FROM documents WHERE doc_id % 10 = 4 GROUP BY ALL) SELECT doc_id, CASE WHEN a1 IS NOT NULL THEN 'exact' WHEN a2 IS NOT NULL THEN 'intent' WHEN doc_id % 4 = 3 THEN 'similar' ELSE 'miss' END AS level, coalesce(a1, a2, CASE WHEN doc_id % 4 = 3 THEN 0 END) AS answer FROM q LEFT JOIN e USING (h) LEFT JOIN i USING (lang, source)")
+L08_SQL = """
+WITH d AS (SELECT doc_id, md5(text) AS h, lang, source, n_chars // 200 AS size, doc_id % 50 = 0 AS asked FROM documents),
+e AS (SELECT h, min(doc_id) AS a1 FROM d WHERE NOT asked GROUP BY 1),
+i AS (SELECT lang, source, size, min(doc_id) AS a2 FROM d WHERE NOT asked GROUP BY ALL),
+v AS (
+  SELECT a.vec_id AS doc_id, b.vec_id AS a3, row_number() OVER (
+    PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r
+  FROM embeddings a, embeddings b
+  WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.85)
+SELECT doc_id, CASE WHEN a1 IS NOT NULL THEN 'exact' WHEN a2 IS NOT NULL THEN 'intent' WHEN a3 IS NOT NULL THEN 'similar' ELSE 'miss' END AS level,
+  coalesce(a1, a2, a3) AS answer
+FROM d LEFT JOIN e USING (h) LEFT JOIN i USING (lang, source, size) LEFT JOIN (SELECT * FROM v WHERE r = 1) USING (doc_id) WHERE asked"""
+
+
+@query("l08_cache_levels", L08_SQL)
 def l08_cache_levels(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), "lang", "source")
-    q = docs.filter("doc_id % 10 = 3")
-    e = q.join(docs.filter("doc_id % 10 <> 3").groupBy("h").agg(F.min("doc_id").alias("a1")), "h").select("doc_id", "a1")
-    i = q.join(docs.filter("doc_id % 10 = 4").groupBy("lang", "source").agg(F.min("doc_id").alias("a2")), ["lang", "source"]).select("doc_id", "a2")
-    return L.cached(q, e, i, q.filter("doc_id % 4 = 3").select("doc_id", F.lit(0).cast("long").alias("a3")), "doc_id")
+    """Every fiftieth document asks the cache that holds all others: by its text, by language, source and size, by its vector."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), "lang", "source", F.floor(F.col("n_chars") / 200).alias("size"))
+    q, held = docs.filter("doc_id % 50 = 0"), docs.filter("doc_id % 50 <> 0")
+    e = q.join(held.groupBy("h").agg(F.min("doc_id").alias("a1")), "h").select("doc_id", "a1")
+    kind = ["lang", "source", "size"]
+    i = q.join(held.groupBy(*kind).agg(F.min("doc_id").alias("a2")), kind).select("doc_id", "a2")
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    near = V.VectorSearch(V.build(vectors.filter("vec_id % 50 <> 0"), "vec_id", "embedding"), vectors.filter("vec_id % 50 = 0"), "vec_id", "embedding", 1, at_least=0.85)
+    return L.cached(q, e, i, near.found.select(F.col("query").alias("doc_id"), F.col("item").alias("a3")), "doc_id")
 
 
 @query("l09_second_wave", with_views("SELECT user_id, max(confidence) >= 0.75 AND max((intent <> 'view')::INT) = 1 AS skip FROM analytics GROUP BY 1", "analytics"))

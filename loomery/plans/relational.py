@@ -9,6 +9,7 @@ from loomery.operators import filters as P
 from loomery.operators import joins as J
 from loomery.operators import lexical as X
 from loomery.operators import ranking as K
+from loomery.operators import vectors as V
 from loomery.plans.views import ASOF, edges, nodes, view, with_graph, with_views
 from loomery.session import table
 
@@ -73,11 +74,18 @@ def f10_rejected(spark, d):
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 
 
+def nearest(corpus, queries, k):
+    """query_id, vec_id, similarity, rank."""
+    found = V.VectorSearch(V.build(corpus, "vec_id", "embedding"), queries, "query_id", "embedding", k).found
+    return found.select(F.col("query").alias("query_id"), F.col("item").alias("vec_id"), "similarity", "rank")
+
+
 @query("f11_similarity_threshold", f"SELECT q.vec_id AS query_id, c.vec_id, round({COS}, 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND {COS} >= 0.25")
 def f11_similarity_threshold(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return J.similar(q, e, None, at_least=0.25).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+    found = V.VectorSearch(V.build(e, "vec_id", "embedding"), q, "query_id", "embedding", at_least=0.25).found
+    return found.select(F.col("query").alias("query_id"), F.col("item").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query("f12_fallback", with_views("WITH h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, intent = 'error' AND confidence > 0.9 AS own FROM analytics), n AS (SELECT *, count_if(own) OVER (PARTITION BY user_id) AS n FROM h) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY own DESC, r, event_id) AS position, own AS filtered FROM n WHERE own OR n < 3", "analytics"), ints=("position",))
@@ -248,7 +256,7 @@ def j18_chains(spark, d):
 def j19_similarity_top_k(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return J.similar(q, e, 5).withColumn("similarity", F.round("similarity", 6))
+    return nearest(e, q, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("j20_failure_totals", with_views("WITH t AS (SELECT dimension, count(*) AS total FROM preferences GROUP BY 1), f AS (SELECT dimension, count(*) AS failures FROM preferences WHERE preference = 'both_bad' AND preset = 'p0' GROUP BY 1) SELECT dimension, total, coalesce(failures, 0) AS failures FROM t LEFT JOIN f USING (dimension)", "preferences"))
@@ -313,7 +321,7 @@ def k02_plain_fusion(spark, d):
 @query("k03_relevance", f"SELECT query_id, vec_id, rank, round(s * (0.5 + (vec_id % 5) / 10.0) * CASE WHEN vec_id % 120 <= 7 THEN 1.0 WHEN vec_id % 120 <= 30 THEN 0.9 WHEN vec_id % 120 <= 90 THEN 0.8 ELSE 0.7 END, 6)::DOUBLE AS relevance FROM (SELECT q.vec_id AS query_id, c.vec_id, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0) WHERE rank <= 5", ints=("rank",))
 def k03_relevance(spark, d):
     e = table(spark, d, "embeddings")
-    x = J.similar(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 5)
+    x = nearest(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
     return x.select("query_id", "vec_id", "rank", F.round(F.col("similarity") * (0.5 + F.col("vec_id") % 5 / 10.0) * K.freshness(F.col("vec_id") % 120), 6).alias("relevance"))
 
 
@@ -328,7 +336,7 @@ def k04_token_cosine(spark, d):
 @query("k06_mmr")
 def k06_mmr(spark, d):
     e = table(spark, d, "embeddings")
-    near = J.similar(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 20)
+    near = nearest(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 20)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), tokens().alias("tokens"), F.col("lang").alias("kind"))
     return K.mmr(near.join(docs, "vec_id"), "query_id", "vec_id", "similarity", "tokens", "kind")
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomery.operators.folds import applied, then
 from loomery.session import shared_dir
 
 
@@ -111,15 +113,17 @@ def sessions(df: DataFrame, key: str, order: str, text: str, compress: int = 10,
 
 
 def trust_updates(df: DataFrame, key: str, order: str, positive: str, start: float = 0.5) -> DataFrame:
-    """key, trust, low_quality after each batch: the clamped fold of learning.trust, carried on between batches."""
+    """key, trust, low_quality after each batch: the clamped fold of learning.trust, carried on between batches. State: two numbers a
+    key; the rows of a batch are one step, put together from the steps of its pieces."""
+    from loomery.operators.learning import BLAME, LOW, PRAISE
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, low = state.get if state.exists else (start, False)
-        for up in pd.concat(list(batches)).sort_values(order)[positive]:
-            value = min(1.0, round(value + 0.02, 6)) if up else max(0.0, round(value - 0.05, 6))
-            low = False if up else value < 0.2
-        state.update((float(value), bool(low)))
-        yield pd.DataFrame([(keys[0], round(value, 4), bool(low))], columns=[key, "trust", "low_quality"])
+        rows = pd.concat([b[[order, positive]] for b in batches]).sort_values(order)
+        step = reduce(then, ((PRAISE if up else -BLAME, 0, 100) for up in rows[positive].to_numpy()))
+        value = applied(step, state.get[0] if state.exists else 100 * start)
+        low = bool(not rows[positive].iloc[-1] and value < LOW)
+        state.update((float(value), low))
+        yield pd.DataFrame([(keys[0], value / 100, low)], columns=[key, "trust", "low_quality"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, trust double, low_quality boolean", "t double, f boolean", "update", GroupStateTimeout.NoTimeout)

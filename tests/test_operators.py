@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions import guards, text, values
-from loomery.operators import aggregates, components, filters, graph, graph_rules, joins, learning, ranking
+from loomery.operators import aggregates, components, filters, graph, graph_rules, joins, learning, ranking, vectors
 from loomery.operators.components import connected_components
 from loomery.sources import readers, sinks
 
@@ -161,8 +161,8 @@ def test_fusion_orders_ties_by_id(spark):
 def test_threshold_search_has_no_rank_cap(spark):
     e = spark.createDataFrame([(i, [1.0, i / 40]) for i in range(80)], "vec_id long, embedding array<float>")
     q = e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    got = joins.similar(q, e, None, at_least=0.8)
-    assert sorted(r.vec_id for r in got.collect()) == [i for i in range(80) if 1 / (1 + (i / 40) ** 2) ** 0.5 >= 0.8] and "rank" not in got.columns
+    got = vectors.VectorSearch(vectors.build(e, "vec_id", "embedding"), q, "query_id", "embedding", at_least=0.8).found
+    assert sorted(r.item for r in got.collect()) == [i for i in range(80) if 1 / (1 + (i / 40) ** 2) ** 0.5 >= 0.8] and "rank" not in got.columns
 
 
 def test_guard_rules(spark):
