@@ -35,6 +35,27 @@ def faq_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda x: (x != "") & ~x.isin(FAQ_STOP))
 
 
+# Which mode of question each kind of document helps with.
+QUERY_MODES = {
+    "lookup": "schema schema_identity schema_states catalog table_index json_keys api_overview api_registry tool_registry entity_def intent_def agent_def "
+    "page_field_trace page_intelligence access_pattern cross_repo_page_mapping",
+    "diagnose": "workflow_state_machine workflow_exception_paths workflow_decision_matrix action_failure_modes workflow_data_flow workflow_eval_cases operator_runbook",
+    "act": "action_contract action_execution_graph action_permissions action_rollback action_data_access workflow_action_map workflow_operator_playbook",
+    "explain": "action_intent_map action_examples action_observability workflow_overview workflow_async_map workflow_user_language workflow_ui_map workflow_entrypoints",
+    "routing": "negative_routing action_eval_cases",
+}
+CAPABILITY_MODES = {"action": "act", "workflow": "diagnose", "routing": "routing"}
+
+
+def document_mode(source_type: Column, chunk_type: Column, capability: Column, file_type: Column, modes: dict[str, str] = QUERY_MODES) -> Column:
+    """Mode of the first of source type, chunk type, capability_file type and file type that has one; else of the capability, else
+    lookup."""
+    known = F.create_map(*[F.lit(x) for mode, names in modes.items() for name in names.split() for x in (name, mode)])
+    steps = [source_type, chunk_type, F.when(file_type != "", F.concat_ws("_", capability, file_type)), file_type]
+    rest = F.create_map(*[F.lit(x) for pair in CAPABILITY_MODES.items() for x in pair])
+    return F.coalesce(*[F.element_at(known, s) for s in steps], F.element_at(rest, capability), F.lit("lookup"))
+
+
 def word_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z0-9_]+"), 0)))
 

@@ -52,15 +52,16 @@ def shortest_paths(edges: DataFrame, source: str, most: int = 6, weighted: bool
     return best
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.15, rounds: int = 50, tolerance: float = 1e-6, fixed: bool = False) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.15, rounds: int = 50, tolerance: float = 1e-6, fixed: bool = False, per_node: bool = False) -> DataFrame:
     """id, score of the personalised walk. damping: chance to follow a link (0.15: 85% of the steps go back to the seeds); rank
     moves along edges by weight, nodes without outgoing edges give theirs to the seeds.
 
-    A round is two joins, a written table and one aggregation over it; nodes that have no rank yet send nothing. fixed: run
-    all rounds.
+    A round is two joins, a written table and one aggregation over it; nodes that have no rank yet send nothing. The walk stops
+    once all scores together move by less than `tolerance`, whatever the number of nodes; per_node: by less than `tolerance` a
+    node, which from some million nodes on is met at once. fixed: run all rounds.
     """
     own = seeds.select(F.col(seeds.columns[0]).alias("id")).distinct()
-    n_seeds, n = own.count(), nodes.count()
+    n_seeds, n = own.count(), nodes.count() if per_node else 0
     if not n_seeds:
         return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
     out = edges.groupBy("source_id", "target_id").agg(F.sum("weight").alias("w"))
@@ -70,7 +71,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: floa
     state = written(state.select("id", "jump", "leads", F.col("jump").alias("score"), F.lit(0.0).alias("moved")))
     for done in range(rounds):
         moved, lost = state.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("leads").isNull(), F.col("score"))), F.lit(0.0))).first()
-        if done and not fixed and moved < n * tolerance:
+        if done and not fixed and moved < (n * tolerance if per_node else tolerance):
             break
         flow = state.filter("score > 0").select(F.col("id").alias("source_id"), "score").join(out, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
         score = (1 - damping) * F.col("jump") + damping * (F.coalesce("in", F.lit(0.0)) + lost * F.col("jump"))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery.operators.positions import placed
+from loomery.session import written
+
 
 def co_members(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Distinct (left target, right target) that share a source: edges joined with edges on source_id."""
@@ -83,11 +86,25 @@ def bridge(tables: DataFrame, apis: DataFrame, domain: str, name: str, body: str
     return x.groupBy(name).agg(F.array_join(F.array_sort(F.collect_list("api")), ",").alias("apis"))
 
 
-def kth_pairs(good: DataFrame, bad: DataFrame, keys: list[str], order_good: list[Column], order_bad: list[Column], payload: str) -> DataFrame:
-    """keys, k, chosen, rejected: the k-th best good row with the k-th worst bad row of each key, unless they are equal."""
-    a = good.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_good))).select(*keys, "k", F.col(payload).alias("chosen"))
-    b = bad.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_bad))).select(*keys, "k", F.col(payload).alias("rejected"))
-    return a.join(b, [*keys, "k"]).filter(F.col("chosen") != F.col("rejected"))
+def kth_pairs(good: DataFrame, bad: DataFrame, keys: list[str], order_good: list[Column], order_bad: list[Column], payload: str, wider: list[str] | None = None) -> DataFrame:
+    """keys, k, chosen, rejected: the k-th best good row with the k-th worst bad row of each key, unless they are equal.
+
+    With `wider` keys, what either side has left over is paired once more within those; the keys are then those of the good row. Rows are
+    numbered by position, so a key may hold any share of them. The payload is a key of its rows.
+    """
+
+    def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        a = placed(a, on, order_good, "k").withColumn("chosen", F.col(payload)).select(*keys, "k", "chosen")
+        b = placed(b, on, order_bad, "k").select(*on, "k", F.col(payload).alias("rejected"))
+        return a.join(b, [*on, "k"]).select(*keys, "k", "chosen", "rejected")
+
+    found = met(good, bad, keys)
+    if wider:
+        found = written(found)
+        left = good.join(found.select(F.col("chosen").alias(payload)), payload, "left_anti")
+        right = bad.join(found.select(F.col("rejected").alias(payload)), payload, "left_anti")
+        found = found.withColumn("pass", F.lit("key")).unionByName(met(left, right, wider).withColumn("pass", F.lit("wider")))
+    return found.filter(F.col("chosen") != F.col("rejected"))
 
 
 def compare_runs(base: DataFrame, other: DataFrame, key: str) -> DataFrame:

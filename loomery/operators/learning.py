@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.functions.text import entities
+from loomery.functions.values import date_range
 from loomery.operators.folds import clamped
 
 
@@ -126,3 +128,11 @@ def wave_trace(df: DataFrame, query: str, wave: str, item: str, score: str) -> D
     """query, waves: a nested record of what each wave found, in order."""
     w = df.groupBy(query, wave).agg(F.count("*").alias("hits"), F.round(F.max(score), 4).alias("best"), F.min(item).alias("first"))
     return w.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(wave, "hits", "best", "first"))).alias("waves"))
+
+
+def metric_probe(text: Column, metrics: dict[str, str], today: Column) -> Column:
+    """struct<metric, company, since>: the first metric a keyword of which the text holds (else none), the company it names, and the
+    first day of the range it names."""
+    low = F.lower(text)
+    metric = F.coalesce(*[F.when(F.contains(low, F.lit(w)), m) for m, w in metrics.items()], F.lit("none"))
+    return F.struct(metric.alias("metric"), entities(text)["company"].alias("company"), date_range(text, today)["first"].cast("string").alias("since"))

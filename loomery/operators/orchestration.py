@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.operators.positions import placed
+
 RISK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 ROLE = {"viewer": 0, "agent": 1, "support": 2, "supervisor": 3, "admin": 4}
 
@@ -139,7 +141,7 @@ def table_text(name: Column, columns: Column, transitions: Column, most: int = 3
 
 def bundled(df: DataFrame, keys: list[str], order: str, text: str, n: int = 10) -> DataFrame:
     """keys, chunk, body: n texts a chunk, joined by ---; the chunk number is part of the key."""
-    x = df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / n))
+    x = placed(df, keys, [F.col(order)], "_place").withColumn("chunk", F.floor((F.col("_place") - 1) / n))
     return x.groupBy(*keys, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "\n---\n").alias("body"))
 
 
@@ -188,6 +190,17 @@ def update_history(old: DataFrame, new: DataFrame, key: str, digest: str) -> Dat
     return x.agg(F.count_if(a.isNull()).alias("added"), F.count_if(a != b).alias("modified"), F.count_if(b.isNull()).alias("removed"), F.count_if(a == b).alias("same"))
 
 
+def history(versions: DataFrame, version: str, key: str, digest: str, last: int = 10) -> DataFrame:
+    """version, added, modified, removed, same of the last updates, one row a version, against the version before it (numbers that
+    follow each other). Each row meets itself one version later, so all updates are compared at once."""
+    now = versions.select(F.col(version).alias("version"), key, F.col(digest).alias("_b"))
+    top = now.agg(F.max("version").alias("_top"))  # one row
+    before = now.select((F.col("version") + 1).alias("version"), key, F.col("_b").alias("_a")).join(F.broadcast(top), F.col("version") <= F.col("_top")).drop("_top")
+    a, b = F.col("_a"), F.col("_b")
+    x = now.join(before, ["version", key], "full").groupBy("version").agg(F.count_if(a.isNull()).alias("added"), F.count_if(a != b).alias("modified"), F.count_if(b.isNull()).alias("removed"), F.count_if(a == b).alias("same"))
+    return x.join(F.broadcast(top), F.col("version") > F.col("_top") - last).drop("_top")
+
+
 def lanes(df: DataFrame, lane: str, rank: str, latency: str, base: str) -> DataFrame:
     """lane, mrr, latency_ms and the lift of each lane over the base lane; a null rank is a miss."""
     x = df.groupBy(lane).agg(F.avg(F.coalesce(1.0 / F.col(rank), F.lit(0.0))).alias("mrr"), F.avg(latency).alias("latency_ms"))

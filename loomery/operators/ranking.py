@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.operators.positions import placed
+
 #: fixed values: how much each retrieval leg counts
 LEG_WEIGHTS = {"exact": 2.0, "pagerank": 1.8, "neighbourhood": 1.5, "vector": 1.0, "lexical": 0.8}
 RRF_K = 60
@@ -106,11 +108,11 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
 
 
 def split(df: DataFrame, strata: list[str], key: str, seed: int = 42, cuts: tuple[float, float] = (0.7, 0.85)) -> DataFrame:
-    """part: train, validation or holdout; within a stratum by seeded hash, int(n x cut) rows below each cut."""
-    w = Window.partitionBy(*strata)
-    at = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)) - 1
-    n = F.count("*").over(w)
-    return df.withColumn("part", F.when(at < F.floor(n * cuts[0]), "train").when(at < F.floor(n * cuts[1]), "validation").otherwise("holdout"))
+    """part: train, validation or holdout; within a stratum by seeded hash, int(n x cut) rows below each cut. A stratum of any size."""
+    seeded = df.withColumn("_seeded", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    found = placed(seeded, strata, [F.col("_seeded"), F.col(key)], "_place", "_total")
+    at, n = F.col("_place") - 1, F.col("_total")
+    return found.withColumn("part", F.when(at < F.floor(n * cuts[0]), "train").when(at < F.floor(n * cuts[1]), "validation").otherwise("holdout")).drop("_seeded", "_place", "_total")
 
 
 def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:

@@ -48,14 +48,22 @@ def s08_jsonl(spark, d):
     return R.jsonl(spark, at, "conv_id long, turn long, text string, label string", "label").select("conv_id", "turn", "text")
 
 
-@query("s09_merged_sources", "SELECT _source, count(*) AS n FROM (SELECT 'a' AS _source FROM benchmark UNION ALL SELECT 'b' FROM conversations) GROUP BY 1")
+S09_SQL = """
+SELECT _source, count(*) AS n, sum(line)::BIGINT AS lines, max(line) AS last FROM (
+  SELECT 'a' AS _source, row_number() OVER (ORDER BY item_id) AS line FROM benchmark
+  UNION ALL SELECT 'b', row_number() OVER (ORDER BY conv_id, turn) FROM conversations) GROUP BY 1"""
+
+
+@query("s09_merged_sources", S09_SQL)
 def s09_merged_sources(spark, d):
+    """Every file's lines are numbered once, without gaps; parts of a source are files of their own here, so their numbers are those of
+    one list of lines."""
     parts = []
     for name, source in (("benchmark", "a"), ("conversations", "b")):
-        at = folder(spark, name)
-        table(spark, d, name).write.json(at)
-        parts.append(R.with_provenance(spark.read.json(at), source, "r"))
-    return R.merged(*parts).groupBy("_source").agg(F.count("*").alias("n"))
+        rows, at = table(spark, d, name), folder(spark, name)
+        rows.coalesce(1).write.json(at)
+        parts.append(R.with_provenance(spark, at, ", ".join(f"{c} {t}" for c, t in rows.dtypes), source, "r"))
+    return R.merged(*parts).groupBy("_source").agg(F.count("*").alias("n"), F.sum("_source_line").alias("lines"), F.max("_source_line").alias("last"))
 
 
 @query("s10_golden_seeds", "SELECT DISTINCT text AS query, 't' || conv_id % 3 AS expected_tool FROM conversations WHERE turn < 3 EXCEPT SELECT text, 't0' FROM conversations")
@@ -115,10 +123,10 @@ def w04_jsonl_export(spark, d):
     return W.as_json(table(spark, d, "conversations").select("conv_id", "turn"))
 
 
-@query("w05_export_manifest", "SELECT 'conversations' AS type, count(*) AS records, 'done' AS status FROM conversations")
+@query("w05_export_manifest", "SELECT 'conversations' AS type, count(*) AS records, true AS sized, 'done' AS status FROM conversations")
 def w05_export_manifest(spark, d):
-    m = W.export(table(spark, d, "conversations"), folder(spark, "export"))
-    return spark.createDataFrame([("conversations", m["records"], m["status"])], "type string, records long, status string")
+    m = W.export(table(spark, d, "conversations"), folder(spark, "export"), "conversations")
+    return m.select("type", "records", (F.col("bytes") > F.col("records")).alias("sized"), "status")
 
 
 @query("w06_delete", "SELECT doc_id FROM documents WHERE NOT (source = 'src1' AND lang = 'en')")

@@ -14,6 +14,7 @@ from loomery.operators import lexical as I
 from loomery.operators import ranking as K
 from loomery.operators import vectors as V
 from loomery.operators.components import connected_components
+from loomery.plans.functions import TURNS, turns
 from loomery.plans.views import edges, nodes, raw_edges, view, with_graph, with_views
 from loomery.session import table
 
@@ -325,10 +326,24 @@ def l15_escalations(spark, d):
     return L.escalations(view(spark, d, "analytics"), "user_id", F.col("escalated"), "confidence", "cost_usd", "intent")
 
 
-@query("l16_metric_probe", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'cost') THEN 'cost' WHEN contains(lower(text), 'the') THEN 'count' ELSE 'none' END AS metric FROM conversations")
+METRICS = {"cancellations": "cancel", "refunds": "refund", "balance": "wallet", "cost": "commission", "orders": "order"}
+L16_SQL = rf"""
+{TURNS}, p AS (
+  SELECT conv_id, turn, t, CASE {" ".join(f"WHEN contains(lower(t), '{w}') THEN '{m}'" for m, w in METRICS.items())} END AS metric,
+    nullif(regexp_extract(t, '(?i)(?:company|seller|client|cid|client_id|company_id)[\s_]*(?:id)?[\s:=#]*(\d{{3,10}})', 1), '') AS company,
+    nullif(regexp_extract(t, '(?i)\blast\s+(\d+)\s+days?\b', 1), '') AS n FROM c)
+SELECT conv_id, turn, coalesce(metric, 'none') AS metric, company,
+  CASE WHEN n IS NOT NULL THEN (DATE '2024-01-31' - (n::INT - 1))::VARCHAR WHEN regexp_matches(t, '(?i)\blast\s+week\b') THEN '2024-01-22'
+    WHEN regexp_matches(t, '(?i)\bthis\s+week\b') THEN '2024-01-29' WHEN regexp_matches(t, '(?i)\blast\s+month\b') THEN '2023-12-01'
+    WHEN regexp_matches(t, '(?i)\bthis\s+month\b') THEN '2024-01-01' WHEN regexp_matches(t, '(?i)\byesterday\b') THEN '2024-01-30'
+    WHEN regexp_matches(t, '(?i)\btoday\b') THEN '2024-01-31' END AS since
+FROM p WHERE metric IS NOT NULL OR company IS NOT NULL"""
+
+
+@query("l16_metric_probe", L16_SQL)
 def l16_metric_probe(spark, d):
-    has = lambda w: F.contains(F.lower("text"), F.lit(w))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(has("cost"), "cost").when(has("the"), "count").otherwise("none").alias("metric"))
+    probe = L.metric_probe(F.col("t"), METRICS, F.to_date(F.lit("2024-01-31")))
+    return turns(spark, d).select("conv_id", "turn", probe.alias("p")).select("conv_id", "turn", "p.*").filter("metric <> 'none' OR company IS NOT NULL")
 
 
 @query("l17_agent_match", "WITH r(name, w) AS (VALUES ('a', 'the'), ('a', 'and'), ('b', 'that'), ('b', 'the'), ('b', 'for'), ('c', 'les')), q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2))) AS w FROM benchmark), x AS (SELECT item_id, name, count(*) AS overlap FROM q JOIN r USING (w) GROUP BY ALL) SELECT item_id, name, overlap FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, name) AS rn FROM x) WHERE rn = 1")

@@ -143,10 +143,18 @@ def o15_page_documents(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat_ws("\n", F.concat(F.lit("Page "), "page_id"), F.regexp_extract("url", r"://[^/]+(/[^?#]*)", 1)).alias("body"))
 
 
-@query("o16_training_corpus", with_views("WITH x AS (SELECT event_id, created_at FROM analytics WHERE confidence >= 0.6 ORDER BY created_at DESC, event_id LIMIT 500) SELECT 'distillation' AS origin, event_id AS id FROM x UNION ALL SELECT 'knowledge', doc_id FROM documents WHERE doc_id % 2 = 0", "analytics"))
+O16_SQL = with_views("""
+WITH x AS (SELECT event_id, created_at FROM analytics WHERE confidence >= 0.6 ORDER BY created_at DESC, event_id LIMIT 5000)
+SELECT 'distillation' AS origin, event_id AS id FROM x
+UNION ALL SELECT 'knowledge', doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0""", "analytics")
+
+
+@query("o16_training_corpus", O16_SQL)
 def o16_training_corpus(spark, d):
-    x = view(spark, d, "analytics").filter("confidence >= 0.6").orderBy(F.desc("created_at"), "event_id").limit(500).select(F.lit("distillation").alias("origin"), F.col("event_id").alias("id"))
-    return x.unionByName(table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.lit("knowledge").alias("origin"), F.col("doc_id").alias("id")))
+    """The latest 5000 sure answers and all enabled entries: those not labelled toxic."""
+    x = view(spark, d, "analytics").filter("confidence >= 0.6").orderBy(F.desc("created_at"), "event_id").limit(5000).select(F.lit("distillation").alias("origin"), F.col("event_id").alias("id"))
+    enabled = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left").filter(F.coalesce("toxic", F.lit(0)) == 0)
+    return x.unionByName(enabled.select(F.lit("knowledge").alias("origin"), F.col("doc_id").alias("id")))
 
 
 @query("o17_jobs", with_views("SELECT user_id, arg_max(intent, (created_at, event_id)) AS intent, count(*) AS changes FROM analytics GROUP BY 1", "analytics"))

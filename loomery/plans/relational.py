@@ -212,11 +212,29 @@ def j12_bridge(spark, d):
     return J.bridge(t, a, "domain", "name", "body")
 
 
-@query("j13_pairing", with_views("WITH g AS (SELECT intent, entity, event_id, row_number() OVER (PARTITION BY intent, entity ORDER BY feedback_score DESC, confidence DESC, event_id) AS k FROM analytics WHERE feedback_score >= 4), b AS (SELECT intent, entity, event_id, row_number() OVER (PARTITION BY intent, entity ORDER BY coalesce(feedback_score, 0), confidence, event_id) AS k FROM analytics WHERE feedback_score <= 2 OR (confidence <= 0.4 AND feedback_score IS NULL)) SELECT g.intent, g.entity, g.k, g.event_id AS chosen, b.event_id AS rejected FROM g JOIN b USING (intent, entity, k)", "analytics"), ints=("k",))
+J13_SQL = with_views("""
+WITH good AS (SELECT * FROM analytics WHERE feedback_score >= 4),
+bad AS (SELECT *, coalesce(feedback_score, 0) AS score FROM analytics WHERE feedback_score <= 2 OR (confidence <= 0.4 AND feedback_score IS NULL)),
+g AS (SELECT *, row_number() OVER (PARTITION BY intent, entity ORDER BY feedback_score DESC, confidence DESC, event_id) AS k FROM good),
+b AS (SELECT *, row_number() OVER (PARTITION BY intent, entity ORDER BY score, confidence, event_id) AS k FROM bad),
+one AS (SELECT g.intent, g.entity, k, g.event_id AS chosen, b.event_id AS rejected FROM g JOIN b USING (intent, entity, k)),
+g2 AS (
+  SELECT *, row_number() OVER (PARTITION BY intent ORDER BY feedback_score DESC, confidence DESC, event_id) AS k
+  FROM good WHERE event_id NOT IN (SELECT chosen FROM one)),
+b2 AS (
+  SELECT *, row_number() OVER (PARTITION BY intent ORDER BY score, confidence, event_id) AS k
+  FROM bad WHERE event_id NOT IN (SELECT rejected FROM one))
+SELECT intent, entity, k, chosen, rejected, 'key' AS pass FROM one WHERE chosen <> rejected
+UNION ALL
+SELECT intent, g2.entity, k, g2.event_id, b2.event_id, 'wider' FROM g2 JOIN b2 USING (intent, k) WHERE g2.event_id <> b2.event_id""", "analytics")
+
+
+@query("j13_pairing", J13_SQL)
 def j13_pairing(spark, d):
     x = view(spark, d, "analytics")
     bad = x.filter(P.rejected(F.col("feedback_score"), F.col("confidence")))
-    return J.kth_pairs(x.filter("feedback_score >= 4"), bad, ["intent", "entity"], [F.desc("feedback_score"), F.desc("confidence"), F.col("event_id")], [F.coalesce("feedback_score", F.lit(0)), F.col("confidence"), F.col("event_id")], "event_id")
+    good = [F.desc("feedback_score"), F.desc("confidence"), F.col("event_id")]
+    return J.kth_pairs(x.filter("feedback_score >= 4"), bad, ["intent", "entity"], good, [F.coalesce("feedback_score", F.lit(0)), F.col("confidence"), F.col("event_id")], "event_id", ["intent"])
 
 
 @query("j14_run_comparison", with_views("SELECT test_case_id, CASE WHEN NOT a.passed AND b.passed THEN 'improved' WHEN a.passed AND NOT b.passed THEN 'regressed' ELSE 'same' END AS change FROM (SELECT * FROM runs WHERE run_id = 0) a JOIN (SELECT * FROM runs WHERE run_id = 1) b USING (test_case_id)", "runs"))

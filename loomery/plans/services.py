@@ -152,6 +152,21 @@ def o09_update_history(spark, d):
     return O.update_history(*snapshots(spark, d), "doc_id", "h")
 
 
+O09_SQL = """
+WITH v AS (SELECT year(o_orderdate)::INT AS version, o_custkey AS k, count(*) AS h FROM orders GROUP BY ALL),
+p AS (SELECT version + 1 AS version, k, h AS a FROM v WHERE version < (SELECT max(version) FROM v)),
+f AS (SELECT * FROM v FULL JOIN p USING (version, k))
+SELECT version, count(*) FILTER (WHERE a IS NULL) AS added, count(*) FILTER (WHERE a <> h) AS modified, count(*) FILTER (WHERE h IS NULL) AS removed,
+  count(*) FILTER (WHERE a = h) AS same FROM f WHERE version > (SELECT max(version) FROM v) - 5 GROUP BY 1"""
+
+
+@query("o09_last_updates", O09_SQL)
+def o09_last_updates(spark, d):
+    """What each of the last five years changed of the customers' numbers of orders."""
+    v = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("version"), F.col("o_custkey").alias("k")).agg(F.count("*").alias("h"))
+    return O.history(v, "version", "k", "h", 5)
+
+
 @query("o19_attributed", r"""SELECT conv_id, string_agg('[Source ' || turn + 1 || ': ' || role || ':' || conv_id || ' | Pillar: p | Trust: 0.5]' || chr(10) || text[:400], chr(10) ORDER BY turn) AS context FROM conversations WHERE turn < 8 GROUP BY 1""")
 def o19_attributed(spark, d):
     c = table(spark, d, "conversations").filter("turn < 8")

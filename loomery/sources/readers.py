@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery.operators.positions import numbered_lines
+
 try:
     import yaml
 except ImportError:  # without it, trees are read as JSON, which every YAML reader accepts too
@@ -137,9 +139,11 @@ def jsonl(spark: SparkSession, path: str, schema: str, label: str | None = None,
     return out.limit(limit) if limit else out
 
 
-def with_provenance(df: DataFrame, source: str, repo: str) -> DataFrame:
-    """_source, _source_file, _repo of rows read from files."""
-    return df.select("*", F.lit(source).alias("_source"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("_source_file"), F.lit(repo).alias("_repo"))
+def with_provenance(spark: SparkSession, path: str, schema: str, source: str, repo: str) -> DataFrame:
+    """JSON lines with _source, _source_file, _source_line (from 1) and _repo; files may be read in any number of blocks."""
+    lines = numbered_lines(spark.read.text(path)).withColumn("_row", F.from_json("value", schema))
+    named = F.element_at(F.split("_file", "/"), -1)
+    return lines.select("_row.*", F.lit(source).alias("_source"), named.alias("_source_file"), F.col("_line").alias("_source_line"), F.lit(repo).alias("_repo"))
 
 
 def merged(*parts: DataFrame) -> DataFrame:

@@ -24,10 +24,14 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def export(df: DataFrame, path: str) -> dict[str, object]:
-    """Writes JSON lines and returns the manifest row."""
+def export(df: DataFrame, path: str, kind: str = "jsonl") -> DataFrame:
+    """Writes JSON lines and returns the manifest row (type, key, records, bytes, status), counted from the files themselves."""
     df.write.mode("overwrite").json(path)
-    return {"key": path, "records": df.sparkSession.read.json(path, schema=df.schema).count(), "status": "done"}
+    spark = df.sparkSession
+    records = spark.read.text(path).agg(F.count("*").alias("records"))
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    both = records.withColumn("_one", F.lit(1)).join(size.withColumn("_one", F.lit(1)), "_one")  # one row each
+    return both.select(F.lit(kind).alias("type"), F.lit(path).alias("key"), "records", "bytes", F.lit("done").alias("status"))
 
 
 def deleted(df: DataFrame, condition: Column) -> DataFrame:
