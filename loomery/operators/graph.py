@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.session import written
+from loomery.session import forget, written
 
 
 def strengthen(edges: DataFrame, mode: str = "step") -> DataFrame:
@@ -48,7 +48,8 @@ def shortest_paths(edges: DataFrame, source: str, most: int = 6, weighted: bool
         if front.isEmpty():
             break
         step = front.join(links, front["id"] == links["a"]).select(F.col("b").alias("id"), F.round(F.col("cost") + F.col("weight"), 6).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat_ws(">", "path", "b").alias("path"))
-        best = written(best.unionByName(step).groupBy("id").agg(F.min(F.struct("cost", "hops", "path")).alias("n")).select("id", "n.*"))
+        before, best = best, written(best.unionByName(step).groupBy("id").agg(F.min(F.struct("cost", "hops", "path")).alias("n")).select("id", "n.*"))
+        forget(before)
     return best
 
 
@@ -75,7 +76,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: floa
             break
         flow = state.filter("score > 0").select(F.col("id").alias("source_id"), "score").join(out, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
         score = (1 - damping) * F.col("jump") + damping * (F.coalesce("in", F.lit(0.0)) + lost * F.col("jump"))
-        state = written(state.join(flow, "id", "left").select("id", "jump", "leads", score.alias("score"), F.abs(score - F.col("score")).alias("moved")))
+        before, state = state, written(state.join(flow, "id", "left").select("id", "jump", "leads", score.alias("score"), F.abs(score - F.col("score")).alias("moved")))
+        forget(before)
     return state.select("id", "score")
 
 

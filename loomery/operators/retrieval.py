@@ -11,7 +11,7 @@ from loomery.functions.text import words
 from loomery.operators import lexical as index
 from loomery.operators.joins import contains_text
 from loomery.operators.ranking import LEG_WEIGHTS, budget_prefix, fuse
-from loomery.session import materialize, written
+from loomery.session import forget, materialize, written
 
 #: legs by name; a caller may add its own: (queries, documents, edges, k) -> query_id, node_id, rank
 LEGS: dict[str, Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame]] = {}
@@ -95,10 +95,42 @@ def spread(start: DataFrame, edges: DataFrame, rounds: int, damping: float, keep
     return rank
 
 
+def push(start: DataFrame, edges: DataFrame, damping: float = 0.15, least: float = 1e-5) -> DataFrame:
+    """query_id, node_id, score: the walk of `spread` without an end, from below and within least x degree of a node of it (degree: the sum
+    of its weights, links going both ways).
+
+    Each query's mass lies where it is not yet dealt on. A node deals its mass only where that is at least least x its degree, so a
+    hub that gets little is one row, whatever its number of links, and a query has some 1 / (least (1 - damping)) rows at most. Rounds
+    end when no node may deal.
+    """
+    links = _links(edges).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    links = links.withColumn("degree", F.sum("weight").over(Window.partitionBy("a")))
+    degrees = links.groupBy(F.col("a").alias("b")).agg(F.first("degree").alias("far"))
+    links = written(links.join(degrees, "b").select("a", "b", (F.col("weight") / F.col("degree")).alias("share"), "far"))
+    known = links.groupBy(F.col("b").alias("node_id")).agg(F.first("far").alias("degree"))
+    own = start.withColumn("mass", 1.0 / F.count("*").over(Window.partitionBy("query_id"))).join(known, "node_id", "left")
+    state = written(own.select("query_id", "node_id", F.lit(0.0).alias("score"), "mass", "degree"))
+    # a node without links keeps what it has: nothing leads on, as in `spread`
+    deals = (F.col("mass") > 0) & (F.col("degree").isNull() | (F.col("mass") >= least * F.col("degree")))
+    while not state.filter(deals).isEmpty():
+        front = state.filter(deals).select("query_id", F.col("node_id").alias("a"), "mass")
+        flow = front.join(links, "a").groupBy("query_id", F.col("b").alias("node_id")).agg(F.sum(damping * F.col("mass") * F.col("share")).alias("in"), F.first("far").alias("far"))
+        x = state.join(flow, ["query_id", "node_id"], "full")
+        had, score = F.coalesce("mass", F.lit(0.0)), F.coalesce("score", F.lit(0.0))
+        dealt = F.coalesce(deals, F.lit(False))
+        left = F.when(dealt, 0.0).otherwise(had) + F.coalesce("in", F.lit(0.0))
+        gained = score + F.when(dealt, (1 - damping) * had).otherwise(0.0)
+        before, state = state, written(x.select("query_id", "node_id", gained.alias("score"), left.alias("mass"), F.coalesce("degree", "far").alias("degree")))
+        forget(before)
+    # what lies at a node counts at least for the share with which the walk ends there
+    score = F.col("score") + (1 - damping) * F.col("mass")
+    return state.select("query_id", "node_id", score.alias("score")).filter("score > 0")
+
+
 @leg("pagerank")
-def pagerank(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, rounds: int = 4, damping: float = 0.15, best: DataFrame | None = None) -> DataFrame:
+def pagerank(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, damping: float = 0.15, least: float = 1e-5, best: DataFrame | None = None) -> DataFrame:
     start = materialize(seeds(queries, documents, best=best))
-    walked = spread(start, edges, rounds, damping).join(start, ["query_id", "node_id"], "left_anti")
+    walked = push(start, edges, damping, least).join(start, ["query_id", "node_id"], "left_anti")
     return ranked(walked.join(documents.select(F.col("id").alias("node_id")), "node_id", "left_semi"), k)
 
 

@@ -54,7 +54,18 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    found = spark.read.schema(df.schema).parquet(at)
+    found._written_at = at
+    return found
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what written() wrote for df, once nothing that is still to be computed reads it: the state of a round when the next one's
+    table stands."""
+    at = getattr(df, "_written_at", None)
+    if at is not None:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
