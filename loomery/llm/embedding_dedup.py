@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import slices, whole
 from loomery.operators.components import connected_components, local_roots
-from loomery.session import materialize, table
+from loomery.session import materialize, table, written
 
 SEED, CROWD, PAIRS = 5, 2048, 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio
@@ -174,6 +174,15 @@ def _near(plan: Plan, rows, run_, one, two, own, turn, flat, starts, dim) -> Ite
         yield a[linked], b[linked]
 
 
+def _numbered(own: DataFrame) -> DataFrame:
+    """own with its labels as longs: whole numbers as they are, labels of any other type by a table of the distinct ones, so that
+    labels are equal only if their own values are."""
+    if own.schema["label"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return own.withColumn("label", F.col("label").cast("long"))
+    numbers = written(own.select(F.col("label").alias("name")).dropna().distinct().withColumn("number", F.monotonically_increasing_id()))
+    return own.join(numbers, own["label"] == numbers["name"], "left").select("vec_id", F.col("number").alias("label"), "v")
+
+
 def embedding_components(rows: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", plan: Plan | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row.
 
@@ -182,13 +191,13 @@ def embedding_components(rows: DataFrame, threshold: float = 0.93, key: str = "v
     windows of a sorted line give the pairs, their collisions on all lines are counted, and pairs that pass are verified in
     double precision. A crowded cell is cut into slices and each two slices are a task's work. Tasks return sums and stars,
     not pairs. Null labels, vectors that are null, empty, zero or hold null or non-finite components link with nothing;
-    vectors of different lengths don't link. Rows with a null vec_id link and are counted like others; their component is the
+    vectors of different lengths don't link; labels may be of any type. Rows with a null vec_id link and are counted like others; their component is the
     smallest id reached, null if there is none, and they are kept only then. Repeated rows count as vectors of their own; an
     empty table returns no rows; other columns are ignored.
     """
     kind = rows.schema[vector].dataType.simpleString()
     body = F.col(vector) if kind in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
-    own = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), body.alias("v"))
+    own = _numbered(rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), body.alias("v")))
     ill = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col("label").isNotNull() & F.col("v").isNotNull() & ~ill & F.exists("v", lambda x: x != 0)
     own = own.withColumn("fit", F.coalesce(fit, F.lit(False)))

@@ -258,6 +258,17 @@ def test_embeddings_with_null_and_repeated_ids(spark):
     assert got == sorted([(None, 1, None, True), (None, 1, None, True), (7, 1, 7, True), (None, 1, 7, False), (7, 0, 7, True), (None, 0, None, True)], key=str)
 
 
+def test_embeddings_with_labels_of_other_types(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(4)], (0.25, 0.75, None)[i % 3]) for i in range(120)]
+    rows += [(200 + i, rows[i][1], rows[(i + 1) % 3][2]) for i in range(6)]
+    plan = embedding_dedup.Plan.of(200, 0.93)
+    shape = "vec_id long, embedding array<double>, label "
+    result = lambda change, kind: sorted(map(tuple, embedding_dedup.embedding_components(spark.createDataFrame([(a, b, change(c)) for a, b, c in rows], shape + kind), plan=plan).collect()))
+    want = result(lambda x: None if x is None else int(4 * x), "int")
+    assert result(lambda x: x, "double") == want and result(lambda x: None if x is None else f"l{x}", "string") == want
+
+
 def test_embedding_recall_on_many_vectors(spark):
     rng = np.random.default_rng(6)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
