@@ -181,4 +181,6 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows, as `pack` gives them: null and empty texts are one id, repeated rows are packed each, an empty table gives no
+    rows, columns besides id and text are left behind whatever their names. Ties go to the first sequence."""
     return pack(docs, tokenizer_path())
