@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -71,11 +72,14 @@ def latest(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, *columns)).alias("r")).select(key, "r.*")
 
 
-def rate_limit(df: DataFrame, key: str, item: str, at: str, most: int = 60, seconds: int = 60) -> DataFrame:
+def rate_limit(df: DataFrame, key: str, item: str, at: str, most: int = 60, seconds: int = 60, late: str = "1 day") -> DataFrame:
     """key, item, allowed: sliding log of the allowed requests of a key; what was blocked does not count. State: at most `most`
-    times a key."""
+    times a key, and none once the watermark has passed the key's last time by the window, when nothing of it can count any more."""
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values([at, item])
         out = []
@@ -86,11 +90,56 @@ def rate_limit(df: DataFrame, key: str, item: str, at: str, most: int = 60, seco
                 log.append(int(t))
             out.append((keys[0], i, ok))
         state.update((log,))
+        state.setTimeoutTimestamp(max(int(max(log, default=0)) // 1000 + seconds * 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, item, "allowed"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    own = df.select(key, item, F.col(at).cast("timestamp").alias(at))
-    return own.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {item} {kinds[item]}, allowed boolean", "log array<long>", "append", GroupStateTimeout.NoTimeout)
+    own = df.select(key, item, F.col(at).cast("timestamp").alias(at)).withWatermark(at, late)
+    return own.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {item} {kinds[item]}, allowed boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def released(df: DataFrame, shard: str, item: str, most: int = 50, gap: float = 20.0) -> DataFrame:
+    """shard, batch, item: a queue for each shard that lets at most `most` items go each `gap` seconds, in the order they came (within a
+    micro-batch by item). What waits is state; a timer lets it go, without new rows coming. An empty queue keeps its batch number only."""
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        queue, batch, last = (list(state.get[0]), *state.get[1:]) if state.exists else ([], 0, -1)
+        if not state.hasTimedOut:
+            queue += sorted(int(i) for b in batches for i in b[item])
+        now = state.getCurrentProcessingTimeMs()
+        wait = 0 if last < 0 else max(0, int(last + 1000 * gap) - now)
+        gone = []
+        if queue and not wait:
+            gone, queue, wait = queue[:most], queue[most:], int(1000 * gap)
+            batch, last = batch + 1, now
+        state.update((queue, batch, last))
+        if queue:
+            state.setTimeoutDuration(max(1, wait))
+        yield pd.DataFrame({shard: keys[0], "batch": batch, item: gone})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    own = df.select(shard, item)
+    return own.groupBy(shard).applyInPandasWithState(run, f"{shard} {kinds[shard]}, batch long, {item} long", "queue array<long>, batch long, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def run_until(df: DataFrame, rows: int, every: str = "200 milliseconds", seconds: float = 120.0) -> DataFrame:
+    """Runs a stream whose timers still have work once its source is read, until it wrote so many rows (or the time is over), and returns
+    them. A batch that runs again overwrites its own folder."""
+    spark = df.sparkSession
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    wrote: dict[int, int] = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = f"{out}/batch={number}"
+        batch.write.mode("overwrite").parquet(at)
+        wrote[number] = spark.read.schema(df.schema).parquet(at).count()
+
+    q = df.writeStream.option("checkpointLocation", f"{out}.state").trigger(processingTime=every).foreachBatch(write).start()
+    until = time.monotonic() + seconds
+    while sum(wrote.values()) < rows and time.monotonic() < until and q.isActive:
+        q.awaitTermination(0.2)
+    q.stop()
+    return spark.read.schema(df.schema).parquet(*[f"{out}/batch={n}" for n in sorted(wrote)])
 
 
 def sessions(df: DataFrame, key: str, order: str, text: str, compress: int = 10, keep: int = 4) -> DataFrame:
@@ -166,9 +215,37 @@ def latest_record(df: DataFrame, key: str, at: str, item: str, feedback: str) ->
     return own.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, feedback {kinds[item]}, record long", "r long", "append", GroupStateTimeout.NoTimeout)
 
 
-def newest(df: DataFrame, at: str, key: str, most: int = 10_000) -> DataFrame:
-    """What a cache of `most` keys holds of df, one row a key: older keys are evicted."""
-    return df.orderBy(F.desc(at), key).limit(most)
+def newest(df: DataFrame, key: str, at: str, item: str, most: int = 10_000) -> DataFrame:
+    """version, key, at, item: after each batch what a cache of `most` keys holds, the newest row of each; the key that was renewed
+    least lately goes first (ties: the larger key). State: `most` rows in one group, to which a task of the source sends its `most` newest keys only."""
+
+    def latest_of(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([at, item]).drop_duplicates(key, keep="last")
+        return rows.sort_values([at, key], ascending=[False, True]).head(most)
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            held = latest_of(b if held is None else pd.concat([held, b]))
+        if held is not None:
+            yield held
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, version = None, 1
+        if state.exists:
+            *columns, version = state.get
+            held, version = pd.DataFrame(dict(zip((key, at, item), map(list, columns), strict=True))), version + 1
+        for b in batches:
+            b = b.drop(columns="_all")
+            held = latest_of(b if held is None else pd.concat([held, b]))
+        held = held.sort_values([at, key], ascending=[False, True])
+        state.update((held[key].tolist(), held[at].tolist(), held[item].tolist(), version))
+        yield held.assign(version=version)[["version", key, at, item]]
+
+    kind = df.schema[key].dataType.simpleString()
+    own = df.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias(at), F.col(item).cast("long").alias(item))
+    small = own.mapInPandas(reduced, own.schema).withColumn("_all", F.lit(0))
+    return small.groupBy("_all").applyInPandasWithState(run, f"version long, {key} {kind}, {at} long, {item} long", f"k array<{kind}>, t array<long>, i array<long>, version long", "append", GroupStateTimeout.NoTimeout)
 
 
 def micro_batches(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Stateful stream operators against plain Python, over a folder of JSON lines read in several micro-batches."""
 
 import json
+import os
 import random
 
 import pytest
@@ -88,3 +89,41 @@ def test_pagerank_leg_keeps_what_a_large_group_reaches(spark):
     documents = spark.createDataFrame([("s", "apple pear plum"), ("t", "unrelated")] + [(d, "unrelated") for d in leaves], "id string, text string")
     queries = spark.createDataFrame([("q", "apple pear plum")], "query_id string, query string")
     assert [(r.node_id, r.rank) for r in retrieval.pagerank(queries, documents, edges, 1).collect()] == [("t", 1)]
+
+
+def test_state_of_idle_keys_is_dropped(spark, tmp_path):
+    """Many keys that come once each: once the watermark has passed their window only the last ones hold state."""
+    for n in range(5):
+        rows = [{"id": 1000 * n + i, "k": f"{n}:{i}", "t": 1_700_000_000 + 1000 * n + i % 10} for i in range(40)]
+        (tmp_path / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(tmp_path / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema("id long, k string, t long").option("maxFilesPerTrigger", 1).json(str(tmp_path)).withColumn("at", F.timestamp_seconds("t"))
+    seen = []
+    q = S.rate_limit(stream, "k", "id", "at", 3, 60, "10 seconds").writeStream.trigger(availableNow=True).foreachBatch(lambda b, n: seen.append(b.filter("allowed").count())).start()
+    q.awaitTermination()
+    assert sum(seen) == 200 and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 80
+
+
+def test_queue_lets_go_by_timer(spark, tmp_path):
+    rows = [{"s": "ab"[i % 2], "i": i} for i in range(44)]
+    (tmp_path / "0.json").write_text("\n".join(map(json.dumps, rows)))
+    df = spark.readStream.schema("s string, i long").json(str(tmp_path))
+    got = S.run_until(S.released(df, "s", "i", 5, 0.5), 44, "100 milliseconds").collect()
+    assert sorted((r.s, r.batch, r.i) for r in got) == sorted(("ab"[i % 2], i // 2 // 5 + 1, i) for i in range(44))
+
+
+def test_cache_of_the_newest_keys_is_bounded(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [{"id": i, "k": rng.randrange(300), "t": 1_700_000_000 + i // 3} for i in range(2000)]
+    for n in range(4):
+        (tmp_path / f"{n}.json").write_text("\n".join(map(json.dumps, rows[500 * n : 500 * n + 500])))
+        os.utime(tmp_path / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    df = spark.readStream.schema("id long, k long, t long").option("maxFilesPerTrigger", 1).json(str(tmp_path)).withColumn("at", F.timestamp_seconds("t"))
+    got = S.run_to_end(S.newest(df, "k", "at", "id", 25)).collect()
+    assert {v: sum(r.version == v for r in got) for v in (1, 2, 3, 4)} == dict.fromkeys((1, 2, 3, 4), 25)
+    for v in (1, 4):
+        last = {}
+        for r in rows[: 500 * v]:
+            last[r["k"]] = (r["t"], r["id"])
+        want = sorted(last.items(), key=lambda x: (-x[1][0], x[0]))[:25]
+        assert sorted((r.k, r.id) for r in got if r.version == v) == sorted((k, i) for k, (_, i) in want)
