@@ -11,6 +11,7 @@ from loomery.functions import guards as G
 from loomery.functions import text as X
 from loomery.functions import values as V
 from loomery.operators import lexical as I
+from loomery.operators import phrases as P
 from loomery.plans.views import view, with_views
 from loomery.session import table, written
 
@@ -300,6 +301,14 @@ def d01_date_phrases(spark, d):
     return turns(spark, d).select("conv_id", "turn", r["first"].alias("first"), r["label"].alias("label"))
 
 
+@query("x12_rewritten")
+def x12_rewritten(spark, d):
+    """Every document, with the first two words of each question (where both are plain words) put as one name."""
+    first = F.regexp_extract(F.lower("text"), r"^([a-z]+ [a-z]+)\b", 1)
+    names = table(spark, d, "benchmark").select(first.alias("phrase"), F.concat(F.lit("{q"), "item_id", F.lit("}")).alias("value")).filter("phrase <> ''")
+    return P.rewritten(table(spark, d, "documents").select("doc_id", "text"), "text", names)
+
+
 @query("d02_age_buckets", with_views("SELECT CASE WHEN a <= 7 THEN 1.0 WHEN a <= 30 THEN 0.9 WHEN a <= 90 THEN 0.8 ELSE 0.7 END::DOUBLE AS weight, hour(created_at)::INT AS hour, count(*) AS n FROM (SELECT created_at, date_diff('day', created_at::DATE, DATE '2024-02-20') AS a FROM analytics) GROUP BY ALL", "analytics"))
 def d02_age_buckets(spark, d):
     from loomery.operators.aggregates import decay_weight
