@@ -12,6 +12,7 @@ from loomery.plans.views import nodes, view, with_graph, with_views
 from loomery.session import shared_dir, table
 from loomery.sources import readers as R
 from loomery.sources import sinks as W
+from loomery.sources.snapshots import Snapshot
 from loomery.streaming import operators as S
 
 
@@ -112,6 +113,15 @@ def w01_upsert(spark, d):
     return W.upsert(old, new, "doc_id", "h")
 
 
+@query("w01_changes", f"WITH {SNAP} SELECT doc_id, CASE WHEN old.h IS NULL THEN 'insert' ELSE 'update' END AS action FROM new LEFT JOIN old USING (doc_id) WHERE old.h IS NULL OR old.h <> new.h")
+def w01_changes(spark, d):
+    """The same upsert on a bucketed snapshot, which rewrites the changed buckets only."""
+    old, new = snapshots(spark, d)
+    held = Snapshot(folder(spark, "snapshot"), "doc_id", "h", 32)
+    held.create(old)
+    return held.upsert(new)
+
+
 @query("w02_keep_last", "SELECT l_orderkey, l_linenumber, max(l_partkey * 1000000 + l_suppkey) AS k FROM lineitem GROUP BY ALL")
 def w02_keep_last(spark, d):
     x = table(spark, d, "lineitem").withColumn("k", F.col("l_partkey") * 1000000 + F.col("l_suppkey"))
