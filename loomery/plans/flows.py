@@ -10,6 +10,7 @@ from loomery.catalog import query
 from loomery.plans.relational import SNAP, snapshots
 from loomery.plans.views import nodes, view, with_graph, with_views
 from loomery.session import shared_dir, table
+from loomery.sources import digests as T
 from loomery.sources import readers as R
 from loomery.sources import sinks as W
 from loomery.sources.snapshots import Snapshot
@@ -42,6 +43,20 @@ def s07_manifest(spark, d):
     return R.verify(new, old, "doc_id")
 
 
+S07_TREE_SQL = f"""
+WITH {SNAP}, a AS (SELECT doc_id // 100 || '/' || doc_id // 10 || '/' || doc_id AS path, h FROM old), b AS (SELECT doc_id // 100 || '/' || doc_id // 10 || '/' || doc_id AS path, h FROM new)
+SELECT path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'modified' END AS change
+FROM a FULL JOIN b USING (path) WHERE a.h IS DISTINCT FROM b.h"""
+
+
+@query("s07_changed_files", S07_TREE_SQL)
+def s07_changed_files(spark, d):
+    """Two versions of a folder tree of all documents, compared by the digests of folders."""
+    path = F.concat_ws("/", F.floor(F.col("doc_id") / 100), F.floor(F.col("doc_id") / 10), "doc_id")
+    old, new = (T.tree(x.select(path.alias("path"), F.col("h").alias("hash"))) for x in snapshots(spark, d))
+    return T.Difference(old, new).found
+
+
 @query("s08_jsonl", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
 def s08_jsonl(spark, d):
     at = folder(spark, "seeds")
