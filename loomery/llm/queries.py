@@ -13,7 +13,7 @@ from loomery.llm.pii import op6_pii
 from loomery.llm.quality_classifier import op10_quality_classifier
 from loomery.llm.quality_rules import op8_quality_rules
 from loomery.llm.simhash import op2_simhash_dedup
-from loomery.llm.spelling import op11_spelling
+from loomery.llm.spelling import OP11_SQL, op11_spelling
 from loomery.llm.url_filters import OP9_SQL, op9_url_filters
 
 FUNCTIONS = (
@@ -21,4 +21,4 @@ FUNCTIONS = (
     op10_quality_classifier, op11_spelling, op12_fill_middle, op13_html_text,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
-ORACLE: dict[str, str] = {"op9_url_filters": OP9_SQL, "op12_fill_middle": OP12_SQL, "op13_html_text": OP13_SQL}
+ORACLE: dict[str, str] = {"op9_url_filters": OP9_SQL, "op11_spelling": OP11_SQL, "op12_fill_middle": OP12_SQL, "op13_html_text": OP13_SQL}

