@@ -57,6 +57,26 @@ def s05_read_all(spark, d):
     return x.groupBy("entity_type", "capability", "trust_score").agg(F.count("*").alias("n"))
 
 
+S04_SQL = """
+WITH r AS (SELECT *, 'cust' || c_nationkey AS repo FROM customer)
+SELECT 'api_registry' AS entity_type, 'registry:' || repo || ':c' || c_custkey AS entity_id,
+  '[' || repo || ':api_registry] api_id: c' || c_custkey || ' | domain: ' || c_mktsegment || CASE WHEN c_custkey % 3 > 0 THEN ' | calls: ' || c_custkey % 3 ELSE '' END AS content,
+  c_mktsegment AS domain FROM r WHERE c_custkey % 5 <> 4
+UNION ALL SELECT DISTINCT 'tool_registry', 'registry:' || repo || ':tool_registry', '[' || repo || '] tool_registry: note: none yet', '' FROM r"""
+
+
+@query("s04_registries", S04_SQL)
+def s04_registries(spark, d):
+    """A registry of the customers of each nation, some without a name, and one of tools that has no records."""
+    c = table(spark, d, "customer").withColumn("repo", F.concat(F.lit("cust"), "c_nationkey"))
+    named = F.when(F.col("c_custkey") % 5 != 4, F.concat(F.lit("c"), "c_custkey"))
+    record = F.struct(named.alias("api_id"), F.col("c_mktsegment").alias("domain"), (F.col("c_custkey") % 3).alias("calls"), F.array("c_custkey").alias("nested"), F.lit("").alias("empty"))
+    apis = c.groupBy("repo").agg(F.to_json(F.struct(F.collect_list(record).alias("apis"))).alias("doc")).withColumn("file", F.lit("api_registry"))
+    tools = c.select("repo").distinct().select("repo", F.lit('{"note": "none yet", "_hidden": "x", "tools": []}').alias("doc"), F.lit("tool_registry").alias("file"))
+    out = R.registry_documents(apis.unionByName(tools))
+    return out.select("entity_type", "entity_id", "content", F.element_at("metadata", "domain").alias("domain"))
+
+
 @query("s13_event_topic", "SELECT event_type AS intent, count(*) AS n, max(event_id % 7) AS latency FROM events GROUP BY 1")
 def s13_event_topic(spark, d):
     at = folder(spark, "topic")

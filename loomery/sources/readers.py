@@ -106,12 +106,39 @@ KINDS = {
 
 
 def documents(tree: DataFrame, kind: str) -> DataFrame:
-    """The ingest schema for one kind: a document a file; its id is the folder, and the file within it."""
+    """The ingest schema for one kind: a document a file; its id is the folder, and the file within it. Stubs are left out."""
     prefix, capability, trust = KINDS[kind]
-    own = tree.filter(F.col("pillar").rlike(f"^{prefix}(_|$)"))
+    stub = (F.get_json_object("doc", "$._status") == "stub") | (F.get_json_object("doc", "$._tier") == "stub")
+    own = tree.filter(F.col("pillar").rlike(f"^{prefix}(_|$)") & ~F.coalesce(stub, F.lit(False)))
     return own.select(F.lit(kind).alias("entity_type"), F.concat_ws(":", "folder", "file").alias("entity_id"), F.col("doc").alias("content"), F.col("repo").alias("repo_id"), F.lit(capability).alias("capability"), F.lit(trust).alias("trust_score"), F.create_map(F.lit("path"), F.col("path")).alias("metadata"))
 
 
+#: registry file: (kind of its records, key of their list), and the fields that may name a record
+REGISTRIES = {
+    "entity_dictionary": ("entity_def", "entities"), "intent_taxonomy": ("intent_def", "intents"), "agent_registry": ("agent_def", "agents"),
+    "api_registry": ("api_registry", "apis"), "tool_registry": ("tool_registry", "tools"),
+}
+RECORD_IDS = ["api_id", "tool_id", "agent_id", "entity_id", "id"]
+
+
+def registry_documents(tree: DataFrame) -> DataFrame:
+    """The ingest schema for registry files: a document a record that has a name, made of its plain fields in order ("field: value", empty,
+    false and zero values and nested ones left out); a file without a list of records is one document of its own plain fields."""
+    kinds = F.create_map(*[F.lit(x) for name, (kind, _) in REGISTRIES.items() for x in (name, kind)])
+    own = tree.filter(F.col("file").isin(list(REGISTRIES))).select("repo", "file", "doc", F.element_at(kinds, F.col("file")).alias("entity_type"))
+    lists = reduce(lambda c, r: c.when(F.col("file") == r[0], F.get_json_object("doc", f"$.{r[1][1]}")), REGISTRIES.items(), F.when(F.lit(False), F.lit("")))
+    own = own.withColumn("records", F.from_json(lists, "array<map<string,string>>"))
+    listed = F.coalesce(F.size("records") > 0, F.lit(False))
+    told = lambda m, hidden: F.array_join(F.transform(F.filter(F.map_entries(m), lambda e: e["value"].isNotNull() & ~e["value"].isin("", "false", "0", "0.0") & ~e["value"].rlike(r"^[\[{]") & ~(F.lit(hidden) & e["key"].startswith("_"))), lambda e: F.concat_ws(": ", e["key"], e["value"])), " | ")
+    each = own.filter(listed).select("repo", "file", "entity_type", F.explode("records").alias("r"))
+    name = F.coalesce(*[F.nullif(F.element_at("r", k), F.lit("")) for k in RECORD_IDS])
+    records = each.select("repo", "file", "entity_type", name.alias("name"), told(F.col("r"), False).alias("plain"), F.coalesce(F.element_at("r", "domain"), F.lit("")).alias("domain")).filter("name is not null")
+    files = own.filter(~listed).select("repo", "file", "entity_type", F.col("file").alias("name"), told(F.from_json("doc", "map<string,string>"), True).alias("plain"), F.lit("").alias("domain"))
+    head = F.when(F.col("name") == F.col("file"), F.concat(F.lit("["), "repo", F.lit("] "), "file", F.lit(": "))).otherwise(F.concat(F.lit("["), "repo", F.lit(":"), "file", F.lit("] ")))
+    out = records.unionByName(files)
+    return out.select("entity_type", F.concat_ws(":", F.lit("registry"), "repo", "name").alias("entity_id"), F.concat(head, "plain").alias("content"), F.col("repo").alias("repo_id"), F.lit("retrieval").alias("capability"), F.lit(0.8).alias("trust_score"), F.create_map(F.lit("file"), F.col("file"), F.lit("domain"), F.col("domain")).alias("metadata"))
+
+
 def read_all(tree: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, [documents(tree, k) for k in kinds or KINDS])
 
