@@ -115,6 +115,24 @@ def split(df: DataFrame, strata: list[str], key: str, seed: int = 42, cuts: tupl
     return found.withColumn("part", F.when(at < F.floor(n * cuts[0]), "train").when(at < F.floor(n * cuts[1]), "validation").otherwise("holdout")).drop("_seeded", "_place", "_total")
 
 
+def first_rule(df: DataFrame, rules: DataFrame, keys: list[str], value: str, priority: str = "priority") -> DataFrame:
+    """df with the priority and value of the first rule that fits each row: rules(keys, priority, value), where a null key fits anything.
+    Rules with the same keys given meet the rows in one equi-join, which is as many joins as there are such kinds, whatever the number
+    of rules; rows without a rule have nulls. Of rules of one priority the smaller value counts."""
+    out, found = df, []
+    kinds = [[k for i, k in enumerate(keys) if n >> i & 1] for n in range(1 << len(keys))]
+    for n, given in enumerate(kinds):
+        own = rules.filter(reduce(Column.__and__, [F.col(k).isNotNull() if k in given else F.col(k).isNull() for k in keys]))
+        best = own.groupBy(*[F.col(k).alias(f"_on_{k}") for k in given]).agg(F.min(F.struct(F.col(priority), F.col(value))).alias(f"_rule_{n}"))
+        if given:
+            out = out.join(best, reduce(Column.__and__, [out[k] == best[f"_on_{k}"] for k in given]), "left").drop(*[f"_on_{k}" for k in given])
+        else:
+            out = out.withColumn("_any", F.lit(1)).join(F.broadcast(best.withColumn("_any", F.lit(1))), "_any", "left").drop("_any")  # one row
+        found.append(F.col(f"_rule_{n}"))
+    rule = F.least(*found) if len(found) > 1 else found[0]
+    return out.withColumn("_rule", rule).select(*df.columns, F.col(f"_rule.{priority}").alias(priority), F.col(f"_rule.{value}").alias(value))
+
+
 def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return df.withColumn("_k", key).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(*order))).filter("_n = 1").drop("_k", "_n")
 

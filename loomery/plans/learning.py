@@ -194,11 +194,10 @@ def k05_category_top(spark, d):
 
 @query("k10_routing", with_views("WITH c AS (SELECT event_id, CASE WHEN intent = 'purchase' AND entity = 'e1' THEN 1 WHEN intent = 'error' THEN 2 ELSE 3 END AS p, 0.3 * confidence + 0.4 * (intent = 'purchase')::INT + 0.3 * (event_id % 10) / 10.0 AS s, user_id FROM analytics) SELECT user_id, event_id, CASE p WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 ELSE 0.3 END::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p, round(s, 6) DESC, event_id) AS r FROM c) WHERE r = 1", "analytics"))
 def k10_routing(spark, d):
-    x = view(spark, d, "analytics")
-    p = F.when((F.col("intent") == "purchase") & (F.col("entity") == "e1"), 1).when(F.col("intent") == "error", 2).otherwise(3)
+    rules = spark.createDataFrame([("purchase", "e1", 1, 0.9), ("error", None, 2, 0.8), (None, None, 3, 0.3)], "intent string, entity string, priority int, sure double")
     s = 0.3 * F.col("confidence") + 0.4 * (F.col("intent") == "purchase").cast("int") + 0.3 * (F.col("event_id") % 10) / 10.0
-    best = K.top_per(x.withColumn("p", p).withColumn("s", F.round(s, 6)), ["user_id"], [F.col("p"), F.desc("s"), F.col("event_id")], 1)
-    return best.select("user_id", "event_id", F.when(F.col("p") == 1, 0.9).when(F.col("p") == 2, 0.8).otherwise(0.3).alias("confidence"))
+    x = K.first_rule(view(spark, d, "analytics").withColumn("s", F.round(s, 6)), rules, ["intent", "entity"], "sure")
+    return K.top_per(x, ["user_id"], [F.col("priority"), F.desc("s"), F.col("event_id")], 1).select("user_id", "event_id", F.col("sure").alias("confidence"))
 
 
 @query("k13_hop_order", with_graph("SELECT id, row_number() OVER (ORDER BY CASE WHEN id IN ('order:1', 'nation:3') THEN 0 ELSE 1 END, CASE node_type WHEN 'order' THEN 1 WHEN 'customer' THEN 2 WHEN 'nation' THEN 3 ELSE 9 END, id) AS position FROM nodes WHERE node_type IN ('order', 'nation', 'region') ORDER BY 2 LIMIT 40"), ints=("position",))

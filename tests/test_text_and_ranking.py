@@ -92,3 +92,15 @@ def test_document_modes_fall_back_in_four_steps(spark):
     got = [r[0] for r in df.select(text.document_mode(*map(F.col, "abcd"))).collect()]
     assert got == ["lookup", "act", "act", "routing", "diagnose", "lookup"]
     assert re.fullmatch(r"[a-z_ ]+", " ".join(text.QUERY_MODES.values()))
+
+
+def test_first_rule_equals_trying_all(spark):
+    rng = random.Random(5)
+    rules = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), i % 9, f"v{i}") for i in range(12)]
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", "z", None])) for i in range(60)]
+    for own in (rules, [r for r in rules if r[0] and r[1]], []):
+        got = ranking.first_rule(spark.createDataFrame(rows, "i long, a string, b string"), spark.createDataFrame(own, "a string, b string, priority int, v string"), ["a", "b"], "v").collect()
+        assert len(got) == len(rows)
+        for r in got:
+            fit = [(p, v) for a, b, p, v in own if (a is None or a == r.a) and (b is None or b == r.b)]
+            assert (r.priority, r.v) == min(fit, default=(None, None))
