@@ -252,7 +252,18 @@ def st10_debounce(spark, d):
     return S.run_to_end(S.debounced(stream(spark, d), ["event_id"], "at", "5 days").select("event_id")).agg(F.count("*").alias("n"))
 
 
-@query("st11_trust_updates")
+#: all events are one batch here, so what the batch leaves is the fold over all of a user's events
+ST11_SQL = """
+WITH RECURSIVE o AS (SELECT user_id, event_id % 5 >= 3 AS up, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (
+  SELECT user_id, i, CASE WHEN up THEN 52 ELSE 45 END AS v, up FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.user_id, o.i, CASE WHEN o.up THEN least(100, f.v + 2) ELSE greatest(0, f.v - 5) END, o.up
+  FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, max_by(v, i) / 100.0::DOUBLE AS trust, NOT max_by(up, i) AND max_by(v, i) < 20 AS low_quality FROM f GROUP BY 1"""
+
+
+@query("st11_trust_updates", ST11_SQL)
 def st11_trust_updates(spark, d):
     return S.run_to_end(S.trust_updates(stream(spark, d).withColumn("up", F.col("event_id") % 5 >= 3), "user_id", "event_id", "up"), "update")
 

@@ -18,18 +18,22 @@ from loomery.session import shared_dir
 
 def run_to_end(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs the stream over what its source holds and returns the rows it wrote. complete and update modes keep the last batch
-    that wrote each row set (complete) or all updates (update)."""
+    that wrote each row set (complete) or all updates (update). A batch that runs again overwrites its own folder; a stream without
+    a batch returns no rows."""
     spark = df.sparkSession
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    wrote: set[str] = set()
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        at = out if mode == "complete" else f"{out}/batch={number}"
+        batch.write.mode("overwrite").parquet(at)
+        wrote.add(at)
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).foreachBatch(each or write).start()
     q.awaitTermination()
     if each:
         return spark.range(0)
-    return spark.read.schema(df.schema).parquet(out)
+    return spark.read.schema(df.schema).parquet(*sorted(wrote)) if wrote else spark.createDataFrame([], df.schema)
 
 
 def counts(df: DataFrame, at: str, width: str, *keys: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
