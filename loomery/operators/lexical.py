@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from loomery.session import materialize, written
 
 BLOCK, PART, PROBED, SLACK = 128, 1 << 16, 16, 1e-6
+VOCABULARY = 2_000_000  # terms that are sent to the tasks
 #: score of a document from the weights of the query's terms, their extra figures and their impacts (0 where it has none)
 Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
 
@@ -72,20 +73,28 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
     return found.select("term", F.round(F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
-def build(impacts: DataFrame, block: int = BLOCK, part: int = PART) -> Index:
-    """The index of impacts (item, term, impact > 0), one row an item and term."""
-    forward = impacts.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("term", "impact"))).alias("x"))
-    forward = written(forward.select("item", F.col("x.term").alias("terms"), F.col("x.impact").alias("impacts")))
+def build(forward: DataFrame, block: int = BLOCK, part: int = PART) -> Index:
+    """The index of documents (item, terms: sorted, impacts: above 0), one row an item."""
+    forward = written(forward.filter(F.size("terms") > 0))
     size = F.floor(F.log2(F.size("terms"))).cast("int").alias("size")
     postings = forward.select("item", size, F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("impacts").alias("impact"))))
     terms = written(postings.groupBy("term", "size").agg(F.max("impact").alias("top"), F.count("*").alias("n")))
     hot = terms.filter(F.col("n") > part).select("term", "size", F.ceil(F.col("n") / part).alias("parts"))
-    dealt = postings.join(hot, ["term", "size"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0)))
+    if hot.isEmpty():
+        dealt = postings.withColumn("part", F.lit(0).cast("long"))
+    else:
+        dealt = postings.join(hot, ["term", "size"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("term", "size", "part").orderBy(F.desc("impact"), "item")) - 1
     rows = dealt.withColumn("block", F.floor(at / block)).groupBy("term", "size", "part", "block")
     return Index(written(rows.agg(F.max("impact").alias("top"), F.collect_list(F.struct("item", "impact")).alias("postings"))), terms, forward)
 
 
+def gathered(impacts: DataFrame) -> DataFrame:
+    """item, terms, impacts of impacts (item, term, impact), one row an item and term."""
+    rows = impacts.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("term", "impact"))).alias("x"))
+    return rows.select("item", F.col("x.term").alias("terms"), F.col("x.impact").alias("impacts"))
+
+
 def _dot(weights: np.ndarray, extra: np.ndarray, impacts: np.ndarray) -> float:
     return float(weights @ impacts)
 
@@ -158,12 +167,39 @@ class Search:
         return gained.join(every, ["query", "size"]).filter(F.col("gain") + F.col("unread") >= F.col("least"))
 
 
-def _weighed(rows: DataFrame, idf: DataFrame) -> DataFrame:
-    """item, term, weight: length-1 vectors of augmented term frequency (.5 + .5 tf / max tf) times idf; unknown terms are dropped
-    before lengths are taken."""
-    w = exploded(rows, "counts").join(idf, "term").select("item", "term", ((0.5 + 0.5 * F.col("value") / F.col("most")) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("item")))
-    return w.select("item", "term", (F.col("w") / norm).alias("impact"))
+def _by_vocabulary(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = shared.value
+        for x in batches:
+            terms, impacts = [], []
+            for own, counts in zip(x.column(1), x.column(2), strict=True):
+                t, n = own.values.to_numpy(), counts.values.to_numpy()
+                at = np.minimum(np.searchsorted(names, t), len(names) - 1)
+                known = names[at] == t if len(names) else np.zeros(len(t), bool)
+                t, n, at = t[known], n[known], at[known]
+                w = (0.5 + 0.5 * n / n.max()) * idf[at] if len(n) else n
+                terms.append(t)
+                impacts.append(w / np.sqrt(w @ w) if len(w) else w)
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(terms, pa.list_(pa.int64())), pa.array(impacts, pa.list_(pa.float64()))], ["item", "terms", "impacts"])
+
+    return run
+
+
+def _weighed(rows: DataFrame, idf: DataFrame, most: int | None = None) -> DataFrame:
+    """item, terms, impacts: length-1 vectors of augmented term frequency (.5 + .5 tf / max tf) times idf; unknown terms are dropped
+    first. A vocabulary of at most VOCABULARY terms (16 bytes each) goes to the tasks, so nothing is shuffled; a larger one is joined."""
+    if idf.count() <= (VOCABULARY if most is None else most):
+        table = idf.toArrow().sort_by("term")
+        shared = rows.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("term", "idf")))
+        kind = rows.schema["item"].dataType.simpleString()
+        return rows.mapInArrow(_by_vocabulary(shared), f"item {kind}, terms array<long>, impacts array<double>")
+    known, whole = exploded(rows, "counts").join(idf, "term"), Window.partitionBy("item")
+    w = known.select("item", "term", ((0.5 + 0.5 * F.col("value") / F.max("value").over(whole)) * F.col("idf")).alias("w"))
+    return gathered(w.select("item", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))).alias("impact")))
+
+
+def _as_weights(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("item").alias("query"), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("impacts").alias("weight")))).withColumn("extra", F.lit(0.0))
 
 
 def cosine_index(docs: DataFrame, key: str, tokens: str = "tokens") -> tuple[Index, DataFrame]:
@@ -174,12 +210,12 @@ def cosine_index(docs: DataFrame, key: str, tokens: str = "tokens") -> tuple[Ind
 
 
 def cosine_queries(queries: DataFrame, key: str, idf: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return _weighed(counted(queries, key, tokens), idf).select(F.col("item").alias("query"), "term", F.col("impact").alias("weight"), F.lit(0.0).alias("extra"))
+    return _as_weights(_weighed(counted(queries, key, tokens), idf))
 
 
 def overlap_index(docs: DataFrame, key: str, tokens: str = "tokens") -> Index:
     """Every distinct word of a document counts 1."""
-    return build(exploded(counted(docs, key, tokens), "counts").select("item", "term", F.lit(1.0).alias("impact")))
+    return build(counted(docs, key, tokens).select("item", "terms", F.transform("counts", lambda x: F.lit(1.0)).alias("impacts")))
 
 
 def overlap_queries(queries: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -199,8 +235,9 @@ def faq_index(docs: DataFrame, key: str, category: str, tokens: str = "tokens")
     length = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, x: s + x * x))
     shares = F.transform("counts", lambda x: x / length)
     names = F.transform("terms", lambda t: F.xxhash64(F.col("category"), t))
-    sized = rows.filter(F.size("terms") > 0).select("item", names.alias("terms"), shares.alias("shares"))
-    return build(exploded(sized, "shares").select("item", "term", F.col("value").alias("impact"))), written(idf), sizes
+    pairs = F.array_sort(F.arrays_zip(names.alias("term"), shares.alias("impact")))
+    forward = rows.select("item", pairs.alias("x")).select("item", F.col("x.term").alias("terms"), F.col("x.impact").alias("impacts"))
+    return build(forward), written(idf), sizes
 
 
 def faq_queries(queries: DataFrame, key: str, wanted: DataFrame, idf: DataFrame, sizes: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -65,7 +65,7 @@ def vector(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, d
         return n.select("item", "term", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item")))).alias("impact"))
 
     asked = hashed(queries, "query_id", "query").select(F.col("item").alias("query"), "term", F.col("impact").alias("weight"), F.lit(0.0).alias("extra"))
-    found = index.Search(index.build(hashed(documents, "id", "text")), asked, k, digits=9).found
+    found = index.Search(index.build(index.gathered(hashed(documents, "id", "text"))), asked, k, digits=9).found
     return found.select(F.col("query").alias("query_id"), F.col("item").alias("node_id"), "rank")
 
 

@@ -51,9 +51,10 @@ def test_overlap_equals_all_scores(spark, texts, monkeypatch, block, part):
     assert search.read.agg(F.sum("n")).first()[0] < search.plan.agg(F.sum("n")).first()[0]
 
 
-@pytest.mark.parametrize(("block", "part"), [(128, 1 << 16), (3, 11)])
-def test_cosine_equals_all_scores(spark, texts, monkeypatch, block, part):
+@pytest.mark.parametrize(("block", "part", "most"), [(128, 1 << 16, 10**6), (3, 11, 10)])
+def test_cosine_equals_all_scores(spark, texts, monkeypatch, block, part, most):
     monkeypatch.setattr(X.build, "__defaults__", (block, part))
+    monkeypatch.setattr(X, "VOCABULARY", most)
     docs, queries = frames(spark, texts)
     index, idf = X.cosine_index(docs, "d")
     got = best(X.Search(index, X.cosine_queries(queries, "q", idf), 5))
@@ -62,7 +63,8 @@ def test_cosine_equals_all_scores(spark, texts, monkeypatch, block, part):
 
     def vector(t):
         tf = Counter(t or [])
-        v = {w: (0.5 + 0.5 * n / max(tf.values())) * weight[w] for w, n in tf.items() if w in weight}
+        tf = {w: n for w, n in tf.items() if w in weight}
+        v = {w: (0.5 + 0.5 * n / max(tf.values())) * weight[w] for w, n in tf.items()}
         length = math.sqrt(sum(x * x for x in v.values())) or 1
         return {w: x / length for w, x in v.items()}
 
