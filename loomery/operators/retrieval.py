@@ -40,13 +40,17 @@ def exact(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int) ->
     return ranked(found.select("query_id", "node_id", F.lit(1.0).alias("score")).distinct(), k)
 
 
-def overlap(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """query_id, node_id, rank: the documents with the largest share of a query's words, by an inverted index that reads no more of its
-    lists than the k-th share asks for."""
+def overlap(queries: DataFrame, documents: DataFrame, k: int, indexed: bool = False) -> DataFrame:
+    """query_id, node_id, rank: the documents with the largest share of a query's words. Words meet by equi-join, or, `indexed`, by an inverted
+    index that reads no more of its lists than the k-th share asks for: worth its building for lists much longer than k."""
     tokens = lambda df, key, text: df.select(F.col(key), words(F.col(text)).alias("tokens"))
-    asked = index.overlap_queries(tokens(queries, "query_id", "query"), "query_id")
-    found = index.Search(index.overlap_index(tokens(documents, "id", "text"), "id"), asked, k, digits=9).found
-    return written(found.select(F.col("query").alias("query_id"), F.col("item").alias("node_id"), "rank"))
+    if indexed:
+        asked = index.overlap_queries(tokens(queries, "query_id", "query"), "query_id")
+        found = index.Search(index.overlap_index(tokens(documents, "id", "text"), "id"), asked, k, digits=9).found
+        return written(found.select(F.col("query").alias("query_id"), F.col("item").alias("node_id"), "rank"))
+    q = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("w")).select("query_id", F.size("w").alias("n"), F.explode("w").alias("t"))
+    d = documents.select(F.col("id").alias("node_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("t"))
+    return written(ranked(d.join(q, "t").groupBy("query_id", "node_id").agg((F.count("*") / F.first("n")).alias("score")), k))
 
 
 @leg("lexical")
@@ -57,16 +61,15 @@ def lexical(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int,
 
 @leg("vector")
 def vector(queries: DataFrame, documents: DataFrame, edges: DataFrame, k: int, dim: int = 4096) -> DataFrame:
-    """Cosine of hashed term vectors."""
+    """Cosine of hashed term vectors, as a sparse join on slots."""
 
     def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
-        rows = index.counted(df.select(F.col(key), words(F.col(text)).alias("tokens")), key)
-        n = index.exploded(rows, "counts").groupBy("item", F.pmod("term", F.lit(dim)).alias("term")).agg(F.sum("value").alias("n"))
-        return n.select("item", "term", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item")))).alias("impact"))
+        n = df.select(F.col(key).alias("k"), F.explode(words(F.col(text))).alias("t")).groupBy("k", F.pmod(F.xxhash64("t"), F.lit(dim)).alias("slot")).agg(F.count("*").alias("n"))
+        return n.withColumn("w", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("k"))))
 
-    asked = hashed(queries, "query_id", "query").select(F.col("item").alias("query"), "term", F.col("impact").alias("weight"), F.lit(0.0).alias("extra"))
-    found = index.Search(index.build(index.gathered(hashed(documents, "id", "text"))), asked, k, digits=9).found
-    return found.select(F.col("query").alias("query_id"), F.col("item").alias("node_id"), "rank")
+    a = hashed(queries, "query_id", "query").select(F.col("k").alias("query_id"), "slot", "w")
+    b = hashed(documents, "id", "text").select(F.col("k").alias("node_id"), "slot", F.col("w").alias("v"))
+    return ranked(b.join(a, "slot").groupBy("query_id", "node_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score")), k)
 
 
 def seeds(queries: DataFrame, documents: DataFrame, n: int = SEEDS, best: DataFrame | None = None) -> DataFrame:

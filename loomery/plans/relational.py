@@ -343,11 +343,28 @@ def k03_relevance(spark, d):
     return x.select("query_id", "vec_id", "rank", F.round(F.col("similarity") * (0.5 + F.col("vec_id") % 5 / 10.0) * K.freshness(F.col("vec_id") % 120), 6).alias("relevance"))
 
 
-@query("k04_token_cosine", "WITH td AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS token FROM documents), tq AS (SELECT item_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS token FROM benchmark), idf AS (SELECT token, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT id) + 1)::DOUBLE) + 1, 6) AS idf FROM td GROUP BY 1), fd AS (SELECT id, token, count(*) AS tf FROM td GROUP BY ALL), fq AS (SELECT id, token, count(*) AS tf FROM tq GROUP BY ALL), wd AS (SELECT id, token, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY id)) * idf AS w FROM fd JOIN idf USING (token)), wq AS (SELECT id, token, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY id)) * idf AS w FROM (SELECT fq.*, idf FROM fq JOIN idf USING (token))), nd AS (SELECT id, sqrt(sum(w * w)) AS n FROM wd GROUP BY 1), nq AS (SELECT id, sqrt(sum(w * w)) AS n FROM wq GROUP BY 1), s AS (SELECT wq.id AS item_id, wd.id AS doc_id, round(sum(wq.w * wd.w) / (any_value(nq.n) * any_value(nd.n)), 6) AS score FROM wq JOIN wd USING (token) JOIN nd ON nd.id = wd.id JOIN nq ON nq.id = wq.id GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5", ints=("rank",))
-def k04_token_cosine(spark, d):
+K04_SQL = "WITH td AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS token FROM documents), tq AS (SELECT item_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS token FROM benchmark), idf AS (SELECT token, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT id) + 1)::DOUBLE) + 1, 6) AS idf FROM td GROUP BY 1), fd AS (SELECT id, token, count(*) AS tf FROM td GROUP BY ALL), fq AS (SELECT id, token, count(*) AS tf FROM tq GROUP BY ALL), wd AS (SELECT id, token, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY id)) * idf AS w FROM fd JOIN idf USING (token)), wq AS (SELECT id, token, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY id)) * idf AS w FROM (SELECT fq.*, idf FROM fq JOIN idf USING (token))), nd AS (SELECT id, sqrt(sum(w * w)) AS n FROM wd GROUP BY 1), nq AS (SELECT id, sqrt(sum(w * w)) AS n FROM wq GROUP BY 1), s AS (SELECT wq.id AS item_id, wd.id AS doc_id, round(sum(wq.w * wd.w) / (any_value(nq.n) * any_value(nd.n)), 6) AS score FROM wq JOIN wd USING (token) JOIN nd ON nd.id = wd.id JOIN nq ON nq.id = wq.id GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5"
+
+
+def k04_tables(spark, d):
     words = F.expr("filter(regexp_extract_all(lower(text), '[a-z0-9_]+', 0), x -> length(x) > 2)").alias("tokens")
-    index, idf = X.cosine_index(table(spark, d, "documents").select("doc_id", words), "doc_id")
-    found = X.Search(index, X.cosine_queries(table(spark, d, "benchmark").select("item_id", words), "item_id", idf), 5).found
+    return table(spark, d, "documents").select("doc_id", words), table(spark, d, "benchmark").select("item_id", words)
+
+
+@query("k04_token_cosine", K04_SQL, ints=("rank",))
+def k04_token_cosine(spark, d):
+    from loomery.operators.aggregates import idf
+
+    docs, q = k04_tables(spark, d)
+    return K.token_cosine(q, docs, idf(docs, "doc_id", "tokens"), 5, "item_id", "doc_id")
+
+
+@query("k04_indexed_cosine", K04_SQL, ints=("rank",))
+def k04_indexed_cosine(spark, d):
+    """The same through the inverted index."""
+    docs, q = k04_tables(spark, d)
+    index, idf = X.cosine_index(docs, "doc_id")
+    found = X.Search(index, X.cosine_queries(q, "item_id", idf), 5).found
     return found.select(F.col("query").alias("item_id"), F.col("item").alias("doc_id"), "score", "rank")
 
 
