@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -720,3 +721,45 @@ def test_pipeline(spark, docs):
         part = out.cache()
     twice = part.groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert twice <= 2 and corpus_pipeline.STAGES[4][1](spark, part, "").count() > 0
+
+
+def test_dedup_takes_every_pair_from_the_gray_index_and_ships_sets_by_node(spark, monkeypatch):
+    """Small sets in small groups, too, are candidates by fingerprint; a set of a family moves once, not once a pair."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join([*base[:at], f"x{rng.random()}", *base[at + 1 :]]) for at in range(5, 195, 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    parts = []
+    write = near_copies.written
+
+    def seen(x):
+        out = write(x)
+        parts.append((out.columns, out))
+        return out
+
+    monkeypatch.setattr(near_copies, "written", seen)
+    found = near_copies.near_copies(df).collect()
+    assert len({r.component for r in found}) == 1
+    sets = [x for columns, x in parts if "found" in columns]
+    assert len(sets) == 1 and sets[0].select("node").distinct().count() == len(texts) and sets[0].count() <= 3 * len(texts)
+    assert not any({"a", "b"} <= set(columns) for columns, _ in parts)  # no table lists the pairs
+    # no fingerprint of these differs in no bit, so a limit of none leaves nothing to link
+    assert len({r.component for r in near_copies.near_copies(df, differ=0).collect()}) > 1
+
+
+def test_parity_bitmaps_drop_no_pair_at_the_least_similarity():
+    rng = np.random.default_rng(8)
+    for n in (4, 5, 9, 40, 300, 3000):
+        for _ in range(30):
+            both = rng.integers(0, 2**64, n, np.uint64)
+            extra = rng.integers(0, 2**64, n // 4, np.uint64)
+            cut = int(rng.integers(0, len(extra) + 1))
+            a, b = np.concatenate([both, extra[:cut]]), np.concatenate([both, extra[cut:]])
+            bits = near_copies._Bitmaps(pa.array([near_copies._parity(a), near_copies._parity(b)]))
+            size = [np.array([len(x)]) for x in (a, b)]
+            apart = bits.apart(np.array([0]), np.array([1]))
+            assert apart[0] <= len(np.setxor1d(a, b)) and near_copies._reaches(a.view(np.int64), b.view(np.int64))
+            assert near_copies._alike(*size).all() and near_copies._close(apart, *size).all()
+    for n in (300, 5000):  # sets of nothing in common
+        bits = near_copies._Bitmaps(pa.array([near_copies._parity(rng.integers(0, 2**64, n, np.uint64)) for _ in range(2)]))
+        assert not near_copies._close(bits.apart(np.array([0]), np.array([1])), np.array([n]), np.array([n])).any()
