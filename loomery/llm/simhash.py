@@ -6,16 +6,17 @@ from collections.abc import Iterator
 from itertools import accumulate, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import each, fresh, whole
+from loomery.llm.common import each, fresh, is_marked, marks, place, whole
 from loomery.llm.gray_index import GrayIndex, gray_rank
 from loomery.llm.near_copies import near_copies
 from loomery.operators.components import connected_components, local_roots
-from loomery.session import materialize, table
+from loomery.session import materialize, table, written
 
 SEED, SHINGLE = 42, 3
 
@@ -115,19 +116,25 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id, ids
-    that are null last; of several texts under that id the one whose hash comes first, of repeated rows one.
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more, found by SimHash and the Gray index and verified):
+    the one with the smallest id, ids that are null last; of several texts under that id the one whose hash comes first, of
+    repeated rows one.
 
     Texts that are null or without a word are one group. An empty table gives no rows; other columns stay, whatever their
-    names. Only ids and hashes are grouped; texts meet the kept ones in a hash join whose built side holds 24 bytes a row.
+    names. Only ids and hashes are grouped; texts of rows that are a group of their own stay where they lie, the others meet the kept
+    ones in a hash join whose built side holds 24 bytes a row.
     """
     found = near_copies(docs)
     own = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")
     times = found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("times"))
-    kept = times.groupBy("component").agg(F.min_by("times", own).alias("times"), F.min(own).alias("at"))
+    kept = times.groupBy("component").agg(F.min_by("times", own).alias("times"), F.min(own).alias("at"), F.sum("times").alias("rows"))
     doc, row, many = fresh(docs, "kept_doc", "kept_row", "kept_times")
-    kept = kept.select(F.col("at.doc_id").alias(doc), F.col("at.row").alias(row), F.col("times").alias(many))
-    same = F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept[row]) & docs["doc_id"].cast("long").eqNullSafe(kept[doc])
-    known = docs.join(kept.hint("shuffle_hash"), same)
+    kept = written(kept.select("component", "rows", F.col("at.doc_id").alias(doc), F.col("at.row").alias(row), F.col("times").alias(many)))
+    grouped = marks(found.join(kept.filter("rows > 1").select("component"), "component", "left_semi").select(place("doc_id", "row")))
+    looked = F.pandas_udf(lambda at: pd.Series(is_marked(grouped, at.to_numpy())), "boolean")
+    hashed, number = F.xxhash64(docs["text"].cast("string")), docs["doc_id"].cast("long")
+    at = looked(place(number, hashed))
+    kept = kept.select(doc, row, many)
+    known = docs.filter(at).join(kept.hint("shuffle_hash"), hashed.eqNullSafe(kept[row]) & number.eqNullSafe(kept[doc]))
     once = known.filter(F.col(many) == 1).select(docs.columns)
-    return once.unionByName(known.filter(F.col(many) > 1).dropDuplicates([doc, row]).select(docs.columns))
+    return docs.filter(~at).unionByName(once).unionByName(known.filter(F.col(many) > 1).dropDuplicates([doc, row]).select(docs.columns))
