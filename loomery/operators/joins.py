@@ -40,8 +40,10 @@ def snapshot_diff(new: DataFrame, old: DataFrame, key: str, digest: str) -> Data
 
 
 def contains_part(labels: DataFrame, label: str, names: DataFrame, name: str, separator: str = r"\.") -> DataFrame:
-    """label, name where the name is one of the label's parts: parts are exploded, so this is an equi-join."""
-    return labels.select(label, F.explode(F.array_distinct(F.split(label, separator))).alias(name)).join(names.select(name), name).select(label, name)
+    """label, name where the name is one of the label's parts, each pair once however often the label or the name comes: parts are
+    exploded, so this is an equi-join."""
+    parts = labels.select(label, F.explode(F.array_distinct(F.split(label, separator))).alias(name))
+    return parts.join(names.select(name), name).select(label, name).distinct()
 
 
 def _matcher(needles: list[str], at: int, name: str):

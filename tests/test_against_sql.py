@@ -54,3 +54,9 @@ def test_same_meaning_of_odd_intents(compared):
     kinds = ["click", "Click", "click ", None, "", " ", "\t"] * 6
     got, want = compared("gr16_same_meaning", events=events(kinds, [None if i % 9 == 8 else i for i in range(42)]))
     assert got == want and {r for r, _ in want} == {True, False}
+
+
+def test_part_containment_of_repeated_urls(compared):
+    urls = ["http://m.example.org/en/1", "http://m.example.org/en/1", "http://x/fr/en", "http://x/fr/en", "http://en.x//", "", None]
+    got, want = compared("j09_part_containment", pages=([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string"))
+    assert got == want and len(want) == 6
