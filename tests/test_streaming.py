@@ -112,6 +112,19 @@ def test_queue_lets_go_by_timer(spark, tmp_path):
     assert sorted((r.s, r.batch, r.i) for r in got) == sorted(("ab"[i % 2], i // 2 // 5 + 1, i) for i in range(44))
 
 
+def test_queue_is_waited_for_as_long_as_it_moves(spark, tmp_path):
+    """Three batches, 10 seconds apart, take more than the 20 seconds in which one of them must come; a queue that stands still raises."""
+    (tmp_path / "0.json").write_text("\n".join(json.dumps({"s": "a", "i": i}) for i in range(12)))
+    df = S.released(spark.readStream.schema("s string, i long").json(str(tmp_path)), "s", "i", 5, 10)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    got = S.run_until(df, 12, "100 milliseconds", 20, 1).collect()
+    assert sorted((r.batch, r.i) for r in got) == [(i // 5 + 1, i) for i in range(12)]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == held
+    with pytest.raises(TimeoutError, match="5 of 6 rows"):
+        S.run_until(S.released(spark.readStream.schema("s string, i long").json(str(tmp_path)), "s", "i", 5, 1000), 6, "100 milliseconds", 20, 1)
+    assert S.run_until(df, 0).collect() == []
+
+
 def test_cache_of_the_newest_keys_is_bounded(spark, tmp_path):
     rng = random.Random(6)
     rows = [{"id": i, "k": rng.randrange(300), "t": 1_700_000_000 + i // 3} for i in range(2000)]
