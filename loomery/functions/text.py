@@ -32,7 +32,7 @@ FAQ_STOP = (
 
 def faq_words(text: Column) -> Column:
     """Words of letters and digits, without the stop words of questions, repeats kept."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda x: (x != "") & ~x.isin(FAQ_STOP))
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: (x != "") & ~x.isin(FAQ_STOP))
 
 
 # Which mode of question each kind of document helps with.

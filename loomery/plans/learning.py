@@ -179,11 +179,10 @@ SELECT question, doc, score, rank FROM (
 def k05_faq(spark, d):
     """The three best answers of each of a question's categories, then the five best of those."""
     faq = X.faq_words(F.col("text")).alias("tokens")
-    index, idf, sizes = I.faq_index(table(spark, d, "documents").select("doc_id", "source", faq), "doc_id", "source")
     asked = table(spark, d, "benchmark")
     wanted = asked.select(F.col("item_id").alias("item"), F.explode(F.array(*[F.concat(F.lit("src"), (F.col("item_id") + j) % 5) for j in range(3)])).alias("category"))
-    queries = I.faq_queries(asked.select("item_id", faq), "item_id", wanted, idf, sizes)
-    return I.best_of_categories(I.Search(index, queries, 3, I.faq_score).found, 5)
+    docs = table(spark, d, "documents").select("doc_id", "source", faq)
+    return I.best_of_categories(I.faq_search(docs, "doc_id", "source", asked.select("item_id", faq), "item_id", wanted, 3), 5)
 
 
 @query("k05_category_top", "WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), t AS (SELECT * FROM r WHERE r <= 3) SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM t ORDER BY 2 LIMIT 5", ints=("position",))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -98,6 +99,36 @@ def test_faq_equals_all_scores(spark, texts):
         assert got.get(i, []) == top(chosen, 5, 6), q
 
 
+def test_faq_search_equals_its_index(spark, texts):
+    """The join finds what the index finds, also for null categories and unknown ones."""
+    docs, queries = frames(spark, texts)
+    docs = docs.withColumn("kind", F.when(F.col("d") % 7 > 0, F.concat(F.lit("c"), F.col("d") % 3)))
+    wanted = queries.select(F.col("q").alias("item"), F.explode(F.array(F.lit("c0"), F.concat(F.lit("c"), F.col("q") % 4))).alias("category")).distinct()
+    index, idf, sizes = X.faq_index(docs, "d", "kind")
+    rows = lambda x: sorted((*r["query"], r["item"], r["rank"], pytest.approx(r["score"], abs=2e-6)) for r in x.collect())
+    want = rows(X.Search(index, X.faq_queries(queries, "q", wanted, idf, sizes), 3, X.faq_score).found)
+    assert rows(X.faq_search(docs, "d", "kind", queries, "q", wanted, 3)) == want and len(want) > 100
+    assert X.faq_search(docs.limit(0), "d", "kind", queries, "q", wanted, 3).collect() == []
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_faq_of_a_long_document(spark, indexed):
+    """The time of a document grows with its words, not with their square."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), i.cast("string")))
+    docs = spark.range(1).select(F.col("id").alias("d"), F.lit("c").alias("kind"), words.alias("tokens"))
+    queries = spark.createDataFrame([(1, ["w7", "w8", "x"])], "q long, tokens array<string>")
+    wanted = spark.createDataFrame([(1, "c")], "item long, category string")
+    began = time.monotonic()
+    if indexed:
+        index, idf, sizes = X.faq_index(docs, "d", "kind")
+        found = X.Search(index, X.faq_queries(queries, "q", wanted, idf, sizes), 3, X.faq_score).found
+    else:
+        found = X.faq_search(docs, "d", "kind", queries, "q", wanted, 3)
+    a, x = 1.0, math.log(2) + 1  # idf of a word of the one document, and of none
+    assert [(r["item"], r["score"]) for r in found.collect()] == [(0, pytest.approx(2 * a / (math.sqrt(2 * a + x * x) * math.sqrt(60_000)), abs=1e-6))]
+    assert time.monotonic() - began < 60
+
+
 def test_index_of_nothing(spark):
     none = spark.createDataFrame([], "d long, tokens array<string>")
     some = spark.createDataFrame([(1, ["a"])], "d long, tokens array<string>")
